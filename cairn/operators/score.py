@@ -92,7 +92,7 @@ def graph_score(rank: Column, personal: Column, seeded: Column) -> Column:
 
 def neighbor_score(base: Column, default: float, task: Column, overlap: Column) -> Column:
     """FN-06: a neighbour keeps a share of its seed's score, less if it shares no keyword, and never under 0.35 of its own task score."""
-    factor = F.when(overlap >= 2, default).when(overlap == 1, default * 0.75).otherwise(F.least(F.lit(default), F.lit(0.035)))
+    factor = F.when(overlap > 0, default).when(task > 0, default * 0.75).otherwise(min(default, 0.035))
     return F.greatest(base * factor, 0.35 * task)
 
 

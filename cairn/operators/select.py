@@ -109,11 +109,16 @@ def expand_neighbors(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
+# Containers that are no types of the project.
+CONTAINERS = tuple("Result Option String Vec Box Promise List Map Set Dict Any".split())
+
+
 def type_dependencies(rows: DataFrame, types: DataFrame, taken: DataFrame) -> DataFrame:
-    """JN-17: identifiers in the signatures of critical and workflow rows that name a type not yet taken, at 0.85 of the row's score."""
-    words = rows.filter(F.col("tier").isin("critical", "workflow")).select(F.explode(F.array_distinct(F.regexp_extract_all("signature", F.lit(r"\b[A-Za-z_]\w*\b"), 0))).alias("name"), "score")
-    hit = words.join(types.select("id", "name"), "name").join(taken.select("id"), "id", "left_anti")
-    return hit.groupBy("id").agg(F.round(F.max("score") * 0.85, 6).alias("score"))
+    """JN-17: types not yet taken that are named in the signatures of critical and workflow rows, at a score of 0.85."""
+    words = rows.filter(F.col("tier").isin("critical", "workflow")).select(F.explode(F.regexp_extract_all("signature", F.lit(r"\b[A-Za-z_]\w*\b"), 0)).alias("name"))
+    named = words.filter(~F.col("name").isin(*CONTAINERS)).distinct()
+    hit = types.join(named, "name", "left_semi").join(taken.select("id"), "id", "left_anti")
+    return hit.select("id", F.lit(0.85).alias("score")).distinct()
 
 
 def relations(selected: DataFrame, edges: DataFrame, most: int = 15, most_far: int = 10) -> DataFrame:
