@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import graph_queries, text_queries
 
+QUERIES: dict = text_queries.QUERIES | graph_queries.QUERIES
+SQL: dict = text_queries.SQL | graph_queries.SQL
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+flagship = text_queries.flagship
