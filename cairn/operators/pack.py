@@ -19,7 +19,8 @@ MARKS = (("called_by", "<"), ("calls", ">"), ("imports", "+"), ("dep_called_by",
 def compact_block(code: Column | None = None) -> Column:
     """FMT-02: ``!id|tier|kind|role|confidence``, a line for each relation, the signature (120 characters) and the code (80 lines)."""
     head = F.concat(F.lit("!"), short_id("id"), F.lit("|"), F.substring("tier", 1, 3), F.lit("|"), F.substring("kind", 1, 4), F.lit("|"), F.substring("role", 1, 4), F.lit("|"), F.round(F.coalesce("confidence", F.lit(0.0)), 2).cast("string"))
-    rel = [F.array_join(F.transform(F.col(f"relations.{name}"), lambda r, m=mark: F.concat(F.lit(f"  {m} "), _short(r))), "\n") for name, mark in MARKS]
+    marked = lambda mark: lambda r: F.concat(F.lit(f"  {mark} "), _short(r))
+    rel = [F.array_join(F.transform(F.col(f"relations.{name}"), marked(mark)), "\n") for name, mark in MARKS]
     sig = F.substring(F.trim(F.replace(F.coalesce("signature", F.lit("")), F.lit("\n"), F.lit(" "))), 1, 120)
     parts = [head, *[F.nullif(r, F.lit("")) for r in rel], F.when(sig != "", F.concat(F.lit("  sig: "), sig))]
     if code is not None:

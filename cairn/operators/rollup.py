@@ -100,9 +100,8 @@ def keyword_domain(texts: DataFrame, by: list[str], domains: dict[str, str] | No
     return texts.select(*by, F.when(best["score"] > 0, best["name"]).otherwise("general").alias("domain"), best["score"].alias("score"))
 
 
-def test_candidates(path: Column) -> Column:
-    """PRJ-12: where a test of this source file may be: eight places beside it, six in each of four test folders."""
-    d, name, ext = dirname(path), stem(path), extension(path)
+def test_candidates(d: Column, name: Column, ext: Column) -> Column:
+    """PRJ-12: where a test of the source file ``d/name.ext`` may be: eight places beside it, six in each of four test folders."""
     dot = F.concat(F.lit("."), ext)
     beside = [F.concat(d, F.lit(f"/{pre}"), name, F.lit(post), dot) for pre, post in (("test_", ""), ("", "_test"), ("", ".test"), ("test/", ""), ("tests/", ""), ("__tests__/", ""), ("spec/", ""), ("", "_spec"))]
     away = []
@@ -134,7 +133,8 @@ def coverage(files: DataFrame, most: int = 50) -> DataFrame:
     paths = files.select("path").distinct()
     tests = paths.filter(C.is_test_path(F.col("path")))
     sources = paths.filter(C.is_source_path(F.col("path")))
-    forward = sources.select("path", F.explode(test_candidates(F.col("path"))).alias("test")).join(tests.select(F.col("path").alias("test")), "test", "left_semi").select("path", "test")
+    named = sources.select("path", dirname("path").alias("d"), stem("path").alias("n"), extension("path").alias("e"))
+    forward = named.select("path", F.explode(test_candidates(F.col("d"), F.col("n"), F.col("e"))).alias("test")).join(tests.select(F.col("path").alias("test")), "test", "left_semi").select("path", "test")
     base = sources.select(F.col("path").alias("src"), basename("path").alias("b"))
     first = base.groupBy("b").agg(F.min("src").alias("src"))
     guess = tests.select(F.col("path").alias("test"), source_candidate(F.col("path")).alias("guess"))
@@ -153,7 +153,8 @@ def coverage(files: DataFrame, most: int = 50) -> DataFrame:
 def overview(files: DataFrame, edges: DataFrame, most: int = 15, kinds: int = 10, hubs: int = 5) -> DataFrame:
     """AG-14 and AG-15: ``section, key, value``: totals, the most important files, the commonest types, the hubs."""
     totals = files.agg(F.count("*").cast("double").alias("files")).crossJoin(edges.agg(F.count("*").cast("double").alias("connections")))
-    parts = totals.select(F.inline(F.array(F.struct(F.lit("total").alias("section"), F.lit("files").alias("key"), F.col("files").alias("value")), F.struct(F.lit("total"), F.lit("connections"), F.col("connections")))))
+    total = lambda name: F.struct(F.lit("total").alias("section"), F.lit(name).alias("key"), F.col(name).alias("value"))
+    parts = totals.select(F.inline(F.array(total("files"), total("connections"))))
     top = files.orderBy(F.col("importance").desc(), "id").limit(most).select(F.lit("important").alias("section"), F.col("id").cast("string").alias("key"), F.col("importance").cast("double").alias("value"))
     types = files.groupBy("type").count().orderBy(F.col("count").desc(), "type").limit(kinds).select(F.lit("type").alias("section"), F.col("type").alias("key"), F.col("count").cast("double").alias("value"))
     ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).groupBy("id").count().orderBy(F.col("count").desc(), "id").limit(hubs)
@@ -196,11 +197,11 @@ def file_search(files: DataFrame, keyword: str) -> DataFrame:
 
 def focused_files(files: DataFrame, kws: list[str], semantic: DataFrame | None = None) -> DataFrame:
     """AG-26: points per keyword (path 3, summary 2, any symbol 2, any import 1), twice the importance, five times the best semantic hit of the file."""
-    has = lambda c, k: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(k.lower()))
+    has = lambda k: lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(k.lower()))
     points = F.lit(0)
     for k in kws:
-        points = points + F.when(has(F.col("id"), k), 3).otherwise(0) + F.when(has(F.col("summary"), k), 2).otherwise(0)
-        points = points + F.when(F.exists("names", lambda x, k=k: has(x, k)), 2).otherwise(0) + F.when(F.exists("imports", lambda x, k=k: has(x, k)), 1).otherwise(0)
+        points = points + F.when(has(k)(F.col("id")), 3).otherwise(0) + F.when(has(k)(F.col("summary")), 2).otherwise(0)
+        points = points + F.when(F.exists("names", has(k)), 2).otherwise(0) + F.when(F.exists("imports", has(k)), 1).otherwise(0)
     rows = files.withColumn("points", points.cast("double"))
     if semantic is not None:
         best = semantic.groupBy("id").agg(F.max("similarity").alias("sim"))

@@ -341,7 +341,7 @@ def keyword_domain(spark, d):
 @query("test_mapping", f"""WITH {PAGE_PATHS_SQL},
 k AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base FROM paths),
 t AS (SELECT * FROM k WHERE starts_with(base, 'test_') OR ends_with(base, '_test.py') OR contains(base, '.test.') OR regexp_matches(concat('/', path), '/(test|tests|__tests__|spec|specs)/')),
-s AS (SELECT * FROM k WHERE path NOT IN (SELECT path FROM t)),
+s AS (SELECT * FROM k WHERE path NOT IN (SELECT path FROM t) AND base <> '.py'),  -- a dot file has no extension
 f AS (SELECT s.path, t.path AS test FROM s JOIN t ON t.path = concat(s.dir, '/test_', s.base) OR t.path = concat('tests/test_', s.base)),
 b AS (SELECT base, min(path) AS path FROM s GROUP BY base),
 r AS (SELECT b.path, t.path AS test FROM t JOIN b ON b.base = regexp_replace(t.base, '^test_', '')),

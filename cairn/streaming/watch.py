@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,8 @@ def watch_table(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream, in one run over what is there: counts and first and last ids per type, kept in state and
     written as a table under the checkpoint folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    base = tempfile.mkdtemp(prefix="cairn-stream-") if folder is None else f"{folder.rstrip('/')}/cairn/stream-{spark.sparkContext.applicationId}-{abs(hash(path))}"
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path) if spark.read.parquet(path).inputFiles()[0] != path and not path.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder_or_glob(spark, path))
+    base = tempfile.mkdtemp(prefix="cairn-stream-") if folder is None else f"{folder.rstrip('/')}/cairn/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_folder_or_glob(spark, path))
     totals = events.groupBy("event_type").agg(F.count("*").alias("events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
     out = f"{base}/totals"
 
