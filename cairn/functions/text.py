@@ -56,7 +56,7 @@ def vector_tokens(text) -> Column:
 
 def keywords(task, synonyms: dict[str, tuple[tuple[str, ...], bool]] | None = None) -> Column:
     """FN-01: keywords of a task in order; JN-29: with a synonym table each is followed by its canonical names and full groups."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(_c(task), F.lit(""))), F.lit(r"(?U)[\w@./-]+"), 0)
+    runs = F.regexp_extract_all(F.coalesce(_c(task), F.lit("")), F.lit(r"(?U)[\w@./-]+"), 0)
     words = F.flatten(F.transform(runs, identifier_tokens))
     words = F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(strings(STOP_WORDS), w))
     words = F.array_distinct(words)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
 from cairn.functions.text import basename, dirname, extension, identifier_tokens, stem, strings
+from cairn.operators.graph import cut
 
 # Tags in the order in which the pattern tries them, and what weighs more than low.
 DEBT_TAGS = "TODO|FIXME|HACK|XXX|BUG|OPTIMIZE|TEMP|WORKAROUND|KLUDGE|HACKY|CLEANUP|REVISIT"
@@ -130,17 +131,14 @@ def source_candidate(path: Column) -> Column:
 
 def coverage(files: DataFrame, most: int = 50) -> DataFrame:
     """JN-20 and AG-17 over ``path``: one row with counts, the share of source files that have a test, and the first untested and dead ones."""
-    paths = files.select("path").distinct()
-    tests = paths.filter(C.is_test_path(F.col("path")))
-    sources = paths.filter(C.is_source_path(F.col("path")))
-    named = sources.select("path", dirname("path").alias("d"), stem("path").alias("n"), extension("path").alias("e"))
-    forward = named.select("path", F.explode(test_candidates(F.col("d"), F.col("n"), F.col("e"))).alias("test")).join(tests.select(F.col("path").alias("test")), "test", "left_semi").select("path", "test")
-    base = sources.select(F.col("path").alias("src"), basename("path").alias("b"))
-    first = base.groupBy("b").agg(F.min("src").alias("src"))
-    guess = tests.select(F.col("path").alias("test"), source_candidate(F.col("path")).alias("guess"))
-    exact = guess.join(sources.select(F.col("path").alias("guess")), "guess", "left_semi").select(F.col("guess").alias("path"), "test")
-    by_name = guess.select("test", basename("guess").alias("b")).join(first, "b").select(F.col("src").alias("path"), "test")
-    links = forward.unionByName(exact).unionByName(by_name).distinct()
+    rows = files.select("path").distinct().select("path", dirname("path").alias("d"), stem("path").alias("n"), extension("path").alias("e"), basename("path").alias("b"))
+    rows = cut(rows.withColumns({"is_test": C.is_test_path(F.col("path")), "guess": source_candidate(F.col("path"))}))
+    tests, sources = rows.filter("is_test"), rows.filter(~F.col("is_test") & F.col("e").isin(*C.SOURCE_EXTENSIONS))
+    forward = sources.select("path", F.explode(test_candidates(F.col("d"), F.col("n"), F.col("e"))).alias("test")).join(tests.select(F.col("path").alias("test")), "test", "left_semi").select("path", "test")
+    first = sources.groupBy("b").agg(F.min("path").alias("path"))
+    exact = tests.select("guess", F.col("path").alias("test")).join(sources.select(F.col("path").alias("guess")), "guess", "left_semi").select(F.col("guess").alias("path"), "test")
+    by_name = tests.select(F.col("path").alias("test"), basename("guess").alias("b")).join(first, "b").select("path", "test")
+    links = cut(forward.unionByName(exact).unionByName(by_name).distinct())
     tested, used = links.select("path").distinct(), links.select("test").distinct()
     untested = sources.join(tested, "path", "left_anti").agg(F.count("*").alias("untested_files"), F.slice(F.sort_array(F.collect_list("path")), 1, most).alias("untested"))
     dead = tests.join(used, tests["path"] == used["test"], "left_anti").agg(F.count("*").alias("dead_tests"), F.slice(F.sort_array(F.collect_list("path")), 1, most).alias("dead"))

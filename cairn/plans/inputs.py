@@ -86,7 +86,7 @@ def kw(x: str) -> str:
     """FN-01 in SQL, without synonyms: distinct words in order, over two characters, stop words out."""
     from cairn.functions.text import STOP_WORDS
 
-    words = f"flatten(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_@./\\-]+'), lambda r: {tok('r')}))"
+    words = f"flatten(list_transform(regexp_extract_all(coalesce({x}, ''), '[\\p{{L}}\\p{{N}}_@./\\-]+'), lambda r: {tok('r')}))"
     kept = f"list_filter({words}, lambda w: length(w) > 2 AND NOT list_contains({sql_list(STOP_WORDS)}, w))"
     return ordered_distinct(kept)
 

@@ -280,7 +280,7 @@ class _Python(ast.NodeVisitor):
         return list(out)
 
     def define(self, node, kind: str) -> None:
-        if len(node.name) > 1 and node.name not in self.found:
+        if node.name not in self.found and (len(node.name) > 1 or kind == "class"):
             self.found[node.name] = _symbol(node.name, kind, node.lineno, self.lines, node.end_lineno, self.calls(node), not node.name.startswith("_"))
         self.generic_visit(node)
 
