@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import P
+
 ORDER = 4
 PER_LANG = 300
 UNKNOWN = "und"
@@ -260,7 +262,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return model
 
 
-def _predict(model: Model | None, columns: list[str]):
+def _predict(model: Model | None, columns: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
@@ -269,7 +271,7 @@ def _predict(model: Model | None, columns: list[str]):
                     lang, score, rejected = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
                 else:
                     lang, score, rejected = decide(model, *batch_scores(model, part.column("text")))
-                yield pa.record_batch([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
+                yield pa.record_batch([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*columns, *names])
 
     return run
 
@@ -283,18 +285,19 @@ def train_split(docs: DataFrame) -> Model | None:
     return train(docs.filter(~held_out(F.col("doc_id"))))
 
 
-def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``lang_pred, score, rejected``; ``docs`` has a string ``text``."""
+def predict(docs: DataFrame, model: Model | None, columns: list[str], prefix: str = "") -> DataFrame:
+    """``columns`` of ``docs`` with ``lang_pred, score, rejected`` (each after ``prefix``); ``docs`` has a string ``text``."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string, score double, rejected boolean"])
-    return docs.mapInArrow(_predict(model, columns), schema)
+    names = [prefix + x for x in ("lang_pred", "score", "rejected")]
+    added = (f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True))
+    return docs.mapInArrow(_predict(model, columns, names), ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *added]))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that language ID rejects; columns unchanged, no shuffle."""
     model = train_split(docs)
     names = docs.columns
-    return predict(docs, model, names).filter(~F.col("rejected")).select(*names)
+    return predict(docs, model, names, P).filter(~F.col(P + "rejected")).select(*[f"`{n}`" for n in names])
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -154,6 +154,9 @@ def test_language_id_edge_cases(spark):
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3 and all(got[i].rejected for i in (100, 101, 102))
     assert got[103].rejected and not got[104].rejected and got[104].lang_pred == "en"
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(60))
+    clash = df.withColumns({"score": F.lit("mine"), "rejected": F.lit(1), "lang_pred": F.lit(None).cast("string")})
+    kept = langid.keep_known(clash)
+    assert kept.columns == clash.columns and {r.score for r in kept.collect()} == {"mine"}
     none = langid.predict(df.select("doc_id", "text"), langid.train_split(df.filter("false")), ["doc_id"])
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
