@@ -28,7 +28,7 @@ LEVELS = 3  # FAN ** LEVELS records under a top node; a longer shard has several
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """``page_id, shard, seq, offset, length, record`` of each row."""
+    """``page_id, shard, key, record`` of each row; ``page_id`` and ``key`` (the record's hash when written) order a shard."""
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
@@ -42,22 +42,18 @@ def warc_records(pages: DataFrame) -> DataFrame:
         F.lit("\r\n\r\n"),
     )
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("record"))
-    rows = rows.withColumn("shard", F.coalesce(F.floor(F.col("page_id") / SHARD_PAGES), F.lit(-1)))
-    return order_records(rows.withColumn(P + "key", F.sha2("record", 256)), ["page_id", P + "key"])
-
-
-def order_records(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Number the records of each shard and give each its byte range."""
-    w = Window.partitionBy("shard").orderBy(*by)
-    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("seq", F.row_number().over(w).cast("long") - 1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.select("page_id", "shard", "seq", "offset", "length", "record")
+    shard = F.coalesce(F.floor(F.col("page_id") / SHARD_PAGES), F.lit(-1))
+    return rows.select("page_id", shard.alias("shard"), F.sha2("record", 256).alias("key"), "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 0 of the trees: the hash of each record with its range."""
-    digest = F.sha2(F.concat_ws(":", "seq", "offset", "length", F.sha2("record", 256)), 256)
-    return records.select("shard", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), digest.alias("hash"), "page_id")
+    """Level 0 of the trees: the hash of each record with its ordered range. Only digests and lengths are shuffled, never records."""
+    slim = records.select("page_id", "shard", "key", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias(P + "sha"))
+    w = Window.partitionBy("shard").orderBy("page_id", "key")
+    rows = slim.withColumn("seq", F.row_number().over(w).cast("long") - 1)
+    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    digest = F.sha2(F.concat_ws(":", "seq", "offset", "length", P + "sha"), 256)
+    return rows.select("shard", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), digest.alias("hash"), "page_id")
 
 
 def tree(level0: DataFrame) -> list[DataFrame]:
@@ -88,19 +84,18 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
 
 
 def store_replica(records: DataFrame, path: str) -> None:
-    """Write the record bytes of a replica, in shard order, to any file system Spark knows."""
-    records.select("page_id", "shard", "seq", F.encode("record", "UTF-8").alias("bytes")).write.parquet(path)
+    """Write the record bytes of a replica, with the hashes of the time of writing, to any file system Spark knows."""
+    records.select("page_id", "shard", "key", F.encode("record", "UTF-8").alias("bytes")).write.parquet(path)
 
 
 def load_replica(spark, path: str) -> DataFrame:
-    """Records of a stored replica; ranges are measured again from the bytes."""
-    rows = spark.read.parquet(path).withColumn("record", F.decode("bytes", "UTF-8"))
-    return order_records(rows, ["seq"])
+    """Records of a stored replica; hashes and ranges of its tree are measured again from the bytes."""
+    return spark.read.parquet(path).select("page_id", "shard", "key", F.decode("bytes", "UTF-8").alias("record"))
 
 
 def write_warc(records: DataFrame) -> DataFrame:
     """One row per shard with its WARC bytes, for sinks that take files (bounded by ``SHARD_PAGES`` pages a shard)."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "record"))), lambda x: x["record"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "key", "record"))), lambda x: x["record"])
     return records.groupBy("shard").agg(F.encode(F.array_join(parts, ""), "UTF-8").alias("bytes"))
 
 
@@ -137,9 +132,8 @@ def op5_warc_fixity(spark, sf_dir: str) -> DataFrame:
     records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     path = work_path(spark, "replica")
     store_replica(records, path)
-    ours = [materialize(x, "tree") for x in tree(leaves(records))[:1]]
-    theirs = [materialize(x, "tree") for x in tree(leaves(load_replica(spark, path)))[:1]]
-    ours, theirs = tree(ours[0]), tree(theirs[0])
+    ours = tree(materialize(leaves(records), "leaves"))
+    theirs = tree(materialize(leaves(load_replica(spark, path)), "leaves"))
     bad = audit(ours, theirs)
     root = ours[LEVELS].select("shard", F.col("node").alias("top"), F.col("hash").alias("root"))
     rows = ours[0].withColumn("top", F.floor(F.col("node") / FAN**LEVELS)).join(root, ["shard", "top"])
