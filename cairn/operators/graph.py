@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
@@ -36,7 +36,7 @@ def link_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping: float = 0.85, tolerance: float | None = 1e-6, seeds: DataFrame | None = None) -> DataFrame:
     """GR-01 and GR-02: ``id, rank`` with the largest rank 1. Sinks spread over all nodes. With ``seeds(id, weight)`` the jump goes to them in proportion.
 
-    With ``tolerance=None`` exactly ``iterations`` steps run; else the L1 change is tested every second step."""
+    With ``tolerance=None`` exactly ``iterations`` steps run; else they end when the L1 change is below it."""
     count = nodes.select("id").distinct().count()
     if not count:
         return nodes.select("id").withColumn("rank", F.lit(0.0))
@@ -49,20 +49,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping:
         total = seeds.agg(F.sum("weight")).first()[0] or 0
         jump = F.coalesce(F.col("weight") / F.lit(float(total or 1)), F.lit(0.0)) if total else F.lit(1.0 / count)
         base = base.join(seeds.groupBy("id").agg(F.sum("weight").alias("weight")), "id", "left").withColumn("jump", jump).drop("weight")
-    base = cut(base)
-    rank = base.withColumn("rank", F.lit(1.0 / count))
-    for step in range(iterations):
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    sink = lambda rank: F.coalesce(F.sum(F.when(F.col("out").isNull(), rank)), F.lit(0.0))
+    seen = Observation()
+    rank = cut(base.withColumn("rank", F.lit(1.0 / count)).observe(seen, sink(F.col("rank")).alias("lost"), F.max("rank").alias("most")))
+    for _ in range(iterations):
+        lost = seen.get["lost"]  # what the sinks spread, measured while the last step was written
         into = links.join(rank.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("into"))
-        new = rank.withColumnRenamed("rank", "old").join(into, "id", "left").crossJoin(F.broadcast(lost))
-        value = (1 - damping) * F.col("jump") + damping * (F.col("lost") / count + F.coalesce("into", F.lit(0.0)))
-        new = cut(new.select("id", "out", "jump", "old", value.alias("rank")))
-        done = tolerance is not None and step % 2 == 1 and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0) < tolerance
+        value = (1 - damping) * F.col("jump") + damping * (F.lit(lost / count) + F.coalesce("into", F.lit(0.0)))
+        new = rank.withColumnRenamed("rank", "old").join(into, "id", "left").select("id", "out", "jump", "old", value.alias("rank"))
+        seen = Observation()
+        new = cut(new.observe(seen, sink(F.col("rank")).alias("lost"), F.max("rank").alias("most"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")))
         rank = new.drop("old")
-        if done:
+        if tolerance is not None and seen.get["moved"] < tolerance:
             break
-    most = rank.agg(F.max("rank").alias("most"))
-    return rank.crossJoin(F.broadcast(most)).select("id", F.when(F.col("most") > 0, F.col("rank") / F.col("most")).otherwise(0.0).alias("rank"))
+    most = seen.get["most"]
+    return rank.select("id", (F.col("rank") / most if most > 0 else F.lit(0.0)).alias("rank"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
