@@ -100,8 +100,8 @@ def _repair(rows: DataFrame, by_source: DataFrame, total: int) -> DataFrame:
     taken = rows.groupBy(*SRC).agg(F.sum(F.col("copies") * F.col("size")).alias(P + "taken"))
     gap = by_source.join(taken, SRC).select(*SRC, P + "docs", (F.round("target").cast("long") - F.col(P + "taken")).alias(P + "gap"))
     off = F.col(P + "gap")
-    open_rows = hot_join(rows, gap.filter(off != 0), SRC, P + "docs", total)
-    can = F.when(off > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs(off))
+    open_rows = hot_join(rows, gap, SRC, P + "docs", total)  # settled sources too, else their rows would be shuffled to find that out
+    can = (off != 0) & F.when(off > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs(off))
     key = F.struct(F.abs(F.abs(off) - F.col("size")).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(UID).alias("u"))
     best = open_rows.filter(can).groupBy(*SRC).agg(F.min(key).alias(P + "b"), F.max(F.signum(off).cast("int")).alias(P + "d"))
     move = best.select(F.col(P + "b.u").alias(UID), F.col(P + "d"))
