@@ -130,9 +130,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes it: each row as many times as it has copies, with its size and its source's target."""
-    taken = mix(docs).filter("copies > 0").select(UID, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), "copies")
+    taken = mix(docs).filter("copies > 0").select(UID, F.col("size").alias(P + "size"), F.col("target").alias(P + "target"), F.col("copies").alias(P + "copies"))
     both = with_uid(docs).join(taken.hint("shuffle_hash"), UID)
-    return both.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(UID, "copies")
+    both = both.withColumns({"mix_size": F.col(P + "size"), "mix_target": F.col(P + "target")})
+    return both.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies")))).drop(UID, P + "size", P + "target", P + "copies")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

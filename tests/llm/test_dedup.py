@@ -191,6 +191,7 @@ def test_mixing_meets_targets(spark, tmp_path):
         taken[s] = taken.get(s, 0) + r.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(5, 0.01 * t), s
+    assert apply_mix(docs.withColumn("copies", F.lit("mine"))).select("copies").distinct().collect() == [("mine",)]
     out = apply_mix(docs)
     assert out.agg(F.sum("mix_size")).first()[0] == sum(taken.values())
 
