@@ -144,7 +144,8 @@ class Index:
             for d in range(-int(slack.max()), int(slack.max()) + 1):
                 near = np.abs(d) <= slack[item]
                 s = np.maximum(q[near] - p[near] + d, begins[q[near]])
-                np.maximum.at(want, s, steps[item[near]].astype(np.int8))
+                inside = s < len(flat)  # a run at the very end of a block has no later starts
+                np.maximum.at(want, s[inside], steps[item[near][inside]].astype(np.int8))
         at = np.flatnonzero(want)
         return at, want[at]
 

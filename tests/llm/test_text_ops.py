@@ -84,6 +84,17 @@ def test_recall_of_lightly_edited_items():
     assert found >= 0.95 * len(items)
 
 
+def test_a_run_at_the_very_end_of_a_block():
+    import numpy as np
+
+    text = words(random.Random(8), 30)
+    index = decontam.Index([(1, text)])
+    for tokens in (text.split()[:3], text.split(), ["x"] * 5 + text.split()[:4]):
+        flat = np.array([index.vocab.get(w, 0) for w in tokens], np.int64)
+        places, _ = index.candidates(flat, np.array([0]))
+        assert (places < len(flat)).all()
+
+
 def test_blocks_of_items_give_the_same(spark, tmp_path, monkeypatch):
     rng = random.Random(4)
     items = spark.createDataFrame([(i, words(rng, 30)) for i in range(12)], "item_id long, text string").cache()
