@@ -9,7 +9,7 @@ from cairn.llm.decontam import drop_leaks
 from cairn.llm.exact_dedup import drop_copies
 from cairn.llm.langid import keep_known
 from cairn.llm.mixing import apply_mix
-from cairn.llm.simhash import drop_near_copies
+from cairn.llm.near_copies import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
