@@ -89,8 +89,8 @@ def store_replica(records: DataFrame, path: str) -> None:
 
 
 def load_replica(spark, path: str) -> DataFrame:
-    """Records of a stored replica; hashes and ranges of its tree are measured again from the bytes."""
-    return spark.read.parquet(path).select("page_id", "shard", "key", F.decode("bytes", "UTF-8").alias("record"))
+    """Records of a stored replica as bytes, never decoded; hashes and ranges of its tree are measured again from them."""
+    return spark.read.parquet(path).select("page_id", "shard", "key", F.col("bytes").alias("record"))
 
 
 def write_warc(records: DataFrame) -> DataFrame:

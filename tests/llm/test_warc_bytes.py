@@ -1,0 +1,21 @@
+"""Damage to the stored bytes of a replica, also where it is no longer UTF-8."""
+
+from pyspark.sql import functions as F
+
+from cairn.llm import warc
+from cairn.llm.common import materialize, work_path
+
+
+def test_flipped_bytes_are_located(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>é {i}</p>") for i in range(600)], "page_id long, url string, html string")
+    ours = warc.warc_records(pages)
+    path = work_path(spark, "test")
+    warc.store_replica(ours, path)
+    stored = spark.read.parquet(path)
+    flip = lambda at, by: F.expr(f"unhex(concat(substr(hex(bytes), 1, {2 * at}), '{by}', substr(hex(bytes), {2 * at + 3})))")
+    bad = F.when(F.col("page_id") == 7, flip(12, "FF")).when(F.col("page_id") == 300, flip(40, "C3")).when(F.col("page_id") == 301, flip(40, "58")).otherwise(F.col("bytes"))
+    damaged = work_path(spark, "damaged")
+    stored.withColumn("bytes", bad).write.parquet(damaged)
+    theirs = warc.tree(materialize(warc.leaves(warc.load_replica(spark, damaged)), "leaves"))
+    got = warc.audit(warc.tree(materialize(warc.leaves(ours), "leaves")), theirs).collect()
+    assert sorted((r.shard, r.seq, r.status) for r in got) == [(0, 7, "changed"), (0, 300, "changed"), (0, 301, "changed")]
