@@ -4,8 +4,13 @@ A page is cut into blocks at block-level tags. Pass one labels a block by its pl
 navigation, header, footer, aside, form, advert, notice or comment containers: bad) and by
 length, link density and stop-word density (good, bad, near-good, short). Pass two gives
 short and near-good blocks the label of the nearest decided neighbours; where both sides differ
-a near-good block stays and a short one goes. If a page marks its article, only blocks in it
-can be text, and no rule but the container rules takes them away.
+a near-good block stays and a short one goes.
+
+An <article> is evidence, not a verdict: where articles hold at least as many code points as the good
+blocks outside them, a block in one that only its stop words make bad is near-good, a near-good one
+is good, the edge of an article counts as a good neighbour for blocks within and as a bad one for
+those without, and containers set into it (adverts) say nothing about the blocks around them. Length,
+link density and neighbours decide there as elsewhere; other articles (teasers) have no such evidence.
 
 Defined cases: null html is the empty page with empty text; unclosed and stray tags end with
 their container; repeated rows are extracted each; an empty table gives no rows.
@@ -73,13 +78,13 @@ def _is_bad(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(_BAD_NAME.search(name)) or (bool(_DOUBTFUL_NAME.search(name)) and not _BODY_NAME.search(name))
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
-    """(text, code points in links, in an article, in a bad container, heading tag or '') of each block, in order."""
-    out: list[tuple[str, int, bool, bool, str]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool, str]]:
+    """(text, code points in links, number of the outermost article or 0, in a bad container, heading tag or '') of each block, in order."""
+    out: list[tuple[str, int, int, bool, str]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, bad, article
-    n_bad = n_article = n_links = 0
+    n_bad = n_article = n_links = articles = 0
     heading = ""
 
     def flush() -> None:
@@ -87,7 +92,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
         if text:
             whole = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             if whole:
-                out.append((whole, linked, n_article > 0, n_bad > 0, heading))
+                out.append((whole, linked, articles if n_article else 0, n_bad > 0, heading))
             text.clear()
         linked = 0
 
@@ -145,6 +150,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
         art = tag == "article" or attrs.get("itemprop", "").lower() == "articlebody"
         stack.append((tag, bad, art))
         n_bad += bad
+        articles += art and not n_article
         n_article += art
         n_links += tag == "a"
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -153,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
     return out
 
 
-def classify(block: tuple[str, int, bool, bool, str]) -> str:
+def classify(block: tuple[str, int, int, bool, str]) -> str:
     """First pass: good, near, short or bad."""
     text, linked, _, bad, _ = block
     if bad or linked > MAX_LINK_DENSITY * len(text):
@@ -169,22 +175,27 @@ def classify(block: tuple[str, int, bool, bool, str]) -> str:
     return "near" if density >= STOPWORDS_LOW else "bad"
 
 
-def settle(kinds: list[str], headings: list[str]) -> list[bool]:
-    """Second pass: which blocks are text."""
+def settle(kinds: list[str], headings: list[str], inside: list[int] | None = None) -> list[bool]:
+    """Second pass: which blocks are text. ``inside`` numbers the article with evidence that a block is in (0: none)."""
     n = len(kinds)
-    before, after = [""] * n, [""] * n
-    seen = "bad"
-    for i in range(n):
-        before[i] = seen
-        seen = kinds[i] if kinds[i] in ("good", "bad") else seen
-    seen = "bad"
-    for i in range(n - 1, -1, -1):
-        after[i] = seen
-        seen = kinds[i] if kinds[i] in ("good", "bad") else seen
+    inside = inside or [0] * n
+
+    def nearest(order: range) -> list[str]:
+        out, seen, place = [""] * n, "bad", 0
+        for i in order:
+            if inside[i] != place:
+                seen, place = "good" if inside[i] else "bad", inside[i]
+            out[i] = seen
+            seen = kinds[i] if kinds[i] in ("good", "bad") else seen
+        return out
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
     out = []
     for kind, a, b, h in zip(kinds, before, after, headings, strict=True):
         if kind in ("good", "bad"):
             out.append(kind == "good")
+        elif kind == "set in":
+            out.append(False)
         elif h and b == "good":  # a heading belongs to what follows
             out.append(True)
         else:
@@ -192,11 +203,32 @@ def settle(kinds: list[str], headings: list[str]) -> list[bool]:
     return out
 
 
+def with_evidence(found: list[tuple[str, int, int, bool, str]], kinds: list[str]) -> tuple[list[str], list[int]]:
+    """The labels of pass one with the evidence of articles, and the article with evidence of each block (or 0)."""
+    outside, within = 0, 0
+    for (text, linked, article, bad, _), kind in zip(found, kinds, strict=True):
+        if article:
+            within += 0 if bad or linked > MAX_LINK_DENSITY * len(text) else len(text)
+        elif kind == "good":
+            outside += len(text)
+    if within < outside or not within:
+        return kinds, [0] * len(kinds)
+    out = []
+    for (text, linked, article, bad, _), kind in zip(found, kinds, strict=True):
+        if article and bad:
+            kind = "set in"
+        elif article and kind == "near":
+            kind = "good"
+        elif article and kind == "bad" and linked <= MAX_LINK_DENSITY * len(text) and not ("\xa9" in text and len(text) < LENGTH_HIGH):
+            kind = "near"
+        out.append(kind)
+    return out, [b[2] for b in found]
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    if any(b[2] and not b[3] for b in found):
-        return " ".join(b[0] for b in found if b[2] and not b[3])
-    keep = settle([classify(b) for b in found], [b[4] for b in found])
+    kinds, inside = with_evidence(found, [classify(b) for b in found])
+    keep = settle(kinds, [b[4] for b in found], inside)
     return " ".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
