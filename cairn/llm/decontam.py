@@ -37,7 +37,8 @@ MAX_EDITS = 0.2
 SEED_WORDS = 3
 REPETITIONS = 48
 SAMPLES = 4
-STEPS = (1, 2, 4, 8, 16, 24, 32, 48)
+#: Walks of close lengths share a class: each class is at most this much longer than the one below.
+STEP_CLASS = 1.25
 BLOCK_CHARS = 20_000_000
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -48,6 +49,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def step_classes(longest: int) -> list[int]:
+    """Numbers of steps a walk may take, up to twice the words of the longest item: a walk moves on at every second step on average."""
+    out = [1]
+    while out[-1] < 2 * longest:
+        out.append(max(out[-1] + 1, int(out[-1] * STEP_CLASS)))
+    return out
+
+
 class Index:
     """CGK/LSH tables of a block of items."""
 
@@ -66,8 +75,10 @@ class Index:
         self.slack = [max(2, int(MAX_EDITS * len(w)) + 1) for w in self.words]
         rng = np.random.default_rng(seed)
         n = len(self.vocab) + 1
-        self.bits = np.stack([_mix(np.arange(n, dtype=np.uint64) * _M1 + np.uint64(int(s))) for s in rng.integers(1, 2**62, REPETITIONS)])
-        self.steps = np.array([max(s for s in STEPS if s <= max(1, 2 * len(w))) for w in self.words])
+        self.seeds = [int(s) for s in rng.integers(1, 2**62, REPETITIONS)]
+        self.vocab_hashes = np.arange(n, dtype=np.uint64) * _M1
+        classes = step_classes(self.longest)
+        self.steps = np.array([max(s for s in classes if s <= max(1, 2 * len(w))) for w in self.words], np.int64)
         self.picks = {s: [np.sort(rng.choice(s, min(s, SAMPLES), replace=False)) for _ in range(REPETITIONS)] for s in set(self.steps.tolist())}
         self.salt = rng.integers(1, 2**62, SAMPLES).astype(np.uint64)
         # runs of words: sorted keys, each with its (item, place in the item)
@@ -82,8 +93,9 @@ class Index:
         self.run_at = np.array(at, np.int64).reshape(-1, 2)[order]
         self.run_sizes = sorted({min(SEED_WORDS, len(w)) for w in self.words})
         self.tables: list[dict[int, dict[int, list[int]]]] = [defaultdict(lambda: defaultdict(list)) for _ in range(REPETITIONS)]
-        flat = np.concatenate([np.concatenate([w, np.zeros(max(STEPS), np.int64)]) for w in self.words]) if self.words else np.zeros(0, np.int64)
-        starts = np.cumsum([0] + [len(w) + max(STEPS) for w in self.words])[:-1]
+        pad = max(self.picks, default=0)
+        flat = np.concatenate([np.concatenate([w, np.zeros(pad, np.int64)]) for w in self.words]) if self.words else np.zeros(0, np.int64)
+        starts = np.cumsum([0] + [len(w) + pad for w in self.words])[:-1]
         for s in self.picks:
             mine = np.flatnonzero(self.steps == s)
             for r in range(REPETITIONS):
@@ -106,21 +118,22 @@ class Index:
         at = at.copy()
         out = {s: np.full(len(at), np.uint64(s)) for s in self.picks if s <= longest}
         used = {s: 0 for s in out}
-        bits = self.bits[r]
         last = len(flat) - 1
         for j in range(longest):
+            if j % 64 == 0:  # bits for the next 64 steps of each word
+                bits = _mix(self.vocab_hashes + np.uint64((self.seeds[r] + j // 64 * int(_M2)) % 2**64))
             w = flat[np.minimum(at, last)]
             for s in out:
                 p = self.picks[s][r]
                 if used[s] < len(p) and p[used[s]] == j:
                     out[s] = _mix((out[s] ^ w.astype(np.uint64)) * _M1 + self.salt[used[s]])
                     used[s] += 1
-            at += ((bits[w] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+            at += ((bits[w] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
         return out
 
     def windows(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in ``flat``, longest walk wanted there) of the windows worth a walk."""
-        want = np.zeros(len(flat), np.int8)
+        want = np.zeros(len(flat), np.int64)
         begins = np.zeros(len(flat), np.int64)
         begins[starts[starts < len(flat)]] = starts[starts < len(flat)]
         begins = np.maximum.accumulate(begins)
@@ -145,7 +158,7 @@ class Index:
                 near = np.abs(d) <= slack[item]
                 s = np.maximum(q[near] - p[near] + d, begins[q[near]])
                 inside = s < len(flat)  # a run at the very end of a block has no later starts
-                np.maximum.at(want, s[inside], steps[item[near][inside]].astype(np.int8))
+                np.maximum.at(want, s[inside], steps[item[near][inside]])
         at = np.flatnonzero(want)
         return at, want[at]
 

@@ -1,0 +1,32 @@
+"""Walks are as long as the item, so an item whose start is rewritten is found."""
+
+import random
+
+import numpy as np
+
+from cairn.llm import decontam
+
+
+def recall(n, fresh, count=60):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"{'abcdefgh'[rng.randrange(8)]}{rng.randrange(4000)}" for _ in range(n))) for i in range(count)]
+    index = decontam.Index(items)
+    found = 0
+    for i, text in items:
+        tokens = [f"n{rng.randrange(1000)}" for _ in range(50 + fresh)] + text.split()[fresh:] + ["end"] * 50
+        flat = np.array([index.vocab.get(w, 0) for w in tokens], np.int64)
+        places, which = index.candidates(flat, np.array([0]))
+        mine = sorted(p for p, w in zip(places.tolist(), which.tolist(), strict=True) if w == i)
+        found += bool(mine and decontam.verify(index, i, tokens, mine))
+    return found / count
+
+
+def test_items_with_a_rewritten_start_are_found():
+    assert recall(59, 11) >= 0.95
+    assert recall(150, 28) >= 0.95
+
+
+def test_walks_grow_with_the_item():
+    index = decontam.Index([(1, " ".join(f"w{i}" for i in range(400)))])
+    assert index.steps[0] >= 640
+    assert max(p.max() for p in index.picks[index.steps[0]]) > 600
