@@ -1,45 +1,55 @@
 """Benchmark decontamination: CGK walks, bit-sampling LSH over item-sized windows, exact edit check.
 
-Texts and benchmark items become word sequences (lower case, letters and digits). A CGK walk
-reads a sequence with one random bit per (step, word): it emits the word it stands on and moves
-on if the bit says so; sequences at a small edit distance fall back into step after an edit and
-so emit the same words at most steps. Each repetition has its own bits and samples a few steps;
-an item and a window whose sampled words agree are a candidate. A candidate is reported only
-if the item occurs in the text near the window within ``MAX_EDITS`` of its length, by exact
-semi-global edit distance over code points.
-
-Windows start where they can: with at most ``MAX_EDITS`` of its words edited an item keeps a run of
-``SEED_WORDS`` words (pigeonhole; items shorter than that keep all), so only windows with such a run on
-about the right diagonal are walked. This loses nothing that the final check would accept at
-the word level.
-
-The index of a block of items is broadcast; a block is bounded by ``BLOCK_CHARS`` code points, and
-a larger benchmark is searched block by block.
-
-Defined cases: null and empty texts and items have no words and match nothing; repeated items
-are reported under each id; repeated rows each; an empty table on either side gives no rows.
+Texts and items are word sequences (lower-cased runs of letters and digits), and edits are insertions, deletions
+and replacements of words. An item of ``n`` words is leaked in a text if it occurs there with at most
+``MAX_EDITS * n`` edits (rounded down).
+
+A CGK walk reads a sequence with one random bit per (step, word): it emits the word it stands on and moves on if the
+bit says so (here two times in three), so that sequences at a small edit distance fall back into step after an edit and
+emit the same words at most steps. A walk takes as many steps as cross the item, whatever its length. Each
+repetition has its own bits and samples a few steps from anywhere in the walk; an item and a window whose sampled words
+agree are a candidate. The repetitions are as many as ``TARGET`` recall needs at the largest number of edits.
+
+Windows start at every ``stride``-th word of the text, where the stride is about a third of the item; the index holds the
+walks of an item from each of its first ``stride`` words, so one of them starts at the very word a window starts at.
+Two exact bounds save work and lose nothing that the final check accepts: a window can only hold an item if
+enough of its words are words of the benchmark at all, and a candidate if enough of them are words of that item.
+
+The index of a block of items is broadcast; a block is bounded by ``BLOCK_CHARS`` code points, and a larger benchmark
+is searched block by block.
+
+Defined cases: null and empty texts and items have no words and match nothing; repeated items are reported under
+each id; repeated rows each; very long texts are walked in pieces of ``WINDOWS`` windows; extra columns are ignored (kept
+by ``drop_leaks``, whatever their names); an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, materialize, with_uid
+from .common import UID, as_scan, materialize, with_uid
 
 MAX_EDITS = 0.2
-SEED_WORDS = 3
-REPETITIONS = 48
-SAMPLES = 4
-#: Walks of close lengths share a class: each class is at most this much longer than the one below.
-STEP_CLASS = 1.25
+TARGET = 0.95
+#: Share of the steps at which an item and a copy with ``MAX_EDITS`` edits agree, as measured on items of 14 to 60 words.
+AGREE = 0.45
+ADVANCE = 2 / 3
+#: Expected false candidates a window that the choice of samples per repetition allows.
+NOISE = 0.05
+STEP_CLASS = 1.4
+WINDOWS = 65_536
+PAIRS = 500_000
 BLOCK_CHARS = 20_000_000
+TABLE_BYTES = 200_000_000
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -49,146 +59,228 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def step_classes(longest: int) -> list[int]:
-    """Numbers of steps a walk may take, up to twice the words of the longest item: a walk moves on at every second step on average."""
-    out = [1]
-    while out[-1] < 2 * longest:
-        out.append(max(out[-1] + 1, int(out[-1] * STEP_CLASS)))
-    return out
+def stride_of(words: int) -> int:
+    """The largest power of two that is at most a third of the item, one at least."""
+    return 1 << max(0, (words // 3).bit_length() - 1)
+
+
+def step_class(steps: float) -> int:
+    """The largest length of a walk in the classes 1, 2, 3, 4, 5, 7, 9, 12, 16, ... that is at most ``steps``."""
+    s = 1
+    while (more := max(s + 1, int(s * STEP_CLASS))) <= steps:
+        s = more
+    return s
 
 
 class Index:
     """CGK/LSH tables of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], seed: int = 7, target: float = TARGET):
         self.vocab: dict[str, int] = {}
         self.ids: list[int] = []
         self.words: list[np.ndarray] = []
-        self.norm: list[str] = []
         for item, text in items:
             found = WORD.findall((text or "").lower())
             if found:
                 self.ids.append(item)
-                self.norm.append(" ".join(found))
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in found], np.int64))
-        self.longest = max((len(w) for w in self.words), default=0)
-        self.slack = [max(2, int(MAX_EDITS * len(w)) + 1) for w in self.words]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.most = (MAX_EDITS * self.size).astype(np.int64)
+        self.stride = np.array([stride_of(n) for n in self.size.tolist()], np.int64)
+        self.steps = np.array([step_class((n - t + 1) / ADVANCE) for n, t in zip(self.size.tolist(), self.stride.tolist(), strict=True)], np.int64)
+        #: (steps, stride) of the classes of items, with the fewest words of any of them and the widest reach
+        self.classes = sorted(set(zip(self.steps.tolist(), self.stride.tolist(), strict=True)))
         rng = np.random.default_rng(seed)
+        self.seed = int(rng.integers(1, 2**62))
         n = len(self.vocab) + 1
-        self.seeds = [int(s) for s in rng.integers(1, 2**62, REPETITIONS)]
-        self.vocab_hashes = np.arange(n, dtype=np.uint64) * _M1
-        classes = step_classes(self.longest)
-        self.steps = np.array([max(s for s in classes if s <= max(1, 2 * len(w))) for w in self.words], np.int64)
-        self.picks = {s: [np.sort(rng.choice(s, min(s, SAMPLES), replace=False)) for _ in range(REPETITIONS)] for s in set(self.steps.tolist())}
-        self.salt = rng.integers(1, 2**62, SAMPLES).astype(np.uint64)
-        # runs of words: sorted keys, each with its (item, place in the item)
-        keys, at = [], []
-        for i, w in enumerate(self.words):
-            k = min(SEED_WORDS, len(w))
-            for p in range(len(w) - k + 1):
-                keys.append(self._run_key(w[p : p + k], k))
-                at.append((i, p))
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.run_keys = np.array(keys, np.uint64)[order]
-        self.run_at = np.array(at, np.int64).reshape(-1, 2)[order]
-        self.run_sizes = sorted({min(SEED_WORDS, len(w)) for w in self.words})
-        self.tables: list[dict[int, dict[int, list[int]]]] = [defaultdict(lambda: defaultdict(list)) for _ in range(REPETITIONS)]
-        pad = max(self.picks, default=0)
-        flat = np.concatenate([np.concatenate([w, np.zeros(pad, np.int64)]) for w in self.words]) if self.words else np.zeros(0, np.int64)
-        starts = np.cumsum([0] + [len(w) + pad for w in self.words])[:-1]
-        for s in self.picks:
-            mine = np.flatnonzero(self.steps == s)
-            for r in range(REPETITIONS):
-                for i, key in zip(mine, self.signature(flat, starts[mine], r, s)[s].tolist(), strict=True):
-                    self.tables[r][s][key].append(int(i))
-        self.sorted = [{s: np.array(sorted(t), np.uint64) for s, t in table.items()} for table in self.tables]
-        self.tables = [{s: dict(t) for s, t in table.items()} for table in self.tables]
-
-    @staticmethod
-    def _run_key(w, k: int):
-        h = np.uint64(k)
-        with np.errstate(over="ignore"):
-            for x in w:
-                h = (h ^ np.uint64(x)) * _M1
-                h = h ^ (h >> np.uint64(29))
-        return h
-
-    def signature(self, flat: np.ndarray, at: np.ndarray, r: int, longest: int) -> dict[int, np.ndarray]:
-        """Hashes of the words that walk ``r`` from each place of ``flat`` emits at the sampled steps, for each number of steps up to ``longest``."""
+        self.vocab_hashes = _mix(np.arange(1, n + 1, dtype=np.uint64) * _M1)
+        starts = sum(self.stride.tolist())
+        seen = np.bincount(np.concatenate(self.words), minlength=n) if self.words else np.zeros(n)
+        clash = float(((seen / max(1, seen.sum())) ** 2).sum())
+        self.samples = 2
+        while self.words and self.samples < 8 and starts * clash**self.samples > NOISE:
+            self.samples += 1
+        self.repetitions = math.ceil(math.log(1 - target) / math.log(1 - AGREE**self.samples))
+        self.picks = [[np.sort(rng.choice(s, min(s, self.samples), replace=False)) for s, _ in self.classes] for _ in range(self.repetitions)]
+        self._build()
+
+    def _build(self) -> None:
+        """Keys of the walks of all items from each of their first ``stride`` words, sorted, per repetition."""
+        longest = max((s for s, _ in self.classes), default=0)
+        flat = np.concatenate([np.append(w, np.zeros(longest + 1, np.int64)) for w in self.words]) if self.words else np.zeros(0, np.int64)
+        begin = np.cumsum(np.array([0] + [len(w) + longest + 1 for w in self.words]))[:-1]
+        item = np.repeat(np.arange(len(self.words)), self.stride)
+        offset = np.arange(len(item)) - np.repeat(np.cumsum(self.stride) - self.stride, self.stride)
+        of = {c: k for k, c in enumerate(self.classes)}
+        cls = np.array([of[c] for c in zip(self.steps.tolist(), self.stride.tolist(), strict=True)], np.int64)
+        order = np.argsort(-self.steps[item], kind="stable")
+        item, offset = item[order], offset[order]
+        which = [np.flatnonzero(cls[item] == k) for k in range(len(self.classes))]
+        self.tables = []
+        for r in range(self.repetitions if self.words else 0):
+            rows, keys = [], []
+            for k, key, known in self.signatures(flat, begin[item] + offset, self.steps[item], which, r):
+                rows.append(which[k][known])
+                keys.append(key[known])
+            rows, keys = np.concatenate(rows), np.concatenate(keys)
+            by = np.argsort(keys, kind="stable")
+            self.tables.append((keys[by], item[rows[by]], offset[rows[by]]))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def bits(self, r: int, steps: int) -> np.ndarray:
+        """(steps, vocabulary): whether walk ``r`` moves on from a word."""
+        cache = self.__dict__.setdefault("_bits", {})
+        if r not in cache or len(cache[r]) < steps:
+            out = np.empty((steps, len(self.vocab_hashes)), np.int8)
+            for j in range(steps):
+                salt = _mix(np.array([(self.seed + r * 1_000_003 + j * 7919) % 2**64], np.uint64) * _M1)
+                out[j] = _mix(self.vocab_hashes ^ salt) % np.uint64(3) != 0
+            if self.repetitions * out.size > TABLE_BYTES:
+                return out
+            cache[r] = out
+        return cache[r]
+
+    def signatures(self, flat: np.ndarray, at: np.ndarray, steps: np.ndarray, which: list[np.ndarray], r: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Walk ``r`` from the places ``at`` (longest walks first) of ``flat``: for each class its number, and for the
+        places ``which[class]`` a hash of the sampled words and whether all of them are words of the benchmark."""
         at = at.copy()
-        out = {s: np.full(len(at), np.uint64(s)) for s in self.picks if s <= longest}
-        used = {s: 0 for s in out}
-        last = len(flat) - 1
-        for j in range(longest):
-            if j % 64 == 0:  # bits for the next 64 steps of each word
-                bits = _mix(self.vocab_hashes + np.uint64((self.seeds[r] + j // 64 * int(_M2)) % 2**64))
-            w = flat[np.minimum(at, last)]
-            for s in out:
-                p = self.picks[s][r]
-                if used[s] < len(p) and p[used[s]] == j:
-                    out[s] = _mix((out[s] ^ w.astype(np.uint64)) * _M1 + self.salt[used[s]])
-                    used[s] += 1
-            at += ((bits[w] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        return out
-
-    def windows(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``flat``, longest walk wanted there) of the windows worth a walk."""
-        want = np.zeros(len(flat), np.int64)
-        begins = np.zeros(len(flat), np.int64)
-        begins[starts[starts < len(flat)]] = starts[starts < len(flat)]
-        begins = np.maximum.accumulate(begins)
-        slack, steps = np.array(self.slack), self.steps
-        for k in self.run_sizes:
-            if len(flat) < k:
-                continue
-            h = np.full(len(flat) - k + 1, np.uint64(k))
-            known = np.ones(len(h), bool)
-            for x in range(k):
-                w = flat[x : len(flat) - k + 1 + x]
-                known &= w > 0
-                h = (h ^ w.astype(np.uint64)) * _M1
-                h ^= h >> np.uint64(29)
-            places = np.flatnonzero(known)
-            lo, hi = np.searchsorted(self.run_keys, h[places]), np.searchsorted(self.run_keys, h[places], side="right")
-            n = hi - lo
-            q = np.repeat(places, n)
-            row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            item, p = self.run_at[row, 0], self.run_at[row, 1]
-            for d in range(-int(slack.max()), int(slack.max()) + 1):
-                near = np.abs(d) <= slack[item]
-                s = np.maximum(q[near] - p[near] + d, begins[q[near]])
-                inside = s < len(flat)  # a run at the very end of a block has no later starts
-                np.maximum.at(want, s[inside], steps[item[near][inside]])
-        at = np.flatnonzero(want)
-        return at, want[at]
+        emitted, move = np.empty_like(at), np.empty(len(at), np.int8)
+        picks = self.picks[r]
+        keys = [np.full(len(w), np.uint64(s * 64 + t)) for w, (s, t) in zip(which, self.classes, strict=True)]
+        known = [np.ones(len(w), bool) for w in which]
+        used = [0] * len(which)
+        last = max((int(p[-1]) for p, w in zip(picks, which, strict=True) if len(w)), default=-1)
+        table = self.bits(r, last + 1)
+        falling = -steps
+        for j in range(last + 1):
+            n = int(np.searchsorted(falling, -j, side="left"))  # walks of more than j steps
+            np.take(flat, at[:n], out=emitted[:n], mode="clip")
+            for k, w in enumerate(which):
+                if len(w) and used[k] < len(picks[k]) and picks[k][used[k]] == j:
+                    word = emitted[w]
+                    known[k] &= word > 0
+                    keys[k] = _mix((keys[k] ^ word.astype(np.uint64)) * _M1)
+                    used[k] += 1
+            np.take(table[j], emitted[:n], out=move[:n], mode="clip")
+            at[:n] += move[:n]
+        for k, w in enumerate(which):
+            if len(w):
+                yield k, keys[k], known[k]
+
+    def windows(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Starts of the windows that have enough words of the benchmark and their longest walks, by falling length, and those of each class."""
+        total = np.concatenate([[0], np.cumsum(flat > 0)])
+        at = np.arange(0, len(flat), min((t for _, t in self.classes), default=1))
+        want, fits = np.zeros(len(at), np.int64), []
+        for steps, stride in self.classes:
+            mine = (self.steps == steps) & (self.stride == stride)
+            need = int((self.size - self.most)[mine].min())
+            reach = int((self.size + self.most)[mine].max())
+            inside = total[np.minimum(at + reach, len(flat))] - total[np.maximum(at - stride + 1, 0)]
+            ok = (at % stride == 0) & (inside >= need)
+            want[ok] = np.maximum(want[ok], steps)
+            fits.append(ok)
+        order = np.argsort(-want, kind="stable")
+        order = order[: int((want > 0).sum())]
+        return at[order], want[order], [np.flatnonzero(ok[order]) for ok in fits]
 
     def candidates(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (place, item) that share the sampled words of a repetition."""
-        at, longest = self.windows(flat, starts)
-        places, items = [], []
-        for s in sorted(set(longest.tolist())):
-            group = at[longest == s]
-            for r in range(REPETITIONS):
-                for steps, sig in self.signature(flat, group, r, s).items():
-                    keys = self.sorted[r].get(steps)
-                    if keys is None:
-                        continue
-                    i = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
-                    hit = np.flatnonzero(keys[i] == sig)
-                    for x, key in zip(group[hit].tolist(), sig[hit].tolist(), strict=True):
-                        for item in self.tables[r][steps][key]:
-                            places.append(x)
-                            items.append(item)
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.array(items), np.array(places)], axis=1), axis=0)
-        return pairs[:, 1], pairs[:, 0]
-
-
-def best_edit(pattern: str, text: str) -> tuple[int, int]:
-    """Smallest edit distance of ``pattern`` to a substring of ``text``, and the end of the first best one (bit-parallel)."""
+        """Distinct (row, item, first word) that share the sampled words of a repetition and enough words, as two arrays: rows and (item, place in ``flat``)."""
+        ends = np.append(starts[1:], len(flat))
+        found = []
+        if not len(self.words) or not len(flat):
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        places, want, fits = self.windows(flat)
+        shift = int(self.stride.max())  # an item may start so many words before its window
+        width = len(flat) + shift
+        for lo in range(0, len(places), WINDOWS):
+            hi = min(lo + WINDOWS, len(places))
+            part = [f[np.searchsorted(f, lo) : np.searchsorted(f, hi)] - lo for f in fits]
+            pairs = [np.zeros(0, np.int64)]
+            for r in range(self.repetitions):
+                table, items, offsets = self.tables[r]
+                sieve = self._sieve(r)
+                for k, key, known in self.signatures(flat, places[lo:hi], want[lo:hi], part, r):
+                    hit = np.flatnonzero(known & sieve[(key & np.uint64(len(sieve) - 1)).astype(np.int64)])
+                    left = np.searchsorted(table, key[hit])
+                    n = np.searchsorted(table, key[hit], side="right") - left
+                    for a, b in _slices(n):
+                        of = np.repeat(np.arange(a, b), n[a:b])
+                        row = left[of] + np.arange(len(of)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+                        pairs.append(items[row] * width + (places[lo + part[k][hit[of]]] - offsets[row] + shift))
+                        if sum(map(len, pairs)) > PAIRS:
+                            found.append(self._plausible(flat, starts, ends, np.unique(np.concatenate(pairs)), width, shift))
+                            pairs = [np.zeros(0, np.int64)]
+            found.append(self._plausible(flat, starts, ends, np.unique(np.concatenate(pairs)), width, shift))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        rows = np.unique(np.concatenate(found), axis=0)
+        return rows[:, 0], rows[:, 1:]
+
+    def _sieve(self, r: int) -> np.ndarray:
+        cache = self.__dict__.setdefault("_sieves", {})
+        if r not in cache:
+            keys = self.tables[r][0]
+            sieve = np.zeros(1 << max(12, (32 * len(keys)).bit_length()), bool)
+            sieve[(keys & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+            cache[r] = sieve
+        return cache[r]
+
+    def _plausible(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray, width: int, shift: int) -> np.ndarray:
+        """(row, item, first word) of those candidates whose reach holds enough words of the item (an upper bound by hash)."""
+        item, start = pairs // width, pairs % width - shift
+        # a window may begin in the row before: the row is that of the window's own start, the place after the item's offset
+        doc = np.searchsorted(starts, np.minimum(start + self.stride[item] - 1, len(flat) - 1), side="right") - 1
+        most, need = self.most[item], (self.size - self.most)[item]
+        lo, hi = np.maximum(start - most, starts[doc]), np.minimum(start + self.size[item] + most, ends[doc])
+        live = np.argsort(lo - hi, kind="stable")  # the widest first
+        live = live[(hi - lo)[live] >= need[live]]
+        count = np.zeros(len(item), np.int64)
+        member, row = self._members()
+        for j in range(int((hi - lo)[live[:1]].max(initial=0))):
+            if j % 8 == 0:  # those that the rest of their words can still make plausible
+                live = live[count[live] + (hi - lo)[live] - j >= need[live]]
+                live = live[(hi - lo)[live] > j]
+                at, base = lo[live], item[live] * row
+            inside = at + j < hi[live]
+            word = flat[np.minimum(at + j, len(flat) - 1)]
+            count[live] += member(base, word) & inside
+        good = count >= need
+        return np.stack([doc, item, start], axis=1)[good]
+
+    def _members(self):
+        """A function of ``item * row`` and word that says whether the item has the word (by hash, and at times wrongly yes, where a table would be large), and ``row``."""
+        if "_member" not in self.__dict__:
+            row = len(self.vocab) + 1
+            own = np.concatenate([i * row + w for i, w in enumerate(self.words)])
+            if len(self.words) * row <= TABLE_BYTES:
+                table = np.zeros(len(self.words) * row, bool)
+                table[own] = True
+                self._member = lambda base, word: table[base + word]
+            else:
+                table = np.zeros(1 << max(16, (16 * len(own)).bit_length()), bool)
+                place = lambda x: (_mix(x.astype(np.uint64) * _M1) & np.uint64(len(table) - 1)).astype(np.int64)
+                table[place(own)] = True
+                self._member = lambda base, word: table[place(base + word)] & (word > 0)
+        return self._member, len(self.vocab) + 1
+
+
+def _slices(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of the entries of ``n`` whose sum is about ``PAIRS`` at most."""
+    total = np.cumsum(n)
+    a = 0
+    while a < len(n) and total[-1] > (total[a - 1] if a else 0):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
+        yield a, b
+        a = b
+
+
+def best_edit(pattern, text) -> tuple[int, int]:
+    """Smallest edit distance of ``pattern`` to a run of ``text``, and the end of the first best one (bit-parallel)."""
     m = len(pattern)
-    peq: dict[str, int] = defaultdict(int)
+    peq: dict = defaultdict(int)
     for i, c in enumerate(pattern):
         peq[c] |= 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -210,74 +302,69 @@ def best_edit(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def verify(index: Index, item: int, tokens: list[str], places: list[int]) -> tuple[int, int, int] | None:
-    """(edits, first word, end word) of the item's best occurrence near one of the places (in words), if it is near enough."""
-    n, slack = len(index.words[item]), index.slack[item]
-    most = int(MAX_EDITS * len(index.norm[item]))
+def verify(index: Index, item: int, codes: list[int], places: list[int]) -> tuple[int, int, int] | None:
+    """(edits, first word, end word) of the item's best occurrence near one of the sorted places, if it is near enough."""
+    n, most = int(index.size[item]), int(index.most[item])
+    pattern = index.words[item].tolist()
     best = None
     k = 0
     while k < len(places):
-        lo = max(0, places[k] - slack)
-        hi = places[k]
+        lo = hi = max(0, places[k])
         while k < len(places) and places[k] <= hi + n:
-            hi = places[k]
+            hi = max(hi, places[k])
             k += 1
-        region = " ".join(tokens[lo : hi + n + slack])
-        edits, end = best_edit(index.norm[item], region)
+        lo = max(0, lo - most)
+        region = codes[lo : hi + n + most]
+        edits, end = best_edit(pattern, region)
         if edits <= most and (best is None or edits < best[0]):
-            begin = region[: max(0, end - len(index.norm[item]))].count(" ") + lo
-            best = (edits, begin, region[:end].count(" ") + 1 + lo)
+            begin = end - best_edit(pattern[::-1], region[:end][::-1][: n + most])[1]
+            best = (edits, lo + begin, lo + end)
     return best
 
 
-def _search(index: Index, pattern: int = 2000):
+def _search(index: Index, rows: int = 2000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocab.get
         for b in batches:
-            for at in range(0, b.num_rows, pattern):
-                part = b.slice(at, pattern)
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
                 texts = part.column("text")
-                codes = [np.fromiter((get(w, 0) for w in WORD.findall((t.as_py() or "").lower())), np.int32) for t in texts]
+                codes = [[get(w, 0) for w in WORD.findall((t or "").lower())] for t in texts.to_pylist()]
                 sizes = np.array([len(c) for c in codes])
-                flat = np.concatenate(codes).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-                starts = np.cumsum(sizes) - sizes
-                if not len(flat):
-                    continue
-                places, items = index.candidates(flat, starts)
-                if not len(places):
-                    continue
-                row = np.searchsorted(starts, places, side="right") - 1
-                found = defaultdict(list)
-                for r, i, p in zip(row.tolist(), items.tolist(), places.tolist(), strict=True):
-                    found[r].append((i, p - int(starts[r])))
+                flat = np.fromiter(chain.from_iterable(codes), np.int64, int(sizes.sum()))
+                # rows without words share the start of the next one; searchsorted must find the row that has words
+                full = np.flatnonzero(sizes)
+                starts = (np.cumsum(sizes) - sizes)[full]
+                row, pairs = index.candidates(flat, starts)
+                found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+                for r, (i, p) in zip(row.tolist(), pairs.tolist(), strict=True):
+                    found[r][i].append(p - int(starts[r]))
                 out: list[tuple] = []
-                for r, pairs in found.items():
-                    text = texts[r].as_py()
-                    marks = [(m.start(), m.end()) for m in WORD.finditer(text)]
-                    tokens = WORD.findall(text.lower())
-                    by_item = defaultdict(list)
-                    for i, p in pairs:
-                        by_item[i].append(p)
-                    for i, ps in by_item.items():
-                        hit = verify(index, i, tokens, sorted(ps))
-                        if hit:
-                            edits, lo, hi = hit
-                            same = len(marks) == len(tokens)  # lower-casing can change the words of rare scripts
-                            span = (marks[lo][0], marks[min(hi, len(marks)) - 1][1]) if same else (-1, -1)
-                            out.append((part.column(UID)[r].as_py(), part.column("doc_id")[r].as_py(), index.ids[i], edits, len(index.norm[i]), *span))
+                for r, by_item in found.items():
+                    k = int(full[r])
+                    hits = [(i, hit) for i, ps in by_item.items() if (hit := verify(index, i, codes[k], sorted(ps)))]
+                    if not hits:
+                        continue
+                    marks = [(m.start(), m.end()) for m in WORD.finditer(texts[k].as_py())]
+                    same = len(marks) == len(codes[k])  # lower-casing can change the words of rare scripts
+                    for i, (edits, lo, hi) in hits:
+                        span = (marks[lo][0], marks[max(lo, hi - 1)][1]) if same else (-1, -1)
+                        out.append((part.column(UID)[k].as_py(), part.column("doc_id")[k].as_py(), index.ids[i], edits, int(index.size[i]), *span))
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [UID, "doc_id", "item_id", "edits", "item_chars", "start", "end"])
+                    cols = [pa.array(c) if n == "doc_id" else pa.array(c, t) for c, (n, t) in zip(zip(*out, strict=True), _KINDS, strict=True)]
+                    cols[1] = cols[1].cast(part.column("doc_id").type)
+                    yield pa.record_batch(cols, [n for n, _ in _KINDS])
 
     return run
 
 
-_OUT = f"{UID} long, doc_id long, item_id long, edits int, item_chars int, start int, end int"
+_KINDS = [(UID, pa.int64()), ("doc_id", None), ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per (row of ``docs``, benchmark item that occurs in it): ids, edits, and the span in code points. No shuffle of texts."""
-    slim = with_uid(docs).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = with_uid(as_scan(docs)).select(UID, "doc_id", F.col("text").cast("string").alias("text"))
+    schema = f"{UID} long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id long, edits int, item_words int, start int, end int"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
@@ -286,13 +373,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         index = Index([tuple(r) for r in mine.orderBy("item_id", "text").collect()])  # bounded by BLOCK_CHARS
         if index.words:
-            part = slim.mapInArrow(_search(index), _OUT)
+            part = slim.mapInArrow(_search(index), schema)
             found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], _OUT)
+    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows in which a benchmark item occurs; columns unchanged. ``docs`` must be a scan of files."""
+    """``docs`` without the rows in which a benchmark item occurs; columns unchanged."""
+    docs = as_scan(docs)
     leaky = materialize(find_leaks(docs, benchmark).select(UID).distinct(), "leaks")
     return with_uid(docs).join(leaky.hint("shuffle_hash"), UID, "left_anti").drop(UID)
 

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import decontam, html_text, langid, secrets, token_counts, warc
+from cairn.llm import html_text, langid, secrets, token_counts, warc
 from cairn.llm.common import UID, work_path
 
 SF = "/root/testdata/sf0.001"
@@ -19,93 +19,6 @@ def words(rng, n, vocab=400):
     return " ".join(f"{'abcdefgh'[rng.randrange(8)]}{rng.randrange(vocab)}" for _ in range(n))
 
 
-def edit_brute(p, t):
-    row = [0] * (len(t) + 1)
-    for i, c in enumerate(p, 1):
-        new = [i]
-        for j, d in enumerate(t, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-        row = new
-    return min(row)
-
-
-def test_edit_distance_matches_the_table():
-    rng = random.Random(1)
-    for _ in range(200):
-        p = "".join(rng.choice("abc") for _ in range(rng.randint(1, 70)))
-        t = "".join(rng.choice("abc") for _ in range(rng.randint(0, 90)))
-        assert decontam.best_edit(p, t)[0] == edit_brute(p, t)
-
-
-def test_leaks_are_found_and_clean_texts_left(spark, tmp_path):
-    rng = random.Random(2)
-    items = [(i, words(rng, rng.randint(12, 60))) for i in range(30)] + [(98, None), (99, ""), (100, "two words")]
-    docs, want = [], set()
-    for i, (item, text) in enumerate(items[:30]):
-        edited = text.split()
-        if i % 3 == 1:
-            edited[5] = "changed"
-        docs.append((i, words(rng, 200) + "\n" + (" ".join(edited).upper() if i % 3 == 2 else " ".join(edited)) + ", " + words(rng, 100), "x"))
-        want.add((i, item))
-    docs += [(1000 + i, words(rng, 300), "x") for i in range(50)] + [(2000, None, "x"), (2001, "", "x"), (None, items[0][1], "x")]
-    spark.createDataFrame(docs, "doc_id long, text string, item_id string").write.parquet(str(tmp_path / "d"))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    d = spark.read.parquet(str(tmp_path / "d"))
-    got = decontam.find_leaks(d, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want | {(None, 0)}
-    texts = {d_: t for d_, t, _ in docs}
-    for r in got:
-        if r.doc_id is not None and r.edits == 0:
-            span = texts[r.doc_id][r.start : r.end].lower()
-            assert span == dict(items)[r.item_id].lower()
-    clean = decontam.drop_leaks(d, bench)
-    assert {r.doc_id for r in clean.collect()} == {x for x, *_ in docs if x is not None and x >= 1000}
-    assert clean.columns == d.columns
-    assert decontam.find_leaks(d, bench.limit(0)).count() == 0
-    assert decontam.find_leaks(d.limit(0), bench).count() == 0
-
-
-def test_recall_of_lightly_edited_items():
-    rng = random.Random(3)
-    items = [(i, words(rng, 40)) for i in range(60)]
-    index = decontam.Index(items)
-    found = 0
-    for i, text in items:
-        chars = list(text)
-        for _ in range(int(0.03 * len(chars))):
-            chars[rng.randrange(len(chars))] = rng.choice("xyz")
-        tokens = decontam.WORD.findall(words(rng, 50) + " " + "".join(chars) + " " + words(rng, 50))
-        import numpy as np
-
-        flat = np.array([index.vocab.get(w, 0) for w in tokens], np.int64)
-        places, which = index.candidates(flat, np.array([0]))
-        mine = sorted(p for p, w in zip(places.tolist(), which.tolist(), strict=True) if w == i)
-        found += bool(mine and decontam.verify(index, i, tokens, mine))
-    assert found >= 0.95 * len(items)
-
-
-def test_a_run_at_the_very_end_of_a_block():
-    import numpy as np
-
-    text = words(random.Random(8), 30)
-    index = decontam.Index([(1, text)])
-    for tokens in (text.split()[:3], text.split(), ["x"] * 5 + text.split()[:4]):
-        flat = np.array([index.vocab.get(w, 0) for w in tokens], np.int64)
-        places, _ = index.candidates(flat, np.array([0]))
-        assert (places < len(flat)).all()
-
-
-def test_blocks_of_items_give_the_same(spark, tmp_path, monkeypatch):
-    rng = random.Random(4)
-    items = spark.createDataFrame([(i, words(rng, 30)) for i in range(12)], "item_id long, text string").cache()
-    docs = [(r.item_id, words(rng, 40) + " " + r.text) for r in items.collect()]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    d = spark.read.parquet(str(tmp_path / "d"))
-    whole = {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, items).collect()}
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 500)
-    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, items).collect()} == whole == {(i, i) for i in range(12)}
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">Menu</a></ul></nav><div class="cookie-notice">We use cookies on this site and you agree.</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold paragraph<br>after&nbsp;break
