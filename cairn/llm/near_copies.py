@@ -1,37 +1,57 @@
-"""Near copies of the pipeline: five-word shingles, exact Jaccard similarity of 0.8 or more.
+"""Near copies of the pipeline: SimHash over five-word shingles in the Gray index, every link verified at a similarity of 0.8.
 
-Three bits of a SimHash cannot hold this rule (edited copies at 0.8 differ in about ten bits), so
-candidates come from MinHash bands: ``BANDS`` keys of ``ROWS`` minima each, of which a pair at 0.8
-shares one with a probability over 0.9999, a closer pair more surely. Whatever the candidates are, a
-link counts only if the exact similarity of the two shingle sets is ``SIMILARITY`` or more.
+Sixty-four bits and a radius of three cannot hold a Jaccard similarity of 0.8: the bits of such a pair differ with a
+probability of ``DIFFER``. The stage therefore takes ``WORDS`` words of fingerprint and a radius that all but a few
+in a hundred of such pairs keep and that unrelated pairs do not reach. Buckets are tables of sampled bits: as many
+bits as keep a bucket at about ``BUCKET`` rows, and as many tables as ``TARGET`` recall needs at that number of bits (both
+grow with the number of texts). In each bucket the Gray-order index links what lies within the radius.
 
-Rows with equal shingle sets are one node. A first round compares the nodes of a bucket with its
-smallest node; a second one compares all pairs of a bucket that are not yet in one component, which
-keeps a large family of copies from being compared pair by pair and loses no link between components.
+These links only propose: texts that chains of them connect are a family. In a task a family's shingle sets are held
+together and joined by the same index with a radius so wide that it loses practically no pair; a pair counts only if the
+exact Jaccard similarity of the two sets is ``SIMILARITY`` or more, and pairs that verified links already connect are
+skipped. No pair leaves a task, only a spanning forest of verified links does.
 
-Defined cases: texts of fewer than five words are one shingle; null, empty and blank texts have no
-shingles and are copies of each other; of a group the smallest ``doc_id`` stays (a null one only if all
-are null), of repeated ids the first row; an empty table gives no rows.
+A family of over ``SLICE`` shingles is dealt to slices. Each slice is first joined on its own, beside the family's
+``ANCHORS`` first texts or so; what the links of all slices leave outside the family's largest group (a small rest, as a rule) then
+meets every slice. So no pair between different groups is missed, and no task holds more than two slices.
+
+Defined cases: texts of fewer than five words are one shingle; null, empty and blank texts have no shingles and are
+copies of each other; the shingles of a very long text are a slice of their own at worst; of a group the smallest
+``doc_id`` stays (a null one only if all are null), of repeated ids the first row; extra columns are kept, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, UID, hot_join, keep_rows, materialize, with_uid
+from .common import P, UID, as_scan, hot_join, keep_rows, materialize, partitions, with_uid
 from .components import components
+from .simhash import Forest, GrayIndex, gray_rank, link_rows, majority
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 5
-AT_ONCE = 4096
+WORDS = 3
+#: Probability that a bit differs at a similarity of 0.8: the angle between two such sets (cosine 2s / (1 + s)) over pi.
+DIFFER = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+_SPREAD = math.sqrt(64 * WORDS * DIFFER * (1 - DIFFER))
+RADIUS = round(64 * WORDS * DIFFER + 2 * _SPREAD)
+FAMILY_RADIUS = round(64 * WORDS * DIFFER + 5.2 * _SPREAD)
+TARGET = 0.95
+BUCKET = 512
+SLICE = 2_000_000
+ANCHORS = 32
+PAIRS_AT_ONCE = 1024
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+W = [f"w{k}" for k in range(WORDS)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -46,91 +66,212 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - k + 1))
 
 
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**63, BANDS * ROWS).astype(np.uint64), rng.integers(0, 2**62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of SimHash of a shingle set."""
+    rows = [hashes]
+    for _ in range(WORDS - 1):
+        x = (rows[-1] ^ (rows[-1] >> np.uint64(31))) * _M1
+        rows.append((x ^ (x >> np.uint64(29))) * _M2)
+    return majority(np.stack(rows, axis=1))
 
 
-def band_keys(hashes: np.ndarray, flip: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """One key for each band: a hash of its number and of ``ROWS`` minima."""
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(hashes), AT_ONCE):
-        np.minimum(low, ((hashes[i : i + AT_ONCE, None] ^ flip) * times).min(axis=0), out=low)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for x in low.reshape(BANDS, ROWS).T:
-        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+def tables(texts: int) -> np.ndarray:
+    """The sampled bits of each table for so many texts: (tables, bits)."""
+    bits = min(62, max(6, math.ceil(math.log2(max(2, texts))) - int(math.log2(BUCKET))))
+    width = 64 * WORDS
+    apart = np.arange(width + 1)
+    weight = np.array([math.comb(width, d) * DIFFER**d * (1 - DIFFER) ** (width - d) for d in apart.tolist()])
+    agree = np.array([math.comb(width - d, bits) / math.comb(width, bits) for d in apart.tolist()])
+    n = 1
+    while (weight * (1 - agree) ** n).sum() > 1 - TARGET:
+        n += max(1, n // 50)
+    rng = np.random.default_rng(SEED)
+    return np.stack([np.sort(rng.choice(64 * WORDS, bits, replace=False)) for _ in range(n)])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    flip, times = _mixers()
     for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            digests, sizes, keys = [], [], []
-            for t in part.column("text"):
-                h = shingles(t.as_py())
-                digests.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
-                sizes.append(len(h))
-                keys.append(band_keys(h, flip, times).view(np.int64))
-            bands = pa.ListArray.from_arrays(np.arange(0, (part.num_rows + 1) * BANDS, BANDS, dtype=np.int32), np.concatenate(keys))
-            yield pa.record_batch([part.column(UID), part.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), bands], [UID, "doc_id", "digest", "size", "bands"])
+        digests, sizes, fps = [], [], []
+        for t in b.column("text").to_pylist():
+            h = shingles(t)
+            digests.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
+            sizes.append(len(h))
+            fps.append(wide_fingerprint(h))
+        fp = np.stack(fps).view(np.int64) if fps else np.zeros((0, WORDS), np.int64)
+        yield pa.record_batch([b.column(UID), b.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), *(pa.array(fp[:, k].copy()) for k in range(WORDS))], [UID, "doc_id", "digest", "size", *W])
+
+
+def _deal(picks: np.ndarray):
+    """Each node once for each table, under the value of the table's bits."""
+    power = np.int64(1) << np.arange(picks.shape[1], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = [b.column(w).to_numpy() for w in W]
+            bits = np.unpackbits(np.stack(fp, axis=1).view(np.uint8).reshape(b.num_rows, 8 * WORDS), axis=1)
+            for t, pick in enumerate(picks):
+                value = bits[:, pick].astype(np.int64) @ power
+                yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(value), b.column("node"), *(b.column(w) for w in W)], ["turn", "value", "node", *W])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            found = [pa.array(shingles(t.as_py()).view(np.int64)) for t in part.column("text")]
-            yield pa.record_batch([part.column(UID), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+            found = [pa.array(shingles(t).view(np.int64)) for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+
+
+class _Sets:
+    """Shingle sets of a task's nodes; ``similar`` says which pairs have a similarity of ``SIMILARITY`` or more."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        shared = np.bincount(ids, minlength=len(values)) > 1  # a shingle of one set alone is in no intersection
+        owner = np.repeat(np.arange(len(sets)), self.size)[shared[ids]]
+        self.flat = ids[shared[ids]]
+        self.kept = np.bincount(owner, minlength=len(sets))
+        self.start = np.cumsum(self.kept) - self.kept
+        self.mark = np.zeros(len(values), np.uint8)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.zeros(len(a), np.int64)
+        m, n = self.size[a], self.size[b]
+        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-9)  # by the sizes alone, then by what is shared at all
+        worth = np.flatnonzero(np.minimum(np.minimum(m, n), np.minimum(self.kept[a], self.kept[b])) >= need)
+        order = worth[np.argsort(a[worth], kind="stable")]
+        edge = np.flatnonzero(np.diff(a[order], prepend=-1))
+        for lo, hi in zip(edge.tolist(), np.append(edge, len(order))[1:].tolist(), strict=True):
+            i, others = a[order[lo]], b[order[lo:hi]]
+            own = self.flat[self.start[i] : self.start[i] + self.kept[i]]
+            self.mark[own] = 1
+            k = self.kept[others]
+            end = np.cumsum(k)
+            at = np.repeat(self.start[others] - (end - k), k) + np.arange(end[-1])
+            both[order[lo:hi]] = np.add.reduceat(self.mark[self.flat[at]], end - k, dtype=np.int64)
+            self.mark[own] = 0
+        # as in exact arithmetic on integers: 5 * both >= 4 * union
+        return 5 * both >= 4 * (m + n - both)
+
 
+def family_links(node: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the verified links between the nodes of one task, beyond the groups that ``known`` names."""
+    fp = np.stack([wide_fingerprint(x) for x in sets])
+    order = np.lexsort(gray_rank(fp).T[::-1])
+    node, known, fp = node[order], known[order], fp[order]
+    forest = Forest(len(node))
+    _, first, of = np.unique(known, return_index=True, return_inverse=True)
+    forest.link(np.arange(len(node)), first[of])
+    held = _Sets([sets[i] for i in order])
+    up = GrayIndex(np.zeros(len(node), np.int64), fp).join(FAMILY_RADIUS, forest, held.similar, PAIRS_AT_ONCE).up
+    tied = np.flatnonzero(up != np.arange(len(up)))
+    return node[tied], node[up[tied]]
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose shingle sets have a similarity of ``SIMILARITY`` or more."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    rows = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return rows.filter(F.col("both") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``family, slice, rest, node, known, hashes`` sorted by the first three to links ``a, b``."""
+    key, nodes, known, sets = None, [], [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            n, first = np.unique(np.array(nodes, np.int64), return_index=True)  # a node may be an anchor of its own slice
+            a, b = family_links(n, np.array(known, np.int64)[first], [sets[i] for i in first])
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy() for c in ("family", "slice", "rest")], axis=1)
+        edge = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+        hashes = b.column("hashes")
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
+            if lo == hi:
+                continue
+            if key != (mine := tuple(keys[lo].tolist())):
+                yield from flush()
+                key, nodes, known, sets = mine, [], [], []
+            nodes += b.column("node")[lo:hi].to_pylist()
+            known += b.column("known")[lo:hi].to_pylist()
+            sets += [hashes[i].values.to_numpy().view(np.uint64) for i in range(lo, hi)]
+    yield from flush()
+
+
+def _verified(rows: DataFrame) -> DataFrame:
+    keys = ["family", "slice", "rest"]
+    dealt = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), "node", "known", "hashes")
+    dealt = dealt.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_families, "a long, b long")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``nodes`` (``node, ...``) with the root of each one's group."""
+    roots = components(links).select(F.col("node"), F.col("root").alias(name))
+    return nodes.join(roots, "node", "left").withColumn(name, F.coalesce(name, "node"))
+
+
+def verified_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect exactly what the pairs of a family at ``SIMILARITY`` connect. ``members``: ``node, size, family``."""
+    weight = members.groupBy("family").agg(F.sum("size").alias("w")).select("family", F.ceil(F.col("w") / SLICE).cast("long").alias("slices"))
+    weight = materialize(weight, "weights")
+    wide = materialize(weight.filter("slices > 1"), "wide")  # SLICE shingles each, at least
+    rows = members.join(wide, "family", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
+    rows = materialize(rows.join(sets, "node"), "families")
+    one = rows.select("family", "slice", F.lit(0).alias("rest"), "node", F.col("node").alias("known"), "hashes")
+    if wide.isEmpty():
+        return materialize(_verified(one), "links")
+    many = rows.filter("slices > 1")
+    # the smallest nodes of each slice, then of the family: no aggregate holds more than ANCHORS a slice
+    low = Window.partitionBy("family", "slice").orderBy("node")
+    few = many.select("family", "slice", "slices", "node").withColumn("at", F.row_number().over(low)).filter(F.col("at") <= F.greatest(F.lit(1), F.lit(ANCHORS) / F.col("slices")))
+    first = few.filter(F.col("slice") < ANCHORS).select("slices", "node")
+    anchors = first.join(rows.drop("slices", "slice"), "node")
+    anchors = anchors.select("family", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.lit(0).alias("rest"), "node", F.col("node").alias("known"), "hashes")
+    links = materialize(_verified(one.unionByName(anchors)), "links")
+    # what the slices have left apart: all but the largest group of each family meets every slice
+    placed = materialize(_rooted(many.select("node", "family", "size"), links, "known"), "placed")
+    groups = placed.groupBy("family", "known").agg(F.count("*").alias("n"))
+    main = groups.groupBy("family").agg(F.max_by("known", F.struct("n", -F.col("known"))).alias("main"))
+    apart = materialize(placed.join(main, "family").filter("known <> main").select("node", "family", "known", "size"), "apart")
+    rests = apart.groupBy("family").agg(F.ceil(F.sum("size") / SLICE).cast("long").alias("rests")).join(wide, "family")
+    rests = materialize(rests, "rests")
+    held = placed.select("node", "known").join(many, "node")
+    slices = held.join(rests.select("family", "rests"), "family")
+    slices = slices.select("family", "slice", F.explode(F.expr("sequence(0L, rests - 1)")).alias("rest"), "node", "known", "hashes")
+    rest = apart.select("node").join(held, "node").drop("slice", "slices").join(rests, "family").withColumn("rest", F.pmod(F.xxhash64("node", F.lit(2)), F.col("rests")))
+    rest = rest.select("family", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), "rest", "node", "known", "hashes")
+    return links.unionByName(materialize(_verified(slices.unionByName(rest)), "links"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """``UID, doc_id, root`` of each row: rows that chains of near copies connect share a root. ``docs`` must be a scan of files."""
-    slim = with_uid(docs).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(slim.mapInArrow(_signatures, f"{UID} long, doc_id long, digest string, size long, bands array<long>"), "signatures")
-    nodes = rows.groupBy("digest").agg(F.min(UID).alias("node"), F.count("*").alias(P + "n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
-    kept = materialize(nodes.filter("size > 0").select("node", "size", F.explode("bands").alias("bucket")), "bands")
-    shared = kept.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias(P + "in")).filter(F.col(P + "in") > 1)
-    buckets = materialize(hot_join(kept, materialize(shared, "shared"), ["bucket"], P + "in", kept.count()), "buckets")
-    members = buckets.select(F.col("node").alias(UID)).distinct()
-    sets = materialize(keep_uid(slim, members).mapInArrow(_sets, "node long, hashes array<long>"), "sets")
-    first = materialize(buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "first")
-    links = materialize(_verified(first, sets), "links")
-    root = components(links).withColumnRenamed("root", "of")
-    placed = buckets.select("bucket", "node", "size").join(root, "node", "left").withColumn("of", F.coalesce("of", "node"))
-    placed = materialize(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("bucket")
-    left = materialize(placed.join(open_, "bucket"), "open")
-    right = left.select("bucket", F.col("node").alias("b"), F.col("of").alias("of_b"), F.col("size").alias("n"))
-    near = F.least("size", "n") >= SIMILARITY * F.greatest("size", "n")  # a smaller set cannot reach the similarity
-    rest = left.withColumnRenamed("node", "a").join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("of") != F.col("of_b")) & near)
-    rest = materialize(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(materialize(_verified(rest, sets), "links"))
-    roots = components(links).withColumnRenamed("node", "_node")
+    """``UID, doc_id, root`` of each row: rows that chains of near copies connect share a root."""
+    slim = with_uid(as_scan(docs)).select(UID, F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = f"{UID} long, doc_id string, digest string, size long, " + ", ".join(f"{w} long" for w in W)
+    rows = materialize(slim.mapInArrow(_signatures, schema), "signatures")
+    nodes = rows.groupBy("digest").agg(F.min(UID).alias("node"), F.count("*").alias(P + "n"), *(F.any_value(c).alias(c) for c in ("size", *W)))
+    nodes = materialize(nodes, "nodes")  # rows with equal sets are one node
+    full = nodes.filter("size > 0").select("node", *W)
+    kinds = "turn int, value long, node long, " + ", ".join(f"{w} long" for w in W)
+    dealt = materialize(full.mapInArrow(_deal(tables(nodes.count())), kinds), "tables")
+    proposed = materialize(link_rows(dealt, ["turn", "value"], RADIUS, WORDS), "proposed")
+    families = materialize(components(proposed).withColumnRenamed("root", "family"), "families")
+    members = materialize(families.join(nodes.select("node", "size"), "node"), "members")
+    texts = slim.select(F.col(UID).alias("node"), "text").join(members.select("node").hint("shuffle_hash"), "node", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets, "node long, hashes array<long>"), "sets")
+    roots = components(verified_links(members, sets)).withColumnRenamed("node", "_node")
     named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("digest", P + "n", F.coalesce("root", "node").alias("root"))
     return hot_join(rows.select(UID, "doc_id", "digest"), materialize(named, "named"), ["digest"], P + "n", rows.count()).select(UID, "doc_id", "root")
 
 
-def keep_uid(docs: DataFrame, uids: DataFrame) -> DataFrame:
-    """``keep_rows`` with the id kept."""
-    return keep_rows(docs.withColumn(P + "id", F.col(UID)), uids).withColumnRenamed(P + "id", UID)
-
-
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one with the smallest ``doc_id``. ``docs`` must be a scan of files."""
+    """``docs`` with one row of each group of near copies: the one with the smallest ``doc_id``."""
+    docs = as_scan(docs)
     found = materialize(similar_groups(docs), "groups")
-    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(UID).alias("uid")))
+    number = F.expr("try_cast(doc_id as bigint)")  # ids of other kinds stand in the order of their texts
+    best = F.min(F.struct(F.col("doc_id").isNull(), number.isNull(), number, F.col("doc_id"), F.col(UID).alias("uid")))
     stays = found.groupBy("root").agg(best.alias("best")).select(F.col("best.uid").alias(UID))
     return keep_rows(with_uid(docs), stays)

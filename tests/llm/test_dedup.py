@@ -115,7 +115,7 @@ def test_gray_index_finds_the_components_of_all_close_pairs():
     fp = np.unique(np.concatenate([base, np.array(near, np.uint64), np.array(dense, np.uint64)]))
     order = np.argsort(simhash.gray_rank(fp))
     fp = fp[order]
-    got = simhash.GrayIndex(np.zeros(len(fp), np.int64), fp).join(3)
+    got = simhash.GrayIndex(np.zeros(len(fp), np.int64), fp[:, None]).join(3)
     want = simhash.Forest(len(fp))
     for i in range(len(fp)):
         j = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 3)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from cairn.llm import near_copies, simhash
 
@@ -62,16 +64,48 @@ def test_edited_copies_go_and_others_stay(spark, tmp_path):
     assert near_copies.drop_similar(docs.limit(0)).count() == 0
 
 
-def test_bands_propose_nearly_all_pairs_at_the_threshold():
+def test_tables_propose_and_the_radius_keeps_pairs_at_the_threshold():
     rng = random.Random(2)
-    flip, times = near_copies._mixers()
-    hit = pairs = 0
-    while pairs < 300:
-        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
-        other = edited(rng, base, rng.randint(1, 5))
-        a, b = brute_shingles(base), brute_shingles(other)
-        if len(a & b) >= 0.8 * len(a | b):
-            pairs += 1
-            x, y = (near_copies.band_keys(near_copies.shingles(t), flip, times) for t in (base, other))
-            hit += bool((x == y).any())
-    assert hit >= 299
+    for texts in (1000, 250_000, 10**8):
+        picks = near_copies.tables(texts)
+        hit = near = pairs = 0
+        while pairs < 150:
+            base = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+            other = edited(rng, base, rng.randint(1, 5))
+            a, b = brute_shingles(base), brute_shingles(other)
+            if len(a & b) >= 0.8 * len(a | b):
+                pairs += 1
+                x, y = (near_copies.wide_fingerprint(near_copies.shingles(t)) for t in (base, other))
+                apart = np.unpackbits((x ^ y).view(np.uint8))
+                near += apart.sum() <= near_copies.RADIUS
+                hit += bool((apart[picks] == 0).all(axis=1).any())
+        assert hit >= 0.95 * pairs and near >= 0.95 * pairs
+
+
+def test_large_families_in_slices(spark, tmp_path, monkeypatch):
+    """A family whose members are near each other only in part, in slices of a few texts each."""
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+    texts = [edited(rng, base, rng.randint(1, 6)) for _ in range(150)]
+    chain = " ".join(f"f{rng.randrange(3000)}" for _ in range(150))
+    for _ in range(80):
+        texts.append(chain)
+        chain = edited(rng, chain, 2)
+    rng.shuffle(texts)
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = brute_kept(texts)
+    whole = {r.doc_id for r in near_copies.drop_similar(docs).collect()}
+    monkeypatch.setattr(near_copies, "SLICE", 3000)
+    cut = {r.doc_id for r in near_copies.drop_similar(docs).collect()}
+    assert whole == want and cut == want
+
+
+def test_similarity_is_exact():
+    rng = random.Random(4)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 50))), np.uint64) for _ in range(80)]
+    held = near_copies._Sets(sets)
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(80) for j in range(80) if i != j], strict=True))
+    brute = [5 * len(x & y) >= 4 * len(x | y) for x, y in ((set(sets[i].tolist()), set(sets[j].tolist())) for i, j in zip(a, b, strict=True))]
+    assert held.similar(a, b).tolist() == brute
