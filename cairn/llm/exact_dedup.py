@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, P, hot_join, keep_rows, materialize, partitions, with_uid
+from .common import UID, P, as_scan, hot_join, keep_rows, materialize, partitions, with_uid
 
-RADIX = 8
+RADIX = 4
+LEAST_ROUNDS = 2
 SPACE = r"[\x20\x09-\x0D]+"
 
 KEY = [P + "sha", P + "xx", P + "len"]
@@ -30,7 +31,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """One row per document: row id, ``doc_id``, code points of the text, and the digests of its normalised form."""
     whole = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(whole, SPACE, "")
-    rows = with_uid(docs).select(UID, F.col(doc_id).alias("doc_id"), F.length(whole).alias(P + "n"), norm.alias(P + "norm"))
+    rows = with_uid(as_scan(docs)).select(UID, F.col(doc_id).alias("doc_id"), F.length(whole).alias(P + "n"), norm.alias(P + "norm"))
     return rows.select(UID, "doc_id", P + "n", F.unhex(F.sha2(P + "norm", 256)).alias(KEY[0]), F.xxhash64(P + "norm").alias(KEY[1]), F.length(P + "norm").alias(KEY[2]))
 
 
@@ -39,11 +40,11 @@ def tree_merge(rows: DataFrame, width: int) -> DataFrame:
     best = F.struct((-F.col(P + "n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(UID).alias("uid"))
     runs = rows.select(F.spark_partition_id().alias(P + "run"), *KEY, F.lit(1).cast("long").alias(P + "cnt"), best.alias(P + "best"))
     rounds, reach = 1, RADIX
-    while reach < width:
+    while reach < width or rounds < LEAST_ROUNDS:
         rounds, reach = rounds + 1, reach * RADIX
     for r in range(rounds):
         step = RADIX**r
-        digit = F.pmod(F.shiftright(F.col(KEY[1]), 3 * r), F.lit(RADIX))
+        digit = F.pmod(F.shiftright(F.col(KEY[1]), (RADIX.bit_length() - 1) * r), F.lit(RADIX))
         own = F.pmod(F.floor(F.pmod(F.col(P + "run"), F.lit(reach)) / step), F.lit(RADIX))
         to = (F.pmod(F.col(P + "run"), F.lit(reach)) + (digit - own) * step).cast("int")
         runs = runs.withColumn(P + "run", to).groupBy(P + "run", *KEY).agg(F.sum(P + "cnt").alias(P + "cnt"), F.min(P + "best").alias(P + "best"))
@@ -67,7 +68,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of equal texts; columns unchanged. ``docs`` must be a scan of files."""
+    """``docs`` with one row of each group of equal texts; columns unchanged."""
+    docs = as_scan(docs)
     found = exact_dedup(docs, text, doc_id)
     return keep_rows(with_uid(docs), found.filter("kept"))
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, P, materialize, partitions, with_uid
+from .common import UID, P, as_scan, materialize, partitions, with_uid
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -144,9 +144,9 @@ def unpack_bitmap(packed: bytes, n_lines: int) -> np.ndarray:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``UID, keep_bitmap`` of each row that loses lines. ``docs``: doc_id, text; a scan of files."""
+    """``UID, keep_bitmap`` of each row that loses lines. ``docs``: doc_id, text."""
     spark = docs.sparkSession
-    slim = with_uid(docs).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = with_uid(as_scan(docs)).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = materialize(slim.mapInArrow(line_hashes(min_chars), _LINES), "lines")
     order = ["h1", "h2", "doc_id"]
     ranged = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, UID, "pos")

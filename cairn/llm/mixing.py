@@ -4,20 +4,23 @@ Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and s
 ``BUDGET`` of all words; a target stops at ``MOST`` times its source's words and the excess is
 reshared by weight (water filling, solved exactly from the sorted saturation points).
 
-Rates: the document rates nearest to 1 in word-weighted entropy that meet the sources' word
-constraints are exponential tilts exp(lambda[source]). The multipliers minimise the convex dual
-sum_s(words_s * exp(lambda_s)) - lambda_s * target_s, whose gradient and curvature need no more
-of a source than its words, so the Newton steps run in the executors, one source a row.
+Rates: of all document rates between 0 and ``MOST`` that give each source its target of words, those nearest to 1 in
+entropy, sum(r ln r - r), are exponential tilts by the words of a document, min(MOST, exp(lambda[source] * x)) with
+x the document's size over its source's word-weighted mean size. The multipliers solve the convex dual: its gradient
+in a source is the words that the rates take less the target, its curvature the sum of size * x * rate. Each Newton step sums both
+over all documents, as (source, size) classes with their counts, and a bracket that the signs of the gradients
+narrow holds every step. A source that must be taken ``MOST`` times whole has no finite multiplier and that rate.
 
 Copies: rates are rounded to millionths and dealt by systematic rounding over the documents of
-a source in order of size, so the copies of each size class follow its rate; two repair steps
-then move the one document that brings the source nearest to its target. Ranks come from
-counts of (source, size, id slice) cells; no task sorts a source. All sums are exact
+a source in order of size; two repair steps then move the one document that brings the source nearest to
+its target. Places come from counts of (source, size, slice) cells, where a class of over ``SLICE_ROWS`` documents has as
+many slices as keep a cell at about that; no task sorts a source or a class. All sums that decide copies are of exact
 integers, so reruns agree.
 
-Defined cases: null text has size 0; sources without words get target 0; null is a source of
-its own; repeated rows are separate documents (ranked after their ``doc_id``); an empty table
-gives no rows.
+Defined cases: null text has size 0; sources without words get target 0 and no copies; null is a source of
+its own; repeated rows are separate documents (in the order of their place in the files); rows with a null ``doc_id`` come
+last in their cell; a very long text is one row whose size alone is moved; columns of the mix (``mix_size, mix_target,
+mix_copy``) take another name (``_2`` and so on) where the documents have one of that name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, P, hot_join, materialize, with_uid
+from .common import UID, P, as_scan, hot_join, materialize, with_uid
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
-NEWTON_STEPS = 60
-SLICES = 4096
+#: Newton steps a job, and jobs at most (a bracket halves at worst, so that many suffice for any double).
+STEPS_AT_ONCE = 3
+MOST_JOBS = 40
+WIDEST = float(2**20)
+EXACT = 1e-12
+SLICE_ROWS = 10_000
 REPAIRS = 2
 UNIT = 1_000_000
 
@@ -72,27 +79,57 @@ def targets(by_source: DataFrame) -> DataFrame:
     return rows.select(*SRC, "words", P + "docs", F.coalesce(target, F.lit(float(MOST)) * F.col("words")).alias("target"))
 
 
-def tilt(by_source: DataFrame) -> DataFrame:
-    """Add ``lam``, the multiplier of each source's word constraint, by Newton steps on the dual."""
-    words, target = F.col("words").cast("double"), F.col("target")
-    step = lambda lam, _: lam - (words * F.exp(lam) - target) / (words * F.exp(lam))
-    newton = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return by_source.withColumn("lam", F.when((words > 0) & (target > 0), newton))
-
-
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Add the place of each row in its source by (size, id slice, ``doc_id``, row id), from 1."""
-    rows = rows.withColumn(P + "slice", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SLICES)), F.lit(SLICES)))
+def _rate(lam) -> F.Column:
+    """The rate of a class of documents (``x``) under the multiplier of its source."""
+    return F.when(F.col(P + "whole"), F.lit(float(MOST))).otherwise(F.least(F.lit(float(MOST)), F.exp(F.least(lam * F.col("x"), F.lit(1.0)))))
+
+
+def tilt(classes: DataFrame, by_source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``by_source`` with ``lam``, the multiplier of each source's word constraint, and ``classes`` with ``x``, by distributed Newton steps."""
+    mean = classes.groupBy(*SRC).agg((F.sum(F.col(P + "m") * F.col("size") * F.col("size").cast("double")) / F.nullif(F.sum(F.col(P + "m") * F.col("size")), F.lit(0))).alias("mean"))
+    held = by_source.join(mean, SRC).withColumn(P + "whole", F.col("target") >= MOST * F.col("words"))
+    lam = F.when(~F.col(P + "whole") & (F.col("words") > 0), F.lit(0.0))
+    state = materialize(held.withColumns({"lam": lam, "lo": F.lit(-WIDEST), "hi": F.lit(WIDEST), P + "open": lam.isNotNull()}), "tilts")
+    classes = materialize(classes.join(held.select(*SRC, "mean"), SRC).withColumn("x", F.coalesce(F.col("size") / F.col("mean"), F.lit(0.0))).drop("mean"), "classes")
+    some = classes.filter("size > 0")
+    for _ in range(MOST_JOBS):
+        for _ in range(STEPS_AT_ONCE):
+            moved = some.join(state.filter(P + "open").select(*SRC, "lam", P + "whole"), SRC)
+            got = F.col(P + "m") * F.col("size") * _rate(F.col("lam"))
+            free = F.col("lam") * F.col("x") < F.log(F.lit(float(MOST)))  # a rate at the bound does not move
+            sums = moved.groupBy(*SRC).agg(F.sum(got).alias("got"), F.sum(F.when(free, got * F.col("x")).otherwise(0.0)).alias("bend"))
+            state = state.join(sums, SRC, "left").withColumn("off", F.col("got") - F.col("target"))
+            state = state.withColumns({"lo": F.when(F.col("off") < 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("off") > 0, F.col("lam")).otherwise(F.col("hi"))})
+            newton = F.col("lam") - F.try_divide("off", "bend")
+            inside = (newton > F.col("lo")) & (newton < F.col("hi"))
+            settled = ~F.col(P + "open") | (F.abs("off") <= EXACT * F.col("words"))
+            step = F.when(settled, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+            state = state.withColumns({P + "open": ~settled & (step != F.col("lam")), "lam": step}).drop("got", "bend", "off")
+        state = materialize(state, "tilts")
+        if state.filter(P + "open").isEmpty():
+            break
+    return state.select(*by_source.columns, "lam", P + "whole"), classes
+
+
+def _placed(rows: DataFrame, classes: DataFrame, by_source: DataFrame, total: int) -> DataFrame:
+    """Add to each row the rate of its class and the sum of all rates before it in its source, by (size, slice, ``doc_id``, row id), in millionths."""
+    rates = classes.join(by_source.select(*SRC, "lam", P + "whole", "target"), SRC)
+    rate = F.when(F.col("target") > 0, F.round(UNIT * _rate(F.col("lam"))).cast("long")).otherwise(F.lit(0).cast("long"))
+    before = Window.partitionBy(*SRC).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    rates = rates.withColumn(P + "rate", F.coalesce(rate, F.lit(0)))
+    rates = rates.withColumn(P + "sum", F.coalesce(F.sum(F.col(P + "m") * F.col(P + "rate")).over(before), F.lit(0)))
+    rates = materialize(rates.select(*SRC, "size", P + "m", P + "rate", P + "sum", F.ceil(F.col(P + "m") / SLICE_ROWS).cast("int").alias(P + "slices")), "rates")
+    # a class of one slice needs no salt: its rows are in the order of their ids
+    slice_ = F.pmod(F.xxhash64("doc_id", UID), F.col(P + "slices")).alias(P + "slice")
+    rows = hot_join(rows, rates, [*SRC, "size"], P + "m", total).select(UID, "doc_id", *SRC, "size", P + "rate", P + "sum", slice_)
+    rows = materialize(rows, "cells")
     cell = [*SRC, "size", P + "slice"]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias(P + "n"))
-    in_size = Window.partitionBy(*SRC, "size").orderBy(P + "slice").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = cells.groupBy(*SRC, "size").agg(F.sum(P + "n").alias(P + "m"))
-    in_source = Window.partitionBy(*SRC).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select(*SRC, "size", F.coalesce(F.sum(P + "m").over(in_source), F.lit(0)).alias(P + "o"))
-    cells = cells.withColumn(P + "p", F.coalesce(F.sum(P + "n").over(in_size), F.lit(0))).join(by_size, [*SRC, "size"])
+    in_class = Window.partitionBy(*SRC, "size").orderBy(P + "slice").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.filter(F.col(P + "slice").isNotNull()).groupBy(*cell).agg(F.count("*").alias(P + "n"))
+    cells = cells.withColumn(P + "p", F.coalesce(F.sum(P + "n").over(in_class), F.lit(0))).drop(P + "n")
     own = Window.partitionBy(*cell).orderBy(F.col("doc_id").asc_nulls_last(), UID)
     ranked = rows.withColumn(P + "r", F.row_number().over(own)).join(cells, cell)
-    return ranked.withColumn(P + "rank", F.col(P + "r") + F.col(P + "p") + F.col(P + "o"))
+    return ranked.withColumn(P + "sum", F.col(P + "sum") + (F.col(P + "r") + F.col(P + "p") - 1) * F.col(P + "rate"))
 
 
 def _repair(rows: DataFrame, by_source: DataFrame, total: int) -> DataFrame:
@@ -110,17 +147,15 @@ def _repair(rows: DataFrame, by_source: DataFrame, total: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``UID, doc_id, size, source_size, target, copies, taken`` of each row. ``docs`` must be a scan of files."""
-    rows = materialize(sizes(docs), "sizes")
+    """``UID, doc_id, size, source_size, target, copies, taken`` of each row."""
+    rows = materialize(sizes(as_scan(docs)), "sizes")
     total = rows.count()
-    by_source = rows.groupBy(*SRC).agg(F.sum("size").alias("words"), F.count("*").alias(P + "docs"))
-    by_source = materialize(tilt(targets(by_source)), "sources")
-    rate = F.coalesce(F.round(UNIT * F.exp("lam")).cast("long"), F.lit(0))
-    rates = by_source.select(*SRC, P + "docs", F.least(rate, F.lit(MOST * UNIT)).alias(P + "rate"))
-    ranked = materialize(_ranked(rows).select(UID, "doc_id", *SRC, "size", P + "rank"), "ranks")
-    dealt = hot_join(ranked, rates, SRC, P + "docs", total)
-    upto = lambda k: F.floor((k * F.col(P + "rate") + UNIT // 2) / UNIT)
-    dealt = dealt.withColumn("copies", (upto(F.col(P + "rank")) - upto(F.col(P + "rank") - 1)).cast("int"))
+    classes = materialize(rows.groupBy(*SRC, "size").agg(F.count("*").alias(P + "m")), "classes")
+    by_source = classes.groupBy(*SRC).agg(F.sum(F.col("size") * F.col(P + "m")).alias("words"), F.sum(P + "m").alias(P + "docs"))
+    by_source, classes = tilt(classes, materialize(targets(by_source), "sources"))
+    placed = _placed(rows, classes, by_source, total)
+    upto = lambda c: F.floor((c + UNIT // 2) / UNIT)
+    dealt = placed.withColumn("copies", (upto(F.col(P + "sum") + F.col(P + "rate")) - upto(F.col(P + "sum"))).cast("int"))
     dealt = materialize(dealt.select(UID, "doc_id", *SRC, "size", "copies"), "copies")
     for _ in range(REPAIRS):
         dealt = _repair(dealt, by_source, total)
@@ -128,12 +163,23 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select(UID, "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or with the first number from 2 on that no column has."""
+    k, out, lower = 2, name, {x.lower() for x in taken}
+    while out.lower() in lower:
+        out, k = f"{name}_{k}", k + 1
+    return out
+
+
 def apply_mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes it: each row as many times as it has copies, with its size and its source's target."""
+    docs = as_scan(docs)
     taken = mix(docs).filter("copies > 0").select(UID, F.col("size").alias(P + "size"), F.col("target").alias(P + "target"), F.col("copies").alias(P + "copies"))
+    names = [_free(x, docs.columns) for x in ("mix_size", "mix_target", "mix_copy")]
     both = with_uid(docs).join(taken.hint("shuffle_hash"), UID)
-    both = both.withColumns({"mix_size": F.col(P + "size"), "mix_target": F.col(P + "target")})
-    return both.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies")))).drop(UID, P + "size", P + "target", P + "copies")
+    copies = F.explode(F.sequence(F.lit(1), F.col(P + "copies"))).alias(names[2])
+    own = [f"`{c}`" for c in docs.columns]
+    return both.select(*own, F.col(P + "size").alias(names[0]), F.col(P + "target").alias(names[1]), copies)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -158,7 +204,7 @@ c{k + 1} AS (
 
 
 OP9_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, struct_pack(n := source IS NULL, s := coalesce(source, '')) AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
@@ -171,12 +217,26 @@ f AS (
   FROM w),
 t AS (SELECT max((1.5 * whole - filled)::DOUBLE / rest) AS t FROM f WHERE (1.5 * whole - filled)::DOUBLE / rest <= 2.0 * words / w),
 s AS (SELECT src, words, least(coalesce((SELECT t FROM t) * w, 2.0 * words), 2.0 * words)::DOUBLE AS target FROM w),
-r AS (SELECT src, CASE WHEN words > 0 THEN least(CAST(round(1000000 * target / words) AS BIGINT), 2000000) ELSE 0 END AS rate FROM s),
+k AS (SELECT src, size, count(*) AS m FROM d GROUP BY ALL),
+e AS (SELECT src, sum(m * size * size::DOUBLE) / sum(m * size) AS mean FROM k GROUP BY src),
+x AS (SELECT k.src, k.size, k.m, k.size / e.mean AS x FROM k JOIN e ON k.src = e.src),
+n AS (  -- the multipliers by halving brackets
+  SELECT 0 AS step, src, -{WIDEST}::DOUBLE AS lo, {WIDEST}::DOUBLE AS hi FROM s WHERE words > 0 AND target < {MOST} * words
+  UNION ALL
+  SELECT n.step + 1, n.src,
+         CASE WHEN sum(x.m * x.size * least({MOST}, exp(least((n.lo + n.hi) / 2 * x.x, 1)))) < s.target THEN (n.lo + n.hi) / 2 ELSE n.lo END,
+         CASE WHEN sum(x.m * x.size * least({MOST}, exp(least((n.lo + n.hi) / 2 * x.x, 1)))) < s.target THEN n.hi ELSE (n.lo + n.hi) / 2 END
+  FROM n JOIN x ON x.src = n.src JOIN s ON s.src = n.src WHERE n.step < 75 GROUP BY n.step, n.src, n.lo, n.hi, s.target),
+l AS (SELECT src, (lo + hi) / 2 AS lam FROM n WHERE step = 75),
+r AS (
+  SELECT x.src, x.size, CASE WHEN s.words = 0 THEN 0 WHEN l.lam IS NULL THEN {MOST * UNIT}
+         ELSE CAST(round({UNIT} * least({MOST}, exp(least(l.lam * x.x, 1)))) AS BIGINT) END AS rate
+  FROM x JOIN s ON x.src = s.src LEFT JOIN l ON x.src = l.src),
 p AS (
-  SELECT d.*, r.rate, row_number() OVER (PARTITION BY d.src ORDER BY size, doc_id % {SLICES}, doc_id) AS k
-  FROM d JOIN r ON d.src = r.src),
+  SELECT d.*, r.rate, sum(r.rate) OVER (PARTITION BY d.src ORDER BY d.size, d.doc_id ROWS UNBOUNDED PRECEDING) AS c
+  FROM d JOIN r ON d.src = r.src AND d.size = r.size),
 c0 AS (
-  SELECT doc_id, src, size, (k * rate + 500000) // 1000000 - ((k - 1) * rate + 500000) // 1000000 AS copies FROM p),
+  SELECT doc_id, src, size, (c + {UNIT // 2}) // {UNIT} - (c - rate + {UNIT // 2}) // {UNIT} AS copies FROM p),
 {",".join(_repair_sql(k) for k in range(REPAIRS))}
 SELECT c.doc_id, c.size, s.words AS source_size, s.target, CAST(c.copies * c.size AS BIGINT) AS taken
 FROM c{REPAIRS} c JOIN s ON c.src = s.src
