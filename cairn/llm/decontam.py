@@ -29,7 +29,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ ADVANCE = 2 / 3
 #: Expected false candidates a window that the choice of samples per repetition allows.
 NOISE = 0.05
 STEP_CLASS = 1.4
-WINDOWS = 65_536
+WINDOWS = 16_384
 PAIRS = 500_000
 BLOCK_CHARS = 20_000_000
 TABLE_BYTES = 200_000_000
@@ -322,16 +322,17 @@ def verify(index: Index, item: int, codes: list[int], places: list[int]) -> tupl
     return best
 
 
-def _search(index: Index, rows: int = 2000):
+def _search(index: Index, rows: int = 500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocab.get
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
                 texts = part.column("text")
-                codes = [[get(w, 0) for w in WORD.findall((t or "").lower())] for t in texts.to_pylist()]
-                sizes = np.array([len(c) for c in codes])
-                flat = np.fromiter(chain.from_iterable(codes), np.int64, int(sizes.sum()))
+                found_words = [WORD.findall(t.lower()) if t else [] for t in texts.to_pylist()]
+                sizes = np.array([len(w) for w in found_words])
+                flat = np.fromiter(map(get, chain.from_iterable(found_words), repeat(0)), np.int64, int(sizes.sum()))
+                del found_words
                 # rows without words share the start of the next one; searchsorted must find the row that has words
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
@@ -342,11 +343,12 @@ def _search(index: Index, rows: int = 2000):
                 out: list[tuple] = []
                 for r, by_item in found.items():
                     k = int(full[r])
-                    hits = [(i, hit) for i, ps in by_item.items() if (hit := verify(index, i, codes[k], sorted(ps)))]
+                    codes = flat[starts[r] : starts[r] + sizes[k]].tolist()
+                    hits = [(i, hit) for i, ps in by_item.items() if (hit := verify(index, i, codes, sorted(ps)))]
                     if not hits:
                         continue
                     marks = [(m.start(), m.end()) for m in WORD.finditer(texts[k].as_py())]
-                    same = len(marks) == len(codes[k])  # lower-casing can change the words of rare scripts
+                    same = len(marks) == len(codes)  # lower-casing can change the words of rare scripts
                     for i, (edits, lo, hi) in hits:
                         span = (marks[lo][0], marks[max(lo, hi - 1)][1]) if same else (-1, -1)
                         out.append((part.column(UID)[k].as_py(), part.column("doc_id")[k].as_py(), index.ids[i], edits, int(index.size[i]), *span))
