@@ -126,18 +126,20 @@ def framework_overview(files: DataFrame) -> DataFrame:
 
 def framework_routes(files: DataFrame) -> DataFrame:
     """SRC-19: ``file, method, uri, action`` of route declarations."""
-    pattern = r"(?s)Route::(get|post|put|patch|delete|any|options|resource|apiResource)\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*(.*?)\)\s*(?:;|->)"
+    # the verbs of a match stand in a list before the path
+    pattern = r"(?s)Route::(get|post|put|patch|delete|any|options|resource|apiResource|match)\s*\(\s*(?:\[[^\]]*\]\s*,\s*)?['\"]([^'\"]+)['\"]\s*,\s*(.*?)\)\s*(?:;|->)"
     rows = files.filter(F.col("path").startswith("routes/") & F.col("path").endswith(".php"))
     parts = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), i).alias(n) for i, n in ((1, "method"), (2, "uri"), (3, "action"))])
     return rows.select(F.col("path").alias("file"), F.inline(parts)).withColumn("action", F.trim(F.regexp_replace("action", r"\s+", " ")))
 
 
 def framework_schema(files: DataFrame) -> DataFrame:
-    """SRC-20: ``table, type, name`` of the columns that migrations create."""
+    """SRC-20: ``table, type, name`` of the columns that migrations create or add."""
     rows = files.filter(F.col("path").startswith("database/migrations/"))
-    blocks = rows.select(F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(r"(?s)Schema::create\s*\(\s*['\"](\w+)['\"](.*?)\n\s*\}\s*\)"), 1).alias("table"), F.regexp_extract_all("content", F.lit(r"(?s)Schema::create\s*\(\s*['\"](\w+)['\"](.*?)\n\s*\}\s*\)"), 2).alias("body"))).alias("x"))
-    cell = r"\$table->(\w+)\s*\(\s*['\"](\w+)['\"]"
-    return blocks.select(F.col("x.table").alias("table"), F.inline(F.arrays_zip(F.regexp_extract_all("x.body", F.lit(cell), 1).alias("type"), F.regexp_extract_all("x.body", F.lit(cell), 2).alias("name"))))
+    block = F.lit(r"(?s)Schema::(?:create|table)\s*\(\s*['\"]([^'\"]+)['\"](.*?)\n\s*\}\s*\)")
+    of = lambda x, pattern, *names: F.inline(F.arrays_zip(*[F.regexp_extract_all(x, pattern, i).alias(n) for i, n in enumerate(names, 1)]))
+    blocks = rows.select(of("content", block, "table", "body"))
+    return blocks.select("table", of("body", F.lit(r"\$table->(\w+)\s*\(\s*['\"](\w+)['\"]"), "type", "name"))
 
 
 def recent_errors(lines: DataFrame, most: int = 80) -> DataFrame:
@@ -167,7 +169,3 @@ def git_commits(spark: SparkSession, root: str, weeks: int | None = None, timeou
         commit, seconds = head.split("\x02")
         rows += [(commit, datetime.fromtimestamp(int(seconds), timezone.utc).replace(tzinfo=None), n) for n in names if n]
     return spark.createDataFrame(rows, "commit string, ts timestamp_ntz, file string")
-
-
-def parents(paths: DataFrame) -> DataFrame:
-    return paths.select(dirname("path").alias("dir")).distinct()

@@ -16,7 +16,7 @@ from cairn.operators.graph import closure
 from .extract import NOISE_ROOTS
 
 # Extensions tried after a bare path, in order.
-PROBED = tuple(".ts .tsx .js .jsx .mjs .cjs .vue .py .php .go .java .cs .rs".split())
+PROBED = tuple(".ts .tsx .js .jsx .mjs .cjs .py .php .json .rs .go .java .cs".split())
 # Base names that many files share.
 AMBIGUOUS = tuple("index main utils helpers types constants config app models __init__".split())
 
@@ -67,12 +67,14 @@ def crate_roots(files: DataFrame) -> DataFrame:
 
 
 def alias_candidates(imports: DataFrame, configs: DataFrame) -> DataFrame:
-    """JN-06: ``file, ord, base, rank`` of imports under path aliases (``dir, base_url, alias, target``): configs that hold the file first, the longest folder, then their order. The configs are the broadcast side."""
+    """JN-06: ``file, ord, base, rank`` of imports under path aliases (``dir, base_url, alias, target``): configs that hold the file first, the longest folder, then their order. The part before the star is met by an equality on the prefixes of the import."""
     pre, post = F.substring_index("alias", "*", 1), F.when(F.contains(F.col("alias"), F.lit("*")), F.substring_index("alias", "*", -1)).otherwise("")
-    c = F.broadcast(configs.withColumns({"pre": pre, "post": post, "no": F.monotonically_increasing_id()}))
+    order = F.struct("dir", "alias", "target")
+    c = configs.withColumns({"pre": pre, "post": post, "no": order})
     star = F.contains(F.col("alias"), F.lit("*"))
     fits = F.when(star, F.startswith("source", "pre") & F.endswith("source", "post") & (F.length("source") >= F.length("pre") + F.length("post"))).otherwise(F.col("source") == F.col("alias"))
-    hit = imports.join(c, fits)
+    heads = F.transform(F.sequence(F.lit(0), F.length("source")), lambda n: F.substring(F.col("source"), F.lit(1), n))
+    hit = imports.withColumn("pre", F.explode(heads)).join(c, "pre").filter(fits)
     middle = F.substring(F.col("source"), F.length("pre") + 1, F.length("source") - F.length("pre") - F.length("post"))
     base = normalize_path(F.concat_ws("/", "dir", "base_url", F.when(star, F.concat(F.substring_index("target", "*", 1), middle, F.when(F.contains(F.col("target"), F.lit("*")), F.substring_index("target", "*", -1)).otherwise(""))).otherwise(F.col("target"))))
     holds = (F.col("dir") == "") | F.startswith("file", F.concat("dir", F.lit("/")))
@@ -82,8 +84,10 @@ def alias_candidates(imports: DataFrame, configs: DataFrame) -> DataFrame:
 
 def namespace_candidates(imports: DataFrame, namespaces: DataFrame) -> DataFrame:
     """JN-07: ``file, ord, base, rank`` by the longest namespace prefix (``namespace, base``)."""
-    ns = F.broadcast(namespaces.select(F.regexp_replace("namespace", r"\\+$", "").alias("ns"), F.regexp_replace("base", "/+$", "").alias("dir")))
-    hit = imports.join(ns, (F.col("source") == F.col("ns")) | F.startswith("source", F.concat("ns", F.lit("\\"))))
+    ns = namespaces.select(F.regexp_replace("namespace", r"\\+$", "").alias("ns"), F.regexp_replace("base", "/+$", "").alias("dir"))
+    parts = F.split("source", r"\\")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
+    hit = imports.withColumn("ns", F.explode(heads)).join(ns, "ns")  # every prefix of whole segments, so the join is an equality
     rest = F.replace(F.substring(F.col("source"), F.length("ns") + 2, F.length("source")), F.lit("\\"), F.lit("/"))
     w = Window.partitionBy("file", "ord").orderBy(F.length("ns").desc(), "ns")
     return hit.withColumn("rank", F.row_number().over(w)).select("file", "ord", F.concat_ws("/", F.nullif("dir", F.lit("")), rest).alias("base"), "rank")

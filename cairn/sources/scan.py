@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.text import basename, extension
 
+from .extract import decode
+
 MAX_BYTES = 2_000_000
 # Fixed values.
 EXTENSIONS = tuple("py js ts jsx tsx sql c cpp h hpp java go rs php rb cs sh bat ps1 swift kt scala ex exs lua r jl".split())
@@ -73,7 +77,19 @@ def scan_files(spark: SparkSession, root: str, documents: bool = False, patterns
     base = re.escape(re.sub(r"^file:/*", "/", root).rstrip("/"))
     rows = raw.filter(F.col("length") <= MAX_BYTES).withColumn("rel", F.regexp_replace("path", rf"^(?:\w+:/*)?/?{base.lstrip('/')}/+", ""))
     rows = rows.filter(~skipped(F.col("rel"), F.col("length"), documents, patterns=patterns))
-    return rows.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"), "length", F.sha2("content", 256).alias("hash"))
+    return decoded(rows.select(F.col("rel").alias("path"), "content", "length", F.sha2("content", 256).alias("hash")))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """SRC-05: ``content`` from bytes to text in the first encoding that reads them; the other columns pass through."""
+    names, kinds = files.columns, {f.name: f.dataType.simpleString() for f in files.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.array([decode(x) for x in b.column("content").to_pylist()], pa.string())
+            yield pa.record_batch([text if n == "content" else b.column(n) for n in names], names)
+
+    return files.mapInArrow(run, ", ".join(f"`{n}` {'string' if n == 'content' else kinds[n]}" for n in names))
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:

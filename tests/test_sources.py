@@ -81,11 +81,23 @@ def test_call_edges(engine):
 def test_selection_stays_in_budget(engine):
     rows = engine.select("fix order store put", 200).collect()
     assert rows and sum(r.cost for r in rows) <= 200
-    assert rows[0].task_id == 1 and {"shop/store.py::put"} <= {r.id for r in rows}
+    # the cost of a symbol is that of its JSON with its code, so three fit and the method itself does not
+    assert rows[0].task_id == 1 and {r.id for r in rows} == {"shop/api.py::create_order", "shop/store.py::Store", "shop/store.py::find"}
+    wide = {r.id for r in engine.select("fix order store put", 1000).collect()}
+    assert wide == {"shop/api.py::create_order", "shop/store.py::Store", "shop/store.py::save", "shop/store.py::put"}  # three of a file at most
     text = engine.context("fix order store put", 300, "markdown")
     assert "store.py::put" in text
 
 
+def test_reports_warn_where_a_task_does_not_fit(engine):
+    fits = engine.selection_report("fix order store put", 1000)
+    assert fits["warning"] is None and not fits["degraded"] and fits["reasons"]["direct_matches"] == 4
+    alien = engine.selection_report("zeppelin quaternion", 1000)
+    assert alien["degraded"] and "quaternion" in alien["warning"] and alien["reasons"] == {"global_fallback": alien["selected"]}
+    tests = engine.candidates("add tests for store put").filter("file = 'tests/test_store.py'").collect()
+    assert [r.id for r in tests] == ["tests/test_store.py::test_put"] and "tests" in tests[0].reasons
+
+
 def test_lookups(engine):
     assert [r.id for r in engine.find_symbols("ORDER").collect()] == ["shop/api.py::create_order"]
     assert {r.id for r in engine.trace_callers("clean").collect()} == {"shop/api.py::create_order"}
@@ -94,6 +106,49 @@ def test_lookups(engine):
     assert engine.semantic_search("create order").first().doc == "shop/api.py::create_order"
 
 
+def symbols_of(path, text):
+    return {s["name"]: (s["kind"], s["line"], s["end_line"], s["calls"]) for s in extract.extract(path, text).symbols}
+
+
+def test_declarations_by_tokens():
+    ts = "// a comment with function fake() {\nexport class Box<T> {\n  constructor(x: number) { this.go(x) }\n  async go(x: number): Promise<void> {\n    if (x) { helper('}') }\n  }\n}\nexport const add = (a: number): number => a + sum(a)\nconst z = 5\n"
+    assert symbols_of("a.ts", ts) == {"Box": ("class", 2, 7, []), "constructor": ("func", 3, 3, ["this.go"]), "go": ("func", 4, 6, ["helper"]), "add": ("func", 8, 8, ["sum"])}
+    java = "public class A extends B {\n  public A(int n) { super(n); }\n  public <T> List<T> get(Map<String, T> m) throws E, F {\n    for (int i = 0; i < n; i++) { m.put(x(), new C(i)); }\n    return D.make(m);\n  }\n  abstract void none();\n}\n"
+    assert symbols_of("A.java", java) == {"A": ("class", 1, 8, []), "get": ("func", 3, 6, ["m.put", "x", "C", "D.make"]), "none": ("func", 7, 7, [])}
+    go = "type S struct { a int }\nfunc (s *S) Run(a int) error {\n  return y.Do(a)\n}\n"
+    assert symbols_of("m.go", go) == {"S": ("struct", 1, 1, []), "Run": ("func", 2, 4, ["y.Do"])}
+    rust = "pub struct P<'a> { x: &'a str }\nimpl<'a> P<'a> {\n  fn go(&self) { self.x.len(); b::run('}'); }\n}\npub enum E { A, B }\n"
+    assert symbols_of("l.rs", rust) == {"P": ("struct", 1, 1, []), "go": ("func", 3, 3, ["self.x.len", "b::run"]), "E": ("enum", 5, 5, [])}
+    c = "static int add(int a, int b) {\n  return mul(a, b);\n}\nint main(void)\n{\n  print(\"} %d\", add(1, 2)); /* } */\n}\n"
+    assert symbols_of("x.c", c) == {"add": ("func", 1, 3, ["mul"]), "main": ("func", 4, 7, ["print", "add"])}
+    cs = "namespace N {\n  public class K {\n    public async Task<int> Go(int a) { return await Do(a); }\n  }\n}\n"
+    assert symbols_of("x.cs", cs) == {"N": ("class", 1, 5, []), "K": ("class", 2, 4, []), "Go": ("func", 3, 3, ["Do"])}
+    php = "<?php\nclass C extends B {\n  public function index($a) { return view(U::all()); }\n}\n"
+    assert symbols_of("x.php", php) == {"C": ("class", 2, 4, []), "index": ("func", 3, 3, ["view", "U::all"])}
+    ruby = "class Foo\n  def bar(x)\n    baz(x)\n  end\nend\n"
+    assert symbols_of("x.rb", ruby) == {"Foo": ("class", 1, 5, []), "bar": ("func", 2, 4, ["baz"])}
+
+
+def test_imports_of_many_languages():
+    def plain(path, text):
+        return extract.extract(path, text).imports
+
+    assert plain("A.java", "import java.util.List;\nimport a.c.D;\nimport static a.b.*;\n") == ["a.c.D", "a.b"]
+    assert plain("m.go", 'import (\n "fmt"\n "x/y"\n)\n') == ["x/y"]
+    assert plain("x.c", '#include <lib/a.h>\n#include "b.h"\n') == ["lib/a.h", "b.h"]
+    assert plain("x.cs", "using A.B;\n") == ["A.B"]
+    many = "import {" + ",".join(f"\n  name{i}" for i in range(200)) + "\n} from './wide'\n"
+    assert len(extract.import_records(many.split("\n"))[0][0]["specifiers"]) == 200
+    assert extract.import_records(["from . import a", "from ..b.c import d as e"], "py")[0][1]["source"] == "..b.c"
+
+
+def test_files_in_other_encodings_are_scanned(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes("# é\ndef aa():\n    pass\n".encode("latin-1"))
+    (tmp_path / "b.py").write_bytes(b"def bb():\n    pass\n\xff")
+    got = {r.path: r.content for r in scan.scan_files(spark, str(tmp_path)).collect()}
+    assert got["a.py"].startswith("# é\n") and set(got) == {"a.py", "b.py"}
+
+
 def test_ignore_patterns(spark):
     rows = [("a/x.py",), ("b/x.py",), ("a/keep.py",), ("node_modules/y.js",), ("c/deep/z.py",)]
     df = spark.createDataFrame(rows, "path string").withColumn("n", F.lit(1))
@@ -123,8 +178,8 @@ def test_project_files(spark):
             ("apps/one/package.json", '{"name": "one-app"}'),
             ("composer.json", '{"require": {"php": "^8.1", "laravel/framework": "^10"}, "autoload": {"psr-4": {"App\\\\": "app/"}}}'),
             ("artisan", ""),
-            ("routes/web.php", "<?php\nRoute::get('/users', [UserController::class, 'index']);\n"),
-            ("database/migrations/1_users.php", "Schema::create('users', function (Blueprint $table) {\n    $table->string('email');\n    $table->integer('age');\n});\n"),
+            ("routes/web.php", "<?php\nRoute::get('/users', [UserController::class, 'index']);\nRoute::match(['get', 'post'], '/both', 'Both');\n"),
+            ("database/migrations/1_users.php", "Schema::create('users', function (Blueprint $table) {\n    $table->string('email');\n    $table->integer('age');\n});\nSchema::table('orders', function (Blueprint $table) {\n    $table->date('due');\n});\n"),
             ("tsconfig.base.json", '{"compilerOptions": {"baseUrl": ".", "paths": {"@x/*": ["src/*"]}}} // base'),
             ("web/tsconfig.json", '{"extends": "../tsconfig.base.json"}'),
         ],
@@ -133,8 +188,8 @@ def test_project_files(spark):
     assert [(r.namespace, r.base) for r in projects.psr4(files).collect()] == [("App\\", "app")]
     o = projects.framework_overview(files).first()
     assert (o.is_project, o.framework_version, o.migrations) == (True, "^10", 1)
-    assert [(r.method, r.uri) for r in projects.framework_routes(files).collect()] == [("get", "/users")]
-    assert [(r.table, r.type, r.name) for r in projects.framework_schema(files).collect()] == [("users", "string", "email"), ("users", "integer", "age")]
+    assert [(r.method, r.uri) for r in projects.framework_routes(files).collect()] == [("get", "/users"), ("match", "/both")]
+    assert [(r.table, r.type, r.name) for r in projects.framework_schema(files).collect()] == [("users", "string", "email"), ("users", "integer", "age"), ("orders", "date", "due")]
     assert {(r.dir, r.alias) for r in projects.path_aliases(files).collect()} == {("", "@x/*"), ("", "*")}
 
 
