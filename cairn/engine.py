@@ -6,9 +6,10 @@ per engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
@@ -20,8 +21,9 @@ from cairn.sources import extract, projects, resolve, scan
 class Engine:
     """``files`` has ``path, content`` (and ``length, hash`` where known)."""
 
-    def __init__(self, spark: SparkSession, source: DataFrame, hotspots: DataFrame | None = None, synonyms: dict | None = None):
-        self.spark, self.source, self.hot, self.synonyms = spark, source, hotspots, synonyms
+    def __init__(self, spark: SparkSession, source: DataFrame, hotspots: DataFrame | None = None, synonyms: dict | None = None, count_tokens: Callable[[Column], Column] = T.estimate_tokens):
+        """UD-01: ``count_tokens`` turns a text column into its number of tokens (any column function, a pandas UDF over a tokenizer too)."""
+        self.spark, self.source, self.hot, self.synonyms, self.count_tokens = spark, source, hotspots, synonyms, count_tokens
 
     @classmethod
     def from_path(cls, spark: SparkSession, root: str, **options) -> Engine:
@@ -62,10 +64,6 @@ class Engine:
     @cached_property
     def _raw_symbols(self) -> DataFrame:
         rows = extract.symbol_rows(self.parsed)
-        text = self.source.select(F.col("path").alias("file"), snippet.lines_of(F.col("content")).alias("lines"))
-        body = F.array_join(snippet.body(F.col("lines"), F.col("line") + 1, F.col("end_line")), "\n")
-        found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?:new\s+)?((?:[A-Za-z_$][\w$]*(?:\.|::))*[A-Za-z_$][\w$]*)\s*\("), 1))
-        rows = rows.join(text, "file").withColumn("calls", F.coalesce("calls", found)).drop("lines")
         return graph.cut(rows)
 
     @cached_property
@@ -107,12 +105,12 @@ class Engine:
         members = graph.communities(self.files, self.file_edges)
         return members.join(graph.community_labels(members), "community")
 
-    def cycles(self, longest: int = 4) -> DataFrame:
-        return graph.cycles(self.file_edges, longest)
+    def cycles(self) -> DataFrame:
+        return graph.cycles(self.file_edges)
 
     def domain(self) -> DataFrame:
-        text = F.lower(F.concat_ws(" ", F.array_join("names", " "), F.array_join("imports", " "), "summary"))
-        return rollup.keyword_domain(self.files.agg(F.array_join(F.collect_list(text), " ").alias("text")), [])
+        text = F.concat_ws(" ", F.array_join("names", " "), F.array_join("imports", " "), "summary")
+        return rollup.project_domain(self.files.select(text.alias("text")))
 
     def packages(self) -> DataFrame:
         return rollup.package_summary(projects.workspaces(self.source), self.files, self.file_edges)
@@ -123,7 +121,7 @@ class Engine:
     def statistics(self) -> DataFrame:
         """AG-14."""
         one = lambda df, name: df.agg(F.count("*").alias(name))
-        calls = self.symbol_edges.agg(F.count_if(F.col("kind") == "calls-symbol").alias("calls"), F.count_if(F.col("kind") == "calls-symbol-local").alias("local_calls"), F.count_if(F.col("kind") == "imports-symbol").alias("named_imports"))
+        calls = rollup.edge_statistics(self.symbol_edges).drop("connections")
         return one(self.files, "total_files").crossJoin(one(self.file_edges, "connections")).crossJoin(one(self.symbols, "total_symbols")).crossJoin(calls).crossJoin(one(self.unresolved, "unresolved_imports"))
 
     # lookups
@@ -197,47 +195,97 @@ class Engine:
     def _task(self, task: str) -> DataFrame:
         return self.spark.createDataFrame([(1, task)], "task_id int, task string").select("task_id", T.keywords("task", self.synonyms).alias("kws"), T.intents("task").alias("ints"))
 
-    def select(self, task: str, budget: int = 4096) -> DataFrame:
-        """Rows for a task: scored, personalised, diversified, expanded, admitted by budget, file and test caps, with confidence."""
+    def _scored(self, task: str) -> DataFrame:
+        """Every symbol with its scores for a task: ``task_score, final, tier``."""
         words = self._task(task)
         rows = score.score_tasks(self.symbols, words.select("task_id", "kws")).join(F.broadcast(words.select("task_id", "ints")), "task_id")
         rows = graph.cut(rows)
         kws, ints = F.col("kws"), F.col("ints")
-        seeded = rows.filter("task_score > 0")
         edges = self.symbol_edges.select("source", "target", "kind")
+        seeded = rows.filter("task_score > 0")
         personal = graph.pagerank(self.symbols, edges, seeds=seeded.select("id", F.col("task_score").alias("weight"))).withColumnRenamed("rank", "personal")
         most = rows.agg(F.max("task_score").alias("most"))
-        rows = rows.join(personal, "id").crossJoin(F.broadcast(most))
-        hot = self.hot.select("file", F.col("score").alias("hotspot")) if self.hot is not None else self.spark.createDataFrame([], "file string, hotspot double")
-        rows = rows.join(F.broadcast(hot), "file", "left").withColumn("hotspot", F.coalesce("hotspot", F.lit(0.0)))
+        rows = rows.join(personal, "id").crossJoin(F.broadcast(most))  # one row
+        if self.hot is not None:
+            rows = rows.join(self.hot.select("file", F.col("score").alias("hotspot")), "file", "left").withColumn("hotspot", F.coalesce("hotspot", F.lit(0.0)))
+        else:
+            rows = rows.withColumn("hotspot", F.lit(0.0))
         linked = score.graph_score(F.col("rank"), F.col("personal"), F.col("most") > 0)
-        final = score.final_score(F.col("task_score"), F.col("most"), linked, F.col("end_line") - F.col("start_line"), kws, ints, F.col("hotspot"))
-        rows = graph.cut(rows.withColumns({"final": F.round(final, 6), "tier": C.context_tier(kws, ints)}))
-        isolated = C.is_isolated_match(kws) & ~(C.b("exported") | F.lower("kind").isin(*C.MODEL_KINDS))
-        weak = C.is_weak_file_match(kws) & ~F.array_contains(ints, "bugfix")
-        direct = rows.filter((F.col("task_score") > 0) & ~C.is_noise() & ~C.is_unrequested_test(ints) & ~weak & ~isolated)
-        seeds = select.mmr(direct.filter(C.seed_ok(F.col("task_score"), F.col("final"))), ["task_id"])
-        near = select.expand_neighbors(seeds.select("id", F.col("final").alias("score")), edges.filter(F.col("kind").startswith("calls-symbol")))
-        every = direct.select("id", F.col("final").alias("score"), F.array(F.lit("direct")).alias("reasons")).unionByName(near)
-        types = select.type_dependencies(direct.withColumn("score", F.col("final")), self.symbols.filter(F.lower("kind").isin(*C.MODEL_KINDS)), every)
-        every = every.unionByName(types.withColumn("reasons", F.array(F.lit("type_dependency"))))
-        every = every.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
-        fallback = self.symbols.orderBy(F.col("rank").desc(), "id").limit(80).filter(~C.is_generic_type()).select("id", (0.5 * F.col("rank")).alias("score"), F.array(F.lit("global_fallback")).alias("reasons"))
-        none = every.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(1).alias("_one"))
-        every = every.unionByName(fallback.join(F.broadcast(none), F.lit(True), "left_semi"))
-        cand = rows.join(every, "id").filter(~C.is_noise() & ~C.is_unrequested_test(ints))
-        code = T.estimate_tokens(F.to_json(F.struct("id", "file", "kind", "signature", "reasons")))
-        cand = graph.cut(cand.withColumn("cost", code).withColumn("value", F.round(F.col("score") / F.greatest("cost", F.lit(1)), 8)))
-        fit = select.greedy_budget(cand, ["task_id"], budget, [F.col("value").desc(), F.col("id")])
-        kept = select.file_cap(fit.filter("taken"), ["task_id"], [F.col("value").desc(), F.col("id")]).filter("admitted")
-        kept = select.cap_tests(kept, ["task_id"], C.is_test_path(F.col("file")))
+        final = score.final_score(F.col("task_score"), F.col("most"), linked, kws, ints, F.col("hotspot"))
+        return graph.cut(rows.withColumns({"final": final, "tier": C.context_tier(kws, ints, ready=True)}))
+
+    def candidates(self, task: str) -> DataFrame:
+        """Symbols that a task may need: direct matches, callers, callees and import neighbours of the seeds, tests, types; else the best ranked.
+        Columns of the scored symbols with ``score, reasons, cost, value``."""
+        rows = self._scored(task)
+        kws, ints = F.col("kws"), F.col("ints")
+        isolated = C.is_isolated_match(kws, ready=True) & ~(C.b("exported") | F.lower("kind").isin(*C.MODEL_KINDS))
+        weak = C.is_weak_file_match(kws, ready=True) & ~F.array_contains(ints, "bugfix")
+        open_ = graph.cut(rows.filter(~C.is_noise() & ~C.is_unrequested_test(ints) & ~weak))
+        direct = open_.filter((F.col("task_score") > 0) & ~isolated)
+        seeds = graph.cut(select.mmr(direct.filter(C.seed_ok(F.col("task_score"), F.col("final"))), ["task_id"]).select("id", "file", F.col("final").alias("score")))
+        one = lambda reason: F.array(F.lit(reason))
+        every = direct.select("id", F.col("final").alias("score"), one("direct_matches").alias("reasons"))
+        gate = C.neighbor_ok(F.col("overlap") > 0, F.col("tier"))
+        near = select.neighbors(seeds.select("id", "score"), self.symbol_edges.select("source", "target", "kind"), open_.select("id", "task_score", "overlap", gate.alias("gate")))
+        every = every.unionByName(near)
+        wanted = open_.filter(F.col("overlap") > 0).select("id", "file", "overlap", "ints")
+        every = graph.cut(every.unionByName(select.task_tests(wanted)))
+        mapped = select.test_counterparts(seeds, open_.select("id", "file")).join(every.select("id"), "id", "left_anti")
+        every = graph.cut(select.strongest(every.unionByName(mapped)))
+        held = rows.join(every.select("id"), "id", "left_semi")
+        types = select.type_dependencies(held, open_.filter(F.lower("kind").isin(*C.MODEL_KINDS)), every)
+        every = every.unionByName(types.withColumn("reasons", one("type_dependency")))
+        fallback = open_.orderBy(F.col("rank").desc(), "id").limit(80).filter(~C.is_generic_type()).select("id", (0.5 * F.col("rank")).alias("score"), one("global_fallback").alias("reasons"))
+        if every.isEmpty():
+            every = fallback
+        cand = open_.join(every.withColumn("score", F.round("score", 6)), "id")
+        return self._priced(cand)
+
+    def _priced(self, rows: DataFrame) -> DataFrame:
+        """PRJ-08: the cost of a symbol is that of its JSON with its code as it would be shown; its value is score per token."""
+        text = self.source.select(F.col("path").alias("file"), snippet.lines_of(F.col("content")).alias("_all"))
+        code = snippet.contextual(snippet.body(F.col("_all"), F.col("start_line"), F.col("end_line")), F.col("signature"), F.col("tier"), F.col("kws"))
+        priced = rows.join(text, "file", "left").withColumn("_code", F.coalesce(code, F.lit(""))).drop("_all")
+        shown = F.to_json(F.struct("id", "file", "kind", "signature", "reasons", F.col("_code").alias("code")))
+        priced = priced.withColumn("cost", self.count_tokens(shown)).drop("_code")
+        return graph.cut(priced.withColumn("value", F.round(F.col("score") / F.greatest("cost", F.lit(1)), 6)))
+
+    def select(self, task: str, budget: int = 4096) -> DataFrame:
+        """Rows for a task: scored, personalised, diversified, expanded, admitted by budget, file and test caps, with confidence."""
+        cand = self.candidates(task)
+        tier = select.tier_number(F.col("tier"), select.TIER_WEIGHT).desc()
+        order = [F.col("value").desc(), tier, F.col("score").desc(), F.col("rank").desc(), F.col("id")]
+        fit = graph.cut(select.greedy_budget(cand, ["task_id"], budget, order))
+        self.cut_rows = fit.filter("not taken")
+        kept = select.file_cap(fit.filter("taken"), ["task_id"], order).filter("admitted")
+        tests = F.arrays_overlap("reasons", F.array(F.lit("tests"), F.lit("code_test_map")))
+        kept = select.cap_tests(kept, ["task_id"], tests)
         ends = cand.groupBy("task_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        order = [select.tier_number(F.col("tier"), select.TIER_WEIGHT).desc(), F.col("score").desc(), F.col("id")]
         out = select.confidence(kept.join(F.broadcast(ends), "task_id"), ["task_id"], order, F.col("_lo"), F.col("_hi"))
-        words_hit = F.array_intersect("kws", "t_all")
-        out = out.withColumn("summary", select.relevance_summary(words_hit, F.col("tier"), F.col("exported"), F.col("reasons")))
+        words_hit = F.array_sort(F.array_intersect("kws", "t_all"))
+        out = out.withColumn("summary", select.relevance_summary(words_hit, F.col("role"), F.col("exported"), F.col("reasons")))
         return graph.cut(out.select("task_id", "id", "name", "kind", "file", "start_line", "end_line", "signature", "exported", "role", "rank", "tier", "score", "reasons", "cost", "value", "used", "confidence", "confidence_label", "summary", "kws"))
 
+    def selection_report(self, task: str, budget: int = 4096) -> dict:
+        """FLT-26: what a selection rests on: counts by reason, what the budget left out, and a warning where the task does not fit the project."""
+        chosen = self.select(task, budget)
+        words = self._task(task)
+        kws = words.first()["kws"]
+        counts = {r["reason"]: r["n"] for r in chosen.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        n = chosen.count()
+        warning = None
+        if not counts.get("direct_matches"):
+            missing = rollup.missing_keywords(self.symbols, words)
+            missing = sorted(r["keyword"] for r in missing.collect())
+            warning = f"no symbol has the words {missing}" if missing else "no symbol matches directly; neighbours or the best ranked stand in"
+        else:
+            domain = [k for k in kws if k in select.DOMAIN_WORDS]
+            named = F.exists(F.array(*[F.lit(k) for k in domain]) if domain else F.array(F.lit("")), lambda k: F.contains(F.lower("name"), k) | F.contains(F.lower("file"), k))
+            if domain and chosen.filter(named).isEmpty():
+                warning = f"no chosen symbol names {sorted(domain)}"
+        return {"keywords": list(kws), "selected": n, "reasons": counts, "omitted_by_budget": self.cut_rows.count(), "degraded": not counts.get("direct_matches") and (bool(counts.get("global_fallback")) or not n), "warning": warning}
+
     def context(self, task: str, budget: int = 4096, form: str = "compact") -> str:
         """The selection packed as one text: compact, json, xml or markdown."""
         chosen = self.select(task, budget)
@@ -246,14 +294,14 @@ class Engine:
         rows = chosen.join(rel.select("id", F.struct("calls", "called_by", "imports", "dep_calls", "dep_called_by").alias("relations")), "id").join(text, "file")
         rows = rows.withColumn("code", snippet.contextual(snippet.body(F.col("_all"), F.col("start_line"), F.col("end_line")), F.col("signature"), F.col("tier"), F.col("kws"))).drop("_all")
         block = {"compact": pack.compact_block(F.col("code")), "json": pack.json_block(["id", "name", "kind", "file", "tier", "signature", "confidence", "code"]), "xml": pack.xml_block(F.col("code")), "markdown": pack.markdown_block(F.col("code"))}[form]
-        rows = rows.withColumn("block", block).withColumn("cost", T.estimate_tokens("block"))
+        rows = rows.withColumn("block", block).withColumn("cost", self.count_tokens(F.col("block")))
         order = [F.col("score").desc(), F.col("id")]
         if form == "json":
             fit = pack.prefix_fit(rows, ["task_id"], order, budget)
         elif form == "compact":
             fit = pack.tier_fit(rows, ["task_id"], order, budget).filter("included")
         else:
-            fit = pack.three_way_fit(rows.withColumn("ref_cost", T.estimate_tokens("signature")), ["task_id"], order, budget).filter("form <> 'omitted'")
+            fit = pack.three_way_fit(rows.withColumn("ref_cost", self.count_tokens(F.col("signature"))), ["task_id"], order, budget).filter("form <> 'omitted'")
             fit = fit.withColumn("block", F.when(F.col("form") == "full", F.col("block")).otherwise(F.concat_ws(" ", "id", "signature")))
         tier = select.tier_number(F.col("tier"), select.TIER_WEIGHT).desc()
         out = pack.document(fit, F.col("block"), ["task_id"], [tier, *order], header=f"# task: {task}\n# budget: {budget}\n").first()

@@ -30,7 +30,7 @@ FALSE_PAIRS = (
     ("payment", "timeout"), ("payment", "settimeout"), ("email", "mailinglist"), ("auth", "checkbox"), ("auth", "pathname"),
     ("cache", "workspace"), ("search", "research"), ("test", "testing_framework"), ("order", "border"),
 )
-ROLE_BOOST = {"hub": 1.30, "api_surface": 1.25, "entry_point": 1.20, "module": 1.00, "leaf": 0.85, "utility": 0.75}
+ROLE_BOOST = {"entry_point": 1.30, "hub": 1.25, "api_surface": 1.20, "module": 1.00, "leaf": 0.85, "utility": 0.75}
 
 
 def s(name: str) -> Column:
@@ -50,6 +50,20 @@ def match(kws: Column, *columns: str) -> Column:
     return F.array_intersect(kws, token_set(*columns))
 
 
+#: Token sets that ``score.symbol_tokens`` adds; rules with ``ready`` read them instead of cutting names again.
+READY = {"name": "t_name", "file": "t_file", "signature": "t_sig"}
+
+
+def hits(kws: Column, *columns: str, ready: bool = False) -> Column:
+    """Does any keyword stand among the tokens of the columns?"""
+    if not ready:
+        return F.arrays_overlap(kws, token_set(*columns))
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.arrays_overlap(kws, F.col(READY[c]))
+    return out
+
+
 def starts_with_any(text: Column, prefixes) -> Column:
     out = F.lit(False)
     for p in prefixes:
@@ -71,9 +85,9 @@ def is_generic_type() -> Column:
     return F.lower(s("kind")).isin(*GENERIC_KINDS) & (n("named_imports") >= 25) & (n("inbound_calls") == 0)
 
 
-def is_weak_file_match(kws: Column) -> Column:
+def is_weak_file_match(kws: Column, ready: bool = False) -> Column:
     """FLT-03."""
-    return (F.size(match(kws, "name", "signature")) == 0) & (F.size(match(kws, "file")) > 0)
+    return ~hits(kws, "name", "signature", ready=ready) & hits(kws, "file", ready=ready)
 
 
 def is_unrequested_test(intents: Column) -> Column:
@@ -83,11 +97,11 @@ def is_unrequested_test(intents: Column) -> Column:
     return test & ~F.array_contains(intents, "tests")
 
 
-def is_isolated_match(kws: Column) -> Column:
+def is_isolated_match(kws: Column, ready: bool = False) -> Column:
     """FLT-05."""
     signal = n("inbound_calls") + n("outbound_calls") + n("named_imports") + n("resolved_imports")
     there = F.concat(F.lit("/"), F.lower(s("file"))).rlike(f"/({DISTRACTORS})/")
-    return (F.size(match(focus(kws), "name", "signature")) > 0) & (signal == 0) & there
+    return hits(focus(kws), "name", "signature", ready=ready) & (signal == 0) & there
 
 
 def is_probable_external(spec: Column) -> Column:
@@ -98,7 +112,7 @@ def is_probable_external(spec: Column) -> Column:
 
 def is_non_core(file: Column) -> Column:
     """FLT-08."""
-    return F.concat(F.lit("/"), file).rlike(f"/({NON_CORE})/")
+    return F.concat(F.lit("/"), F.lower(file)).rlike(f"/({NON_CORE})/")
 
 
 def is_test_path(path: Column) -> Column:
@@ -136,24 +150,26 @@ def _tests_file(file: Column) -> Column:
 
 
 def _model_dir() -> Column:
-    return F.concat(F.lit("/"), F.lower(s("file"))).rlike("/models?/")
+    """A folder of that name below the first one, with either slash."""
+    path = F.lower(s("file"))
+    return path.contains("/models/") | path.contains("\\models\\")
 
 
 def _model_like() -> Column:
     return F.lower(s("kind")).isin(*MODEL_KINDS) | _model_dir()
 
 
-def context_tier(kws: Column, intents: Column) -> Column:
+def context_tier(kws: Column, intents: Column, ready: bool = False) -> Column:
     """FLT-12: critical, workflow or support; the first rule that holds decides."""
     f = focus(kws)
     func = F.lower(s("kind")) == "func"
-    has = lambda words, *cols: F.size(match(words, *cols)) > 0
+    has = lambda words, *cols: hits(words, *cols, ready=ready)
     overlap = has(kws, "name", "file", "signature")
     called = (n("inbound_calls") > 0) | (n("outbound_calls") > 0)
     return (
         F.when(_tests_file(s("file")), F.when(F.array_contains(intents, "tests"), "workflow").otherwise("support"))
         .when(func & has(f, "name", "signature"), "critical")
-        .when(func & ~_model_dir() & has(f, "file") & b("exported"), "critical")
+        .when(func & ~_model_like() & has(f, "file") & b("exported"), "critical")
         .when(_model_like() & has(kws, "name") & b("exported"), "critical")
         .when(_model_like() & has(f, "name", "signature"), "critical")
         .when(func & ~_model_like() & overlap & called, "workflow")
@@ -162,16 +178,16 @@ def context_tier(kws: Column, intents: Column) -> Column:
     )
 
 
-def support_factor(kws: Column, intents: Column) -> Column:
+def support_factor(kws: Column, intents: Column, ready: bool = False) -> Column:
     """FLT-13: the first rule that holds decides."""
     f = focus(kws)
     return (
         F.when(~F.array_contains(intents, "tests") & _tests_file(s("file")), 0.55)
         .when(F.size(f) == 0, 1.0)
-        .when(F.size(match(f, "name", "file", "signature")) > 0, 1.0)
+        .when(hits(f, "name", "file", "signature", ready=ready), 1.0)
         .when(_model_like(), 0.25)
-        .when(F.size(match(kws, "name", "file", "signature")) > 0, 0.58)
-        .when(s("name").rlike("^[A-Z]") & (F.size(match(kws, "name")) == 0), 0.70)
+        .when(hits(kws, "name", "file", "signature", ready=ready), 0.58)
+        .when(s("name").rlike(r"^\p{Lu}") & ~hits(kws, "name", ready=ready), 0.70)
         .otherwise(1.0)
     )
 
@@ -189,9 +205,14 @@ def size_penalty(lines: Column) -> Column:
     return F.when(lines > 100, 0.7).when(lines > 50, 0.85).otherwise(1.0)
 
 
+def line_count(start: Column, end: Column) -> Column:
+    """Lines of a symbol, both ends counted."""
+    return F.coalesce(end, F.lit(0)) - F.coalesce(start, F.lit(0)) + 1
+
+
 def neighbor_ok(overlap: Column, tier: Column) -> Column:
     """FLT-16: may a one-hop neighbour join the candidates?"""
-    return (overlap > 0) | (tier != "support") | F.lower(s("kind")).isin(*MODEL_KINDS)
+    return overlap | (tier != "support") | F.lower(s("kind")).isin(*MODEL_KINDS)
 
 
 def seed_ok(task_score: Column, final_score: Column) -> Column:

@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
 
+#: A graph up to this size is ranked in one task.
+SMALL_NODES, SMALL_LINKS = 200_000, 1_000_000
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: the folder's owner sweeps it
+            return
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a local master that sets none gets one of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cairn-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a table in the folder that ``spark.checkpoint.dir`` names, or a cache where none is set (tests)."""
+    """Cut the lineage of an iteration: a table in the shared folder. The tables go when the driver's process ends."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/cairn/step-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    rows = df.cache()
-    rows.count()
-    return rows
+    path = f"{shared_folder(spark)}/cairn/step-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def link_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,6 +77,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping:
         total = seeds.agg(F.sum("weight")).first()[0] or 0
         jump = F.coalesce(F.col("weight") / F.lit(float(total or 1)), F.lit(0.0)) if total else F.lit(1.0 / count)
         base = base.join(seeds.groupBy("id").agg(F.sum("weight").alias("weight")), "id", "left").withColumn("jump", jump).drop("weight")
+    if count <= SMALL_NODES and links.count() <= SMALL_LINKS:
+        return _rank_in_one_task(base, links, count, iterations, damping, tolerance)
     sink = lambda rank: F.coalesce(F.sum(F.when(F.col("out").isNull(), rank)), F.lit(0.0))
     seen = Observation()
     rank = cut(base.withColumn("rank", F.lit(1.0 / count)).observe(seen, sink(F.col("rank")).alias("lost"), F.max("rank").alias("most")))
@@ -66,6 +96,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping:
     return rank.select("id", (F.col("rank") / most if most > 0 else F.lit(0.0)).alias("rank"))
 
 
+def _rank_in_one_task(base: DataFrame, links: DataFrame, count: int, iterations: int, damping: float, tolerance: float | None) -> DataFrame:
+    """The same steps on a graph of a checked size: one task holds it as arrays, and no step is a job of its own."""
+    kind = base.schema["id"].dataType.simpleString()
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        ids, jump = nodes.column("id").combine_chunks(), nodes.column("jump").to_numpy()
+        at = {x: i for i, x in enumerate(ids.to_pylist())}
+        source = np.fromiter((at[x] for x in edges.column("source").to_pylist()), np.int64, edges.num_rows)
+        target = np.fromiter((at[x] for x in edges.column("target").to_pylist()), np.int64, edges.num_rows)
+        share, sink = edges.column("share").to_numpy(), ~np.isin(np.arange(count), source)
+        rank = np.full(count, 1.0 / count)
+        for _ in range(iterations):
+            new = (1 - damping) * jump + damping * (rank[sink].sum() / count + np.bincount(target, share * rank[source], count))
+            moved, rank = np.abs(new - rank).sum(), new
+            if tolerance is not None and moved < tolerance:
+                break
+        most = rank.max()
+        return pa.table({"id": ids, "rank": rank / most if most > 0 else rank})
+
+    one = F.lit(1).alias("_one")
+    return base.select("id", "jump", one).groupBy("_one").cogroup(links.select("source", "target", "share", one).groupBy("_one")).applyInArrow(run, f"id {kind}, rank double")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-07: ``id, indegree, outdegree``, 0 for nodes without edges."""
     i = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("indegree"))
@@ -79,12 +132,6 @@ def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).withColumn("role", C.role(F.col("indegree"), F.col("outdegree")))
 
 
-def share_of_max(x: str | Column) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    most = F.max(x).over(Window.partitionBy())
-    return F.when(most > 0, x / most).otherwise(0.0)
-
-
 def importance(nodes: DataFrame, edges: DataFrame, precise: bool = True) -> DataFrame:
     """AG-01: of files ``id, lines, symbols, pagerank``; the maxima are one aggregate row joined back, not a window over all rows."""
     rows = nodes.join(degrees(nodes, edges), "id").withColumn("degree", F.col("indegree") + F.col("outdegree"))
@@ -146,52 +193,104 @@ def closure(direct: DataFrame, forwards: DataFrame, rounds: int = 30) -> DataFra
     raise RuntimeError("re-exports did not settle")
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """Edges on no cycle are peeled off: an edge stays while its ends have edges in and out."""
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges on no cycle are peeled off: an edge stays while its ends have edges in and out. Self edges are left out."""
     now = cut(edges.filter("source <> target").select("source", "target").distinct())
     size = now.count()
-    for _ in range(rounds):
+    while size:
         ins, outs = now.select(F.col("target").alias("source")).distinct(), now.select(F.col("source").alias("target")).distinct()
         now = cut(now.join(ins, "source", "left_semi").join(outs, "target", "left_semi").select("source", "target"))
         left = now.count()
         if left == size:
-            return now
+            break
         size = left
     return now
 
 
-def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
-    """GR-04: simple cycles of up to ``longest`` nodes, each once, from its smallest node: ``cycle, length``. Self edges are cycles of one."""
+def _spread(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each node takes the smallest ``label`` that can reach it, to a fixpoint. Only labels that changed are sent on."""
+    moved = label
+    while True:
+        sent = edges.join(moved.select(F.col("id").alias("source"), "label"), "source").groupBy(F.col("target").alias("id")).agg(F.min("label").alias("sent"))
+        both = label.join(sent, "id", "left")
+        both = cut(both.select("id", F.least("label", "sent").alias("label"), (F.col("sent") < F.col("label")).alias("less")))
+        label, moved = both.drop("less"), both.filter("less")
+        if moved.isEmpty():
+            return label
+
+
+def strong_edges(edges: DataFrame) -> DataFrame:
+    """``source, target, group``: the edges that lie on a cycle, with the smallest node of their strongly connected component.
+
+    The smallest label that reaches a node colours it; what reaches a colour's own node within the colour is its component.
+    Components are taken out and the rest is coloured again, so the rounds follow the depth of the graph, not its size."""
+    left, found = cyclic_core(edges), None
+    while not left.isEmpty():
+        nodes = left.select(F.col("source").alias("id")).unionByName(left.select(F.col("target").alias("id"))).distinct()
+        colour = _spread(nodes.select("id", F.col("id").alias("label")), left)
+        ends = left.join(colour.select(F.col("id").alias("source"), F.col("label").alias("a")), "source").join(colour.select(F.col("id").alias("target"), F.col("label").alias("b")), "target")
+        inner = cut(ends.filter("a = b").select("source", "target", "a"))
+        seen = front = cut(colour.filter("id = label").select("id", F.col("label").alias("a")))
+        while not front.isEmpty():
+            step = inner.join(front.select(F.col("id").alias("target"), "a"), ["target", "a"]).select(F.col("source").alias("id"), "a").distinct()
+            front = cut(step.join(seen, ["id", "a"], "left_anti"))
+            seen = cut(seen.unionByName(front))
+        strong = inner.join(seen.select(F.col("id").alias("source"), "a"), ["source", "a"], "left_semi").join(seen.select(F.col("id").alias("target"), "a"), ["target", "a"], "left_semi")
+        strong = cut(strong.select("source", "target", F.col("a").alias("group")))
+        found = strong if found is None else found.unionByName(strong)
+        left = cut(left.join(seen.select(F.col("id").alias("source")), "source", "left_anti").join(seen.select(F.col("id").alias("target")), "target", "left_anti"))
+        left = cyclic_core(left)
+    return found if found is not None else left.select("source", "target", F.col("source").alias("group"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """GR-04: the shortest cycle through each edge that lies on one, of any length, each once from its smallest node: ``cycle, length``.
+
+    So every cycle has all its edges among those shown, and an edge that closes a new cycle shows a new one. Of several
+    shortest ones the first in the order of their nodes stands. Self edges are cycles of one."""
     own = edges.filter("source = target").select(F.concat_ws(" -> ", "source", "target").alias("cycle"), F.lit(1).alias("length")).distinct()
-    core = cyclic_core(edges)
-    paths = core.filter("source < target").select(F.col("source").alias("first"), F.array("source", "target").alias("path"), F.col("target").alias("last"))
-    out = own
-    for n in range(2, longest + 1):
-        back = paths.join(core, (F.col("last") == F.col("source")) & (F.col("first") == F.col("target")), "left_semi")
-        out = out.unionByName(back.select(F.array_join(F.concat("path", F.array("first")), " -> ").alias("cycle"), F.lit(n).alias("length")))
-        if n < longest:
-            step = paths.join(core, F.col("last") == F.col("source")).filter("target > first").filter(~F.array_contains("path", F.col("target")))
-            paths = step.select("first", F.concat("path", F.array("target")).alias("path"), F.col("target").alias("last"))
+    strong = cut(strong_edges(edges))
+    wanted = strong.select(F.col("target").alias("start"), F.col("source").alias("node"))  # the way back from an edge's end to its beginning
+    front = strong.select(F.col("source").alias("node"), "group").distinct()
+    front = cut(front.select(F.col("node").alias("start"), "node", "group", F.array("node").alias("path")))
+    seen, out, length = front.select("start", "node"), own, 1
+    while not front.isEmpty():
+        length += 1
+        step = front.join(strong.withColumnRenamed("source", "node").withColumnRenamed("target", "next"), ["node", "group"])
+        step = step.select("start", F.col("next").alias("node"), "group", F.concat("path", F.array("next")).alias("path"))
+        step = step.groupBy("start", "node", "group").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti")
+        step = cut(step)
+        back = step.join(wanted, ["start", "node"], "left_semi")
+        turned = lambda i: F.concat(F.slice(F.col("path"), i, F.lit(length)), F.slice(F.col("path"), F.lit(1), i - 1))
+        first = F.array_position("path", F.array_min("path")).cast("int")
+        nodes = F.concat(turned(first), F.array(F.array_min("path")))
+        out = out.unionByName(back.select(F.array_join(nodes, " -> ").alias("cycle"), F.lit(length).alias("length")))
+        seen = cut(seen.unionByName(step.select("start", "node")))
+        wanted = cut(wanted.join(back.select("start", "node"), ["start", "node"], "left_anti"))
+        front = step.join(wanted.select("start").distinct(), "start", "left_semi")
     return out.distinct()
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, smallest: int = 3) -> DataFrame:
-    """GR-03: ``community, id``. Nodes move to the label most of their neighbours have, on a strict gain, the smallest label on ties;
-    nodes of one hash colour move at a time, so that two neighbours cannot swap labels for ever. Groups under ``smallest`` are left out."""
+def communities(nodes: DataFrame, edges: DataFrame, smallest: int = 3) -> DataFrame:
+    """GR-03: ``community, id``. Nodes move to the label most of their neighbours have, on a strict gain, the smallest label on ties,
+    until none gains; parallel edges and directions count once. Of neighbours that would move at a time only the first by a hash moves, so each
+    round adds edges within communities and the moves end. Groups under ``smallest`` are left out."""
     around = edges.filter("source <> target").select("source", "target")
-    around = cut(around.unionByName(around.select(F.col("target").alias("source"), F.col("source").alias("target"))).groupBy("source", "target").agg(F.count("*").alias("k")))
+    around = cut(around.unionByName(around.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
     label = cut(nodes.select("id").distinct().withColumn("label", F.col("id")))
-    for step in range(rounds):
-        votes = around.join(label.select(F.col("id").alias("target"), "label"), "target").groupBy(F.col("source").alias("id"), "label").agg(F.sum("k").alias("n"))
+    step = 0
+    while True:
+        votes = around.join(label.select(F.col("id").alias("target"), "label"), "target").groupBy(F.col("source").alias("id"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
-        own = label.join(votes.withColumnRenamed("n", "own"), ["id", "label"], "left").join(best, "id", "left")
-        moves = (-F.col("b.n") > F.coalesce("own", F.lit(0))) & (F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2)
-        new = cut(own.select("id", F.when(moves, F.col("b.label")).otherwise(F.col("label")).alias("label"), moves.alias("moved")))
-        still = step % 2 == 1 and not last_moved and new.filter("moved").isEmpty()
-        last_moved = not new.filter("moved").isEmpty()
-        label = new.drop("moved")
-        if still:
+        own = label.join(votes.withColumnRenamed("n", "own"), ["id", "label"], "left").join(best, "id")
+        wants = own.filter(-F.col("b.n") > F.coalesce("own", F.lit(0))).select("id", F.col("b.label").alias("to"), F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id").alias("turn"))
+        wants = cut(wants)
+        if wants.isEmpty():
             break
+        near = around.join(wants.select(F.col("id").alias("target"), F.col("turn").alias("other")), "target").groupBy(F.col("source").alias("id")).agg(F.min("other").alias("other"))
+        moves = wants.join(near, "id", "left").filter(F.col("other").isNull() | (F.col("turn") < F.col("other"))).select("id", "to")
+        label = cut(label.join(moves, "id", "left").select("id", F.coalesce("to", "label").alias("label")))
+        step += 1
     size = label.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
     return label.join(size, "label").select(F.col("label").alias("community"), "id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import short_id, xml_escape
+from cairn.operators.fold import number, stream_fold, text
 from cairn.operators.select import TIER_WEIGHT, tier_number
 
 SHORT_TIER = {"critical": "crt", "workflow": "wkf", "support": "sup"}
@@ -57,43 +58,29 @@ def prefix_fit(rows: DataFrame, by: list[str], order: list[Column], most: int, c
     return rows.withColumn("used", F.sum(cost).over(w)).filter(F.col("used") <= most)
 
 
-def _fold(rows: DataFrame, by: list[str], order: list[Column], items: Column, start: Column, step, most: int, out_type: str) -> DataFrame:
-    numbered = rows.withColumn("pack_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    lists = numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pack_no", items.alias("x")))).alias("xs"))
-    init = F.struct(start.alias("state"), F.array().cast(f"array<struct<pack_no:int,{out_type}>>").alias("out"))
-
-    def walk(acc: Column, e: Column) -> Column:
-        state, row = step(acc["state"], e["x"], e["pack_no"], F.lit(most).cast("long"))
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return numbered.join(lists.select(*by, F.inline(F.aggregate("xs", init, walk)["out"])), [*by, "pack_no"])
-
-
 def tier_fit(rows: DataFrame, by: list[str], order: list[Column], most: int, cost: str = "cost") -> DataFrame:
     """FMT-03: tiers in order; the first block that does not fit ends its tier, the next tier goes on. Adds ``included, used``."""
     tier_first = [tier_number(F.col("tier"), TIER_WEIGHT).desc(), *order]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit("").alias("stopped"))
 
-    def step(state, x, no, top):
-        fits = (state["stopped"] != x["tier"]) & (state["used"] + x["cost"] <= top)
-        used = state["used"] + F.when(fits, x["cost"]).otherwise(F.lit(0).cast("long"))
-        stopped = F.when(fits, state["stopped"]).otherwise(x["tier"])
-        return F.struct(used.alias("used"), stopped.alias("stopped")), F.struct(no.alias("pack_no"), fits.alias("included"), used.alias("used"))
+    def step(state: list, tier: str, price: int) -> tuple[bool, int]:
+        fits = state[1] != tier and state[0] + price <= most
+        state[0] += price if fits else 0
+        state[1] = state[1] if fits else tier
+        return fits, state[0]
 
-    return _fold(rows, by, tier_first, F.struct("tier", F.col(cost).cast("long").alias("cost")), start, step, most, "included:boolean,used:bigint")
+    return stream_fold(rows, by, tier_first, [text("tier"), number(F.col(cost))], lambda: [0, None], step, "included boolean, used long")
 
 
 def three_way_fit(rows: DataFrame, by: list[str], order: list[Column], most: int, full: str = "cost", reference: str = "ref_cost") -> DataFrame:
     """FMT-05 and FMT-07: the full block if it fits, else its reference, else nothing, and on. Support rows are references at once. Adds ``form, used``."""
     tier_first = [tier_number(F.col("tier"), TIER_WEIGHT).desc(), *order]
-    start = F.struct(F.lit(0).cast("long").alias("used"))
 
-    def step(state, x, no, top):
-        form = F.when((x["tier"] != "support") & (state["used"] + x["full"] <= top), "full").when(state["used"] + x["ref"] <= top, "reference").otherwise("omitted")
-        used = state["used"] + F.when(form == "full", x["full"]).when(form == "reference", x["ref"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(used.alias("used")), F.struct(no.alias("pack_no"), form.alias("form"), used.alias("used"))
+    def step(state: list, tier: str, whole: int, short: int) -> tuple[str, int]:
+        form = "full" if tier != "support" and state[0] + whole <= most else "reference" if state[0] + short <= most else "omitted"
+        state[0] += {"full": whole, "reference": short, "omitted": 0}[form]
+        return form, state[0]
 
-    return _fold(rows, by, tier_first, F.struct("tier", F.col(full).cast("long").alias("full"), F.col(reference).cast("long").alias("ref")), start, step, most, "form:string,used:bigint")
+    return stream_fold(rows, by, tier_first, [text("tier"), number(F.col(full)), number(F.col(reference))], lambda: [0], step, "form string, used long")
 
 
 def document(rows: DataFrame, block: Column, by: list[str], order: list[Column], header: str = "", sep: str = "\n") -> DataFrame:

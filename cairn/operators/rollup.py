@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
-from cairn.functions.text import basename, dirname, extension, identifier_tokens, stem, strings
+from cairn.functions.text import basename, dirname, extension, identifier_tokens, stem, token_set
 from cairn.operators.graph import cut
 
 # Tags in the order in which the pattern tries them, and what weighs more than low.
@@ -140,8 +140,11 @@ def coverage(files: DataFrame, most: int = 50) -> DataFrame:
     by_name = tests.select(F.col("path").alias("test"), basename("guess").alias("b")).join(first, "b").select("path", "test")
     links = cut(forward.unionByName(exact).unionByName(by_name).distinct())
     tested, used = links.select("path").distinct(), links.select("test").distinct()
-    untested = sources.join(tested, "path", "left_anti").agg(F.count("*").alias("untested_files"), F.slice(F.sort_array(F.collect_list("path")), 1, most).alias("untested"))
-    dead = tests.join(used, tests["path"] == used["test"], "left_anti").agg(F.count("*").alias("dead_tests"), F.slice(F.sort_array(F.collect_list("path")), 1, most).alias("dead"))
+    untested = sources.join(tested, "path", "left_anti")
+    dead = tests.join(used, tests["path"] == used["test"], "left_anti")
+    first = lambda rows, name: rows.select("path").orderBy("path").limit(most).agg(F.sort_array(F.collect_list("path")).alias(name))
+    untested = untested.agg(F.count("*").alias("untested_files")).crossJoin(first(untested, "untested"))
+    dead = dead.agg(F.count("*").alias("dead_tests")).crossJoin(first(dead, "dead"))
     n = sources.agg(F.count("*").alias("total_source_files")).crossJoin(tests.agg(F.count("*").alias("total_test_files")))
     rows = n.crossJoin(untested).crossJoin(dead).withColumn("tested_files", F.col("total_source_files") - F.col("untested_files"))
     total = F.col("total_source_files")
@@ -159,9 +162,30 @@ def overview(files: DataFrame, edges: DataFrame, most: int = 15, kinds: int = 10
     return parts.unionByName(top).unionByName(types).unionByName(ends.select(F.lit("hub").alias("section"), F.col("id").cast("string").alias("key"), F.col("count").cast("double").alias("value")))
 
 
+def edge_statistics(edges: DataFrame) -> DataFrame:
+    """AG-14: how many edges of which kind."""
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    return edges.agg(F.count("*").alias("connections"), kind("calls-symbol").alias("calls"), kind("calls-symbol-local").alias("local_calls"), kind("imports-symbol").alias("named_imports"))
+
+
+def folders(path: str) -> Column:
+    """All folders above a path, the root (an empty string) among them."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def project_domain(files: DataFrame) -> DataFrame:
+    """AG-08 over a whole project (``text``): a domain's score is the number of its words that any file has; no text leaves its row."""
+    low = F.lower("text")
+    found = files.agg(*[F.coalesce(F.max(F.contains(low, F.lit(w)).cast("int")), F.lit(0)).alias(f"{name}:{w}") for name, words in DOMAINS.items() for w in words.split()])
+    scores = [F.struct(sum((F.col(f"`{name}:{w}`") for w in words.split()), F.lit(0)).alias("score"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, words) in enumerate(DOMAINS.items())]
+    best = F.array_max(F.array(*scores))
+    return found.select(F.when(best["score"] > 0, best["name"]).otherwise("general").alias("domain"), best["score"].alias("score"))
+
+
 def package_summary(packages: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     """AG-27: files, lines, symbols and inner edges of each workspace package (``package, root``), by the longest root that holds a file."""
-    held = files.join(F.broadcast(packages), F.col("id").startswith(F.concat("root", F.lit("/"))) | (F.col("root") == ""))
+    held = files.withColumn("root", F.explode(folders("id"))).join(packages, "root")
     own = held.groupBy("id").agg(F.max_by("package", F.length("root")).alias("package"), F.first("lines").alias("lines"), F.first("symbols").alias("symbols"))
     inner = edges.join(own.select(F.col("id").alias("source"), F.col("package").alias("p")), "source").join(own.select(F.col("id").alias("target"), F.col("package").alias("q")), "target").filter("p = q").groupBy(F.col("p").alias("package")).agg(F.count("*").alias("edges"))
     rows = own.groupBy("package").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("symbols").alias("symbols"))
@@ -169,10 +193,11 @@ def package_summary(packages: DataFrame, files: DataFrame, edges: DataFrame) ->
 
 
 def package_edges(packages: DataFrame, files: DataFrame, chars: int = 10_000) -> DataFrame:
-    """JN-21: packages whose name stands in the first characters of another package's source files. The packages are the broadcast side."""
-    own = files.join(F.broadcast(packages.select(F.col("package").alias("source"), "root")), F.col("path").startswith(F.concat("root", F.lit("/"))))
+    """JN-21: packages whose name stands in the first characters of another package's source files. Names are searched for in heads, so they are
+    broadcast if Spark finds them small, and met in blocks if not."""
+    own = files.withColumn("root", F.explode(folders("path"))).join(packages.select(F.col("package").alias("source"), "root"), "root")
     head = own.select("source", F.substring("content", 1, chars).alias("head"))
-    other = F.broadcast(packages.select(F.col("package").alias("target"), F.col("name").alias("target_name")))
+    other = packages.select(F.col("package").alias("target"), F.col("name").alias("target_name"))
     return head.join(other, (F.col("source") != F.col("target")) & F.contains("head", F.col("target_name"))).select("source", "target").distinct()
 
 
@@ -225,9 +250,11 @@ def resolve_symbol(symbols: DataFrame, query: str) -> DataFrame:
     return symbols.withColumn("_c", cls).filter("_c is not null").orderBy("_c", F.col("rank").desc(), "id").limit(1).drop("_c")
 
 
-def missing_keywords(kws: Column, project_tokens: Column) -> Column:
-    """SO-04."""
-    return F.array_except(kws, project_tokens)
+def missing_keywords(symbols: DataFrame, task: DataFrame) -> DataFrame:
+    """SO-04: ``keyword`` of a task (``kws``) that no symbol has among its tokens."""
+    words = task.select(F.explode("kws").alias("keyword")).distinct()
+    tokens = symbols.select(F.explode(token_set("id", "name", "file", "kind", "signature")).alias("keyword"))
+    return words.join(tokens, "keyword", "left_anti")
 
 
 def safeguards(domain: Column, languages: Column) -> Column:
@@ -236,7 +263,3 @@ def safeguards(domain: Column, languages: Column) -> Column:
     numeric = domain.isin("scientific_computing", "calculator") | F.lower(domain).rlike("sim|circuit|solver|math")
     rules = F.array(F.lit("structure_first"), F.when(rust, "scope_rust").otherwise("scope"), F.when(rust, "types_rust"), F.when(numeric, "damping"), F.when(numeric, "stamp_signs"), F.when(numeric, "index_base"))
     return F.filter(rules, lambda r: r.isNotNull())
-
-
-def words_in(text: Column, words: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(F.split(F.lower(text), r"\s+"), strings(words))

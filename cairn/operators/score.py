@@ -75,14 +75,14 @@ def score_tasks(symbols: DataFrame, tasks: DataFrame) -> DataFrame:
     return rows.withColumns({"task_score": task_score(F.col("kws"), F.col("idfs")), "overlap": F.size(F.array_intersect("kws", "t_all"))})
 
 
-def final_score(task: Column, most: Column, graph: Column, lines: Column, kws: Column, intents: Column, hotspot: Column) -> Column:
-    """FN-05."""
-    overlap = F.size(C.match(kws, "name", "file", "signature"))
+def final_score(task: Column, most: Column, graph: Column, kws: Column, intents: Column, hotspot: Column) -> Column:
+    """FN-05 over the columns of ``score_tasks``."""
+    overlap, lines = F.col("overlap"), C.line_count(F.col("start_line"), F.col("end_line"))
     generic = F.when(C.is_generic_type() & (overlap == 0) & ~F.array_contains(intents, "types"), 0.45).otherwise(1.0)
     calls = F.least(C.n("inbound_calls"), F.lit(8)) / 8.0
     core = F.when(C.is_non_core(C.s("file")), 0.6).otherwise(1.0)
     mix = 0.55 * task / F.when(most == 0, 1.0).otherwise(most) + 0.25 * calls + 0.20 * graph
-    return mix * generic * C.support_factor(kws, intents) * C.size_penalty(lines) * C.role_boost(C.s("role")) * core * (1 + 0.4 * hotspot)
+    return mix * generic * C.support_factor(kws, intents, ready=True) * C.size_penalty(lines) * C.role_boost(C.s("role")) * core * (1 + 0.4 * hotspot)
 
 
 def graph_score(rank: Column, personal: Column, seeded: Column) -> Column:
@@ -90,9 +90,9 @@ def graph_score(rank: Column, personal: Column, seeded: Column) -> Column:
     return F.when(seeded, 0.4 * rank + 0.6 * personal).otherwise(rank)
 
 
-def neighbor_score(base: Column, default: float, task: Column, overlap: Column) -> Column:
+def neighbor_score(base: Column, default: Column, task: Column, overlap: Column) -> Column:
     """FN-06: a neighbour keeps a share of its seed's score, less if it shares no keyword, and never under 0.35 of its own task score."""
-    factor = F.when(overlap > 0, default).when(task > 0, default * 0.75).otherwise(min(default, 0.035))
+    factor = F.when(overlap > 0, default).when(task > 0, default * 0.75).otherwise(F.least(default, F.lit(0.035)))
     return F.greatest(base * factor, 0.35 * task)
 
 

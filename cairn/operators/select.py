@@ -1,7 +1,6 @@
 """Choosing rows for a task: diversity, admission per file, greedy budget, caps, confidence, relations.
 
-The folds work on one sorted array per task (or per task and file), so they are bounded by the
-candidates of a task, which the steps before them cut to hundreds.
+What depends on the rows before it is a streamed fold (``fold``); all else are windows, joins and aggregates.
 """
 
 from __future__ import annotations
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
+from cairn.functions.text import dirname, extension, stem
+from cairn.operators.fold import number, stream_fold
+from cairn.operators.rollup import test_candidates
+from cairn.operators.score import neighbor_score
 
 SEEDS = 40
 TIER_WEIGHT = {"critical": 3, "workflow": 2, "support": 1}
@@ -32,40 +35,28 @@ def mmr(scored: DataFrame, by: list[str], keep: int = SEEDS, decay: float = 0.7)
     return rows.withColumn("seed_no", F.row_number().over(w)).filter(F.col("seed_no") <= keep)
 
 
-def greedy_budget(rows: DataFrame, by: list[str], budget: Column | int, order: list[Column], cost: str = "cost", id_col: str = "id") -> DataFrame:
+def greedy_budget(rows: DataFrame, by: list[str], budget: int, order: list[Column], cost: str = "cost") -> DataFrame:
     """WN-05: walk the rows in order, take each that still fits, skip the others and go on. Adds ``taken`` and ``used`` (after the row).
 
     A running sum would be wrong: a skipped row leaves its room to later ones."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    numbered = rows.withColumn("fit_no", F.row_number().over(w))
-    limit = F.lit(budget) if isinstance(budget, int) else budget
-    lists = numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("fit_no", F.col(id_col).alias("fit_id"), F.col(cost).cast("long").alias("fit_cost")))).alias("xs"), F.max(limit).cast("long").alias("most"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<fit_no:int,used:bigint,taken:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["fit_cost"] <= F.col("most")
-        used = acc["used"] + F.when(fits, x["fit_cost"]).otherwise(F.lit(0).cast("long"))
-        row = F.struct(x["fit_no"].alias("fit_no"), used.alias("used"), fits.alias("taken"))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(state: list, price: int | None) -> tuple[int, bool]:
+        fits = price is not None and state[0] + price <= budget
+        state[0] += price if fits else 0
+        return state[0], fits
 
-    walked = lists.select(*by, F.inline(F.aggregate("xs", start, step)["out"]))
-    return numbered.join(walked, [*by, "fit_no"])
+    return stream_fold(rows, by, order, [number(F.col(cost))], lambda: [0], step, "used long, taken boolean")
 
 
 def file_cap(rows: DataFrame, by: list[str], order: list[Column], tier: str = "tier", file: str = "file") -> DataFrame:
     """WN-02: one counter per file, but the limit is that of the row's own tier, so admission depends on the order. Adds ``admitted``."""
-    w = Window.partitionBy(*by, file).orderBy(*order)
-    numbered = rows.withColumn("cap_no", F.row_number().over(w))
-    limit = tier_number(F.col(tier), TIER_LIMIT)
-    lists = numbered.groupBy(*by, file).agg(F.sort_array(F.collect_list(F.struct("cap_no", limit.alias("most")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<cap_no:int,admitted:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["n"] < x["most"]
-        return F.struct((acc["n"] + ok.cast("int")).alias("n"), F.concat(acc["out"], F.array(F.struct(x["cap_no"].alias("cap_no"), ok.alias("admitted")))).alias("out"))
+    def step(state: list, most: int) -> tuple[bool]:
+        ok = state[0] < most
+        state[0] += ok
+        return (ok,)
 
-    walked = lists.select(*by, file, F.inline(F.aggregate("xs", start, step)["out"]))
-    return numbered.join(walked, [*by, file, "cap_no"])
+    return stream_fold(rows, [*by, file], order, [tier_number(F.col(tier), TIER_LIMIT)], lambda: [0], step, "admitted boolean")
 
 
 def confidence(rows: DataFrame, by: list[str], order: list[Column], low: Column, high: Column, score: str = "score") -> DataFrame:
@@ -87,26 +78,64 @@ def cap_tests(rows: DataFrame, by: list[str], is_test: Column, score: str = "sco
     return rows.filter(~F.col("_test") | (F.col("_k") <= share * F.col("_n")) | (F.col("_r") <= allowed)).drop("_test", "_n", "_k", "_r")
 
 
-def relevance_summary(overlap: Column, tier: Column, exported: Column, reasons: Column) -> Column:
-    """PRJ-15."""
-    parts = F.concat_ws(" | ", F.when(F.size(overlap) > 0, F.concat(F.lit("keywords: "), F.array_join(overlap, ", "))), F.when(tier.isNotNull(), tier), F.when(exported, "exported"), F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")))
+# What a role is called, and words that name a domain.
+ROLE_LABELS = {"entry_point": "entry point", "api_surface": "highly consumed API", "hub": "structural hub", "leaf": "leaf node", "utility": "internal utility"}
+DOMAIN_WORDS = tuple("auth authentication login payment email search cache order".split())
+
+
+def relevance_summary(overlap: Column, role: Column, exported: Column, reasons: Column) -> Column:
+    """PRJ-15: the first five keywords, the role, whether it is exported, and why it was chosen."""
+    named = role
+    for k, v in ROLE_LABELS.items():
+        named = F.when(role == k, v).otherwise(named)
+    parts = F.concat_ws(
+        " | ",
+        F.when(F.size(overlap) > 0, F.concat(F.lit("keywords: "), F.array_join(F.slice(overlap, 1, 5), ", "))),
+        F.when(F.coalesce(role, F.lit("")) != "", F.concat(F.lit("role: "), named)),
+        F.when(exported, "exported (public API)"),
+        F.when(F.size(reasons) > 0, F.concat(F.lit("selected as: "), F.array_join(reasons, ", "))),
+    )
     return F.when(parts == "", "structural match").otherwise(parts)
 
 
-def expand_neighbors(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """JN-16: callers and callees of the seeds, one and two steps away: ``id, score, reasons``; of several scores the largest stays.
+def strongest(rows: DataFrame) -> DataFrame:
+    """``id, score, reasons`` with one row an id: its largest score and all its reasons."""
+    return rows.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
+
+
+def neighbors(seeds: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """JN-16 in full: callers and callees one and two steps away, and neighbours over other edges (0.35 of the seed's score inwards, 0.30
+    outwards, by ``neighbor_score``). One step away only rows that pass the ``gate`` join. ``known(id, task_score, overlap, gate)``."""
+    call = F.col("kind").isin("calls-symbol", "calls-symbol-local")
+    s = F.broadcast(seeds.select(F.col("id").alias("seed"), F.col("score").alias("base")))  # SEEDS rows
+    rows = None
+    for here, there, step, far, share in (("target", "source", 0.70, 0.30, 0.35), ("source", "target", 0.65, 0.25, 0.30)):
+        name = "callers" if there == "source" else "callees"
+        first = edges.join(s, F.col(here) == F.col("seed")).select("seed", "base", F.col(there).alias("id"), call.alias("call")).distinct()
+        hop = first.filter("call")
+        second = hop.withColumnRenamed("id", "mid").join(edges.filter(call).select(F.col(here).alias("mid"), F.col(there).alias("id")).distinct(), "mid")
+        for part, factor, reason in ((hop, step, name), (second, far, f"{name}_2hop"), (first.filter("not call"), share, "import_neighbors")):
+            part = part.select("id", "base", F.lit(factor).alias("factor"), F.lit(reason).alias("reason")).distinct()
+            rows = part if rows is None else rows.unionByName(part)
+    held = rows.join(known, "id").filter(F.col("gate") | F.col("reason").endswith("_2hop"))
+    imported = F.col("reason") == "import_neighbors"
+    value = F.when(imported, neighbor_score(F.col("base"), F.col("factor"), F.col("task_score"), F.col("overlap"))).otherwise(F.col("base") * F.col("factor"))
+    return strongest(held.select("id", value.alias("score"), F.array("reason").alias("reasons")))
 
-    ``seeds(id, score)``, ``edges(source, target)``. The seeds are few and are the hash side."""
-    s = F.broadcast(seeds.select(F.col("id").alias("seed"), F.col("score").alias("base")))
-    callers = edges.join(s, F.col("target") == F.col("seed")).select("seed", "base", F.col("source").alias("id")).filter("id <> seed").distinct()
-    callees = edges.join(s, F.col("source") == F.col("seed")).select("seed", "base", F.col("target").alias("id")).filter("id <> seed").distinct()
-    two_in = callers.join(edges, F.col("id") == F.col("target")).select("seed", "base", F.col("source").alias("id")).filter("id <> seed").distinct()
-    two_out = callees.join(edges, F.col("id") == F.col("source")).select("seed", "base", F.col("target").alias("id")).filter("id <> seed").distinct()
-    every = None
-    for rows, factor, reason in ((callers, 0.70, "callers"), (two_in, 0.30, "callers_2hop"), (callees, 0.65, "callees"), (two_out, 0.25, "callees_2hop")):
-        part = rows.select("id", F.round(F.col("base") * factor, 6).alias("score"), F.lit(reason).alias("reason"))
-        every = part if every is None else every.unionByName(part)
-    return every.groupBy("id").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("reason")).alias("reasons"))
+
+def task_tests(matches: DataFrame) -> DataFrame:
+    """JN-19: for tasks about tests or bugs, symbols in test files that share ``overlap`` keywords with the task. ``matches(id, file, overlap, ints)``."""
+    path, tests = F.lower("file"), F.array_contains("ints", "tests")
+    rows = matches.filter((path.contains("test") | path.contains("spec")) & (tests | F.array_contains("ints", "bugfix")))
+    value = F.when(tests, 3.0 + F.col("overlap")).otherwise(1.2 + 0.5 * F.col("overlap"))
+    return rows.select("id", value.alias("score"), F.array(F.lit("tests")).alias("reasons"))
+
+
+def test_counterparts(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
+    """JN-18: symbols of the files that would test a seed's file, at half the best seed's score. ``seeds(file, score)`` are few."""
+    wanted = seeds.select(F.explode(test_candidates(dirname("file"), stem("file"), extension("file"))).alias("file"), "score").groupBy("file").agg(F.max("score").alias("base"))
+    rows = symbols.join(F.broadcast(wanted), "file")  # SEEDS rows times the patterns
+    return rows.select("id", (0.5 * F.col("base")).alias("score"), F.array(F.lit("code_test_map")).alias("reasons"))
 
 
 # Containers that are no types of the project.
@@ -124,14 +153,12 @@ def type_dependencies(rows: DataFrame, types: DataFrame, taken: DataFrame) -> Da
 def relations(selected: DataFrame, edges: DataFrame, most: int = 15, most_far: int = 10) -> DataFrame:
     """JN-23: of each selected row its calls, callers and imports within the selection, and those two steps away that are not direct."""
     ids = selected.select("id")
-    inner = edges.join(F.broadcast(ids.select(F.col("id").alias("source"))), "source", "left_semi").join(F.broadcast(ids.select(F.col("id").alias("target"))), "target", "left_semi").filter("source <> target").select("source", "target", "kind").distinct()
+    inner = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").filter("source <> target").select("source", "target", "kind").distinct()
     calls = inner.filter("kind like 'calls-symbol%'").select("source", "target").distinct()
     far = calls.alias("x").join(calls.alias("y"), F.col("x.target") == F.col("y.source")).select(F.col("x.source").alias("source"), F.col("y.target").alias("target")).filter("source <> target").distinct()
 
-    def side(pairs: DataFrame, key: str, other: str, name: str, cap: int) -> DataFrame:
-        return pairs.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_set(other)).alias(name))
-
     out = ids.distinct()
+    direct = {"dep_calls": calls, "dep_called_by": calls}
     for pairs, key, other, name, cap in (
         (calls, "source", "target", "calls", most),
         (calls, "target", "source", "called_by", most),
@@ -139,18 +166,12 @@ def relations(selected: DataFrame, edges: DataFrame, most: int = 15, most_far: i
         (far, "source", "target", "dep_calls", most_far),
         (far, "target", "source", "dep_called_by", most_far),
     ):
-        out = out.join(side(pairs, key, other, name, cap), "id", "left")
+        rest = pairs.select("source", "target").join(direct[name], ["source", "target"], "left_anti") if name in direct else pairs.select("source", "target").distinct()
+        # the first of each row by rank, so that no list is longer than what is shown
+        first = rest.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(other))).filter(F.col("_r") <= cap)
+        out = out.join(first.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(other)).alias(name)), "id", "left")
     empty = F.array().cast("array<string>")
-    whole = {c: F.coalesce(c, empty) for c in ("calls", "called_by", "imports", "dep_calls", "dep_called_by")}
-    out = out.withColumns(whole)
-    return out.select(
-        "id",
-        F.slice("calls", 1, most).alias("calls"),
-        F.slice("called_by", 1, most).alias("called_by"),
-        F.slice("imports", 1, most).alias("imports"),
-        F.slice(F.array_except("dep_calls", "calls"), 1, most_far).alias("dep_calls"),
-        F.slice(F.array_except("dep_called_by", "called_by"), 1, most_far).alias("dep_called_by"),
-    )
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("calls", "called_by", "imports", "dep_calls", "dep_called_by")})
 
 
 def density(selected: DataFrame, edges: DataFrame) -> DataFrame:
@@ -165,7 +186,7 @@ def density(selected: DataFrame, edges: DataFrame) -> DataFrame:
 def frontier(selected: DataFrame, cut: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     """JN-24 and TK-04: neighbours of the selection that the budget cut: ``id, from_id, score, kind``; 0.75 of the score over a call, 0.30 else."""
     around = edges.select(F.col("source").alias("near"), F.col("target").alias("id"), "kind").unionByName(edges.select(F.col("target").alias("near"), F.col("source").alias("id"), "kind"))
-    hit = around.join(F.broadcast(selected.select(F.col("id").alias("near"), "score", F.col("order_no"))), "near").join(F.broadcast(cut.select("id", "tier")), "id")
+    hit = around.join(selected.select(F.col("id").alias("near"), "score", F.col("order_no")), "near").join(cut.select("id", "tier"), "id")
     score = F.round(F.col("score") * F.when(F.col("kind").startswith("calls-symbol"), 0.75).otherwise(0.30), 6)
     first = Window.partitionBy("id").orderBy("order_no", score.desc(), "kind")
     best = hit.withColumn("plan_score", score).withColumn("_r", F.row_number().over(first)).filter("_r = 1")

@@ -15,11 +15,6 @@ def diff(old: DataFrame, new: DataFrame, key: str = "key", digest: str = "hash")
     return a.join(b, key, "full").select(key, status.alias("status")).filter("status is not null")
 
 
-def set_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows added and removed, as sets."""
-    return new.distinct().exceptAll(old.distinct()).withColumn("status", F.lit("added")).unionByName(old.distinct().exceptAll(new.distinct()).withColumn("status", F.lit("removed")))
-
-
 def affected(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """JN-27: sources of edges into changed or added keys that are not themselves such."""
     hit = changes.filter(F.col("status").isin("changed", "added")).select(F.col("key").alias("target"))
@@ -32,7 +27,11 @@ def delta_report(changes: DataFrame, touched: DataFrame, shown: int = SHOWN) ->
     rows = changes.unionByName(touched.withColumn("status", F.lit("affected")))
     kinds = ("added", "removed", "changed", "affected")
     of = lambda k: F.when(F.col("status") == k, F.col("key"))
-    return rows.agg(*[F.count(of(k)).alias(f"{k}_count") for k in kinds], *[F.slice(F.sort_array(F.collect_set(of(k))), 1, shown).alias(k) for k in kinds])
+    out = rows.agg(*[F.count(of(k)).alias(f"{k}_count") for k in kinds])
+    for k in kinds:  # the first keys by a bounded sort, never all of them in one list
+        first = rows.filter(F.col("status") == k).select("key").distinct().orderBy("key").limit(shown)
+        out = out.crossJoin(first.agg(F.sort_array(F.collect_list("key")).alias(k)))
+    return out
 
 
 def gate(new_cycles: Column, files: Column, changed: Column, symbols: Column, removed: Column, most_changed: float = 0.5, most_removed: float = 0.3, self_ratio: bool = False) -> Column:
@@ -43,23 +42,6 @@ def gate(new_cycles: Column, files: Column, changed: Column, symbols: Column, re
     return F.filter(F.array(F.when(new_cycles > 0, "new_cycles"), F.when(too_many, "changed_files"), F.when(gone, "removed_symbols")), lambda x: x.isNotNull())
 
 
-def union_first(parts: list[DataFrame], key: str = "id") -> DataFrame:
-    """SO-03 and SO-06: rows of all parts, the first part wins per key; rows without a key all stay."""
-    from pyspark.sql import Window
-
-    rows = None
-    for i, p in enumerate(parts):
-        p = p.withColumn("_part", F.lit(i)).withColumn("_place", F.monotonically_increasing_id())
-        rows = p if rows is None else rows.unionByName(p)
-    first = F.row_number().over(Window.partitionBy(key).orderBy("_part", "_place"))
-    return rows.withColumn("_r", first).filter((F.col("_r") == 1) | F.col(key).isNull()).drop("_part", "_place", "_r")
-
-
-def content_hash(*columns: str) -> Column:
-    """SRC-06 and AG-28 over columns: SHA-256 of their JSON."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
-
-
 def set_hash(rows: DataFrame, key: str = "id") -> DataFrame:
     """AG-28: one row with the MD5 of all keys in order, combined from the keys' own digests so that no task gathers them."""
     d = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")

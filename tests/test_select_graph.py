@@ -96,10 +96,63 @@ def test_closure_follows_stars_and_names_and_survives_cycles(spark):
 
 def test_cycles_are_canonical(spark):
     e = frame(spark, [("b", "c"), ("c", "a"), ("a", "b"), ("d", "d"), ("a", "e"), ("b", "a")], "source string, target string")
-    got = {r.cycle for r in graph.cycles(e, 3).collect()}
+    got = {r.cycle for r in graph.cycles(e).collect()}
     assert got == {"a -> b -> c -> a", "a -> b -> a", "d -> d"}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)] + [("n0", "x"), ("x", "y"), ("z", "n3")]
+    got = {(r.cycle, r.length) for r in graph.cycles(frame(spark, ring, "source string, target string")).collect()}
+    assert got == {("n0 -> n1 -> n2 -> n3 -> n4 -> n5 -> n0", 6)}
+    # a chord inside the ring closes a second one, which is shown too
+    got = {r.length for r in graph.cycles(frame(spark, [*ring, ("n3", "n1")], "source string, target string")).collect()}
+    assert got == {6, 3}
+    assert graph.cycles(frame(spark, ring[6:], "source string, target string")).count() == 0
+
+
+def test_strong_components_match_reachability(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(22)}
+        reach = {i: {i} for i in range(14)}
+        for _ in range(14):
+            for a, b in edges:
+                for s in reach.values():
+                    if a in s:
+                        s.add(b)
+        want = {(a, b) for a, b in edges if a != b and a in reach[b]}
+        rows = graph.strong_edges(frame(spark, sorted(edges), "source int, target int")).collect()
+        assert {(r.source, r.target) for r in rows} == want
+        assert all(r.group == min(x for x in range(14) if x in reach[r.source] and r.source in reach[x]) for r in rows)
+
+
+def test_large_graphs_rank_alike(spark, monkeypatch):
+    rng = random.Random(6)
+    nodes = frame(spark, [(f"n{i}",) for i in range(40)], "id string")
+    edges = frame(spark, [(f"n{rng.randrange(30)}", f"n{rng.randrange(40)}") for _ in range(120)], "source string, target string")
+    seeds = frame(spark, [("n1", 2.0), ("n7", 1.0)], "id string, weight double")
+    small = [{r.id: round(r["rank"], 8) for r in graph.pagerank(nodes, edges, seeds=s).collect()} for s in (None, seeds)]
+    monkeypatch.setattr(graph, "SMALL_NODES", 0)
+    assert [{r.id: round(r["rank"], 8) for r in graph.pagerank(nodes, edges, seeds=s).collect()} for s in (None, seeds)] == small
+
+
+def test_communities_settle(spark):
+    rng = random.Random(7)
+    edges = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(60)]
+    nodes = frame(spark, [(f"n{i}",) for i in range(25)], "id string")
+    around = {}
+    for a, b in edges:
+        if a != b:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+    of = {r.id: r.community for r in graph.communities(nodes, frame(spark, edges * 2, "source string, target string"), smallest=1).collect()}
+    for n, near in around.items():  # no node gains by a move
+        votes = {}
+        for m in near:
+            votes[of[m]] = votes.get(of[m], 0) + 1
+        assert max(votes.values()) <= votes.get(of[n], 0)
+
+
 def test_communities_partition_two_cliques(spark):
     cl = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(4) for j in range(4) if i < j]
     nodes = frame(spark, [(f"{g}{i}",) for g in "ab" for i in range(4)], "id string")
@@ -145,3 +198,34 @@ def test_coverage(spark):
     paths = ["a/b.py", "a/test_b.py", "c/d.py", "tests/test_e.py", "x/e.py", "tests/test_gone.py"]
     r = rollup.coverage(frame(spark, [(p,) for p in paths], "path string")).first()
     assert (r.total_source_files, r.tested_files, r.untested, r.dead) == (3, 2, ["c/d.py"], ["tests/test_gone.py"])
+
+
+def test_folds_stream(spark):
+    """A million candidates in one task."""
+    rows = spark.range(1_000_000).select(F.lit(1).alias("t"), "id", F.when(F.col("id") % 3 == 0, 7).otherwise(1000).alias("cost"))
+    out = select.greedy_budget(rows, ["t"], 5000, [F.col("id")])
+    got = out.filter("taken").agg(F.count("*").alias("n"), F.max("used").alias("used")).first()
+    brute, n = 0, 0
+    for i in range(1_000_000):
+        c = 7 if i % 3 == 0 else 1000
+        if brute + c <= 5000:
+            brute, n = brute + c, n + 1
+    assert (got.n, got.used) == (n, brute) and out.count() == 1_000_000
+
+
+def test_reference_values_by_hand(spark):
+    """Numbers worked out by hand from the rules, not from the code."""
+    from cairn.functions import classify as C
+
+    one = spark.range(1)
+    boost = {r: one.select(C.role_boost(F.lit(r)).alias("x")).first().x for r in ("entry_point", "hub", "api_surface", "module", "leaf", "utility", "")}
+    assert boost == {"entry_point": 1.30, "hub": 1.25, "api_surface": 1.20, "module": 1.0, "leaf": 0.85, "utility": 0.75, "": 1.0}
+    size = lambda a, b: one.select(C.size_penalty(C.line_count(F.lit(a), F.lit(b))).alias("x")).first().x
+    assert [size(1, 50), size(1, 51), size(1, 100), size(1, 101)] == [1.0, 0.85, 0.85, 0.7]
+    core = lambda p: one.select(C.is_non_core(F.lit(p)).alias("x")).first().x
+    assert [core("Docs/x.py"), core("a/TOOLS/x.py"), core("documents/x.py")] == [True, True, False]
+    rows = [("a", "src/models/user.py"), ("b", "models/user.py"), ("c", "src/model/user.py"), ("d", "src\\models\\user.py")]
+    s = frame(spark, [(n, f, "Thing", "func", "", True, 0, 0) for n, f in rows], "n string, file string, name string, kind string, signature string, exported boolean, inbound_calls int, outbound_calls int")
+    kws, none = F.array(F.lit("user")), F.array().cast("array<string>")
+    got = {r.n: (r.t, r.f) for r in s.select("n", C.context_tier(kws, none).alias("t"), C.support_factor(F.array(F.lit("other")), none).alias("f")).collect()}
+    assert got == {"a": ("workflow", 0.25), "b": ("critical", 0.70), "c": ("critical", 0.70), "d": ("workflow", 0.25)}
