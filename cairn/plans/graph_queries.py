@@ -107,15 +107,20 @@ def symbol_degrees(spark, d):
     return rows.select("id", "inbound_calls", "inbound_calls_local", "named_imports", "incoming_file_imports", rank.alias("rank"))
 
 
-_ROLE_EDGES = "re AS (SELECT DISTINCT l_suppkey % 50 AS source, (l_partkey * 7) % 61 AS target FROM lineitem WHERE l_quantity > 48)"
+_ROLE_EDGES = "re AS (SELECT DISTINCT concat('o', o_custkey) AS source, concat('p', l_partkey) AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT DISTINCT concat('p', l_partkey), concat('s', l_suppkey) FROM lineitem)"
 
 
 @query("roles", f"""WITH {_ROLE_EDGES}, n AS (SELECT source AS id FROM re UNION SELECT target FROM re),
-g AS (SELECT id, (SELECT count(*) FROM re WHERE target = id) AS indegree, (SELECT count(*) FROM re WHERE source = id) AS outdegree FROM n)
+i AS (SELECT target AS id, count(*) AS k FROM re GROUP BY target), o AS (SELECT source AS id, count(*) AS k FROM re GROUP BY source),
+g AS (SELECT n.id, coalesce(i.k, 0) AS indegree, coalesce(o.k, 0) AS outdegree FROM n LEFT JOIN i ON i.id = n.id LEFT JOIN o ON o.id = n.id)
 SELECT *, CASE WHEN indegree > 0 AND outdegree = 0 THEN 'leaf' WHEN outdegree > 0 AND indegree = 0 THEN 'entry_point' WHEN indegree >= 3 AND outdegree >= 3 THEN 'hub'
        WHEN indegree >= 5 AND indegree > 3 * outdegree THEN 'api_surface' ELSE 'module' END AS role FROM g""")
 def roles(spark, d):
-    e = table(spark, d, "lineitem").filter("l_quantity > 48").select((F.col("l_suppkey") % 50).alias("source"), ((F.col("l_partkey") * 7) % 61).alias("target")).distinct()
+    """Customer to part to supplier, over all order lines."""
+    name = lambda lead, c: F.concat(F.lit(lead), F.col(c).cast("string"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    bought = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(name("o", "o_custkey").alias("source"), name("p", "l_partkey").alias("target"))
+    e = bought.unionByName(li.select(name("p", "l_partkey").alias("source"), name("s", "l_suppkey").alias("target"))).distinct()
     n = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
     return graph.roles(n, e)
 
@@ -140,18 +145,28 @@ pe AS (SELECT DISTINCT source, target FROM edges UNION ALL SELECT DISTINCT conca
 
 
 @query("two_hop", f"""WITH {_PAIR_SQL}, {_SEED_SQL},
-c1 AS (SELECT DISTINCT s.id AS seed, s.score AS base, e.source AS id FROM pe e JOIN seeds s ON e.target = s.id WHERE e.source <> s.id),
-d1 AS (SELECT DISTINCT s.id AS seed, s.score AS base, e.target AS id FROM pe e JOIN seeds s ON e.source = s.id WHERE e.target <> s.id),
-c2 AS (SELECT DISTINCT seed, base, e.source AS id FROM c1 JOIN pe e ON e.target = c1.id WHERE e.source <> seed),
-d2 AS (SELECT DISTINCT seed, base, e.target AS id FROM d1 JOIN pe e ON e.source = d1.id WHERE e.target <> seed),
-u AS (SELECT id, round(base * 0.70, 6) AS score, 'callers' AS reason FROM c1 UNION ALL SELECT id, round(base * 0.30, 6), 'callers_2hop' FROM c2
-      UNION ALL SELECT id, round(base * 0.65, 6), 'callees' FROM d1 UNION ALL SELECT id, round(base * 0.25, 6), 'callees_2hop' FROM d2)
-SELECT id, max(score)::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM u GROUP BY id""")
+ke AS (SELECT source, target, length(source) % 2 = 0 AS call FROM pe),
+kn AS (SELECT id, length(id) % 3 AS overlap, CASE length(id) % 4 WHEN 0 THEN 0.0 ELSE 0.5 END AS task, length(id) % 5 <> 0 AS gate FROM (SELECT source AS id FROM pe UNION SELECT target FROM pe)),
+h1 AS (SELECT DISTINCT s.id AS seed, s.score AS base, e.source AS id, call, 'callers' AS way FROM ke e JOIN seeds s ON e.target = s.id
+       UNION ALL SELECT DISTINCT s.id, s.score, e.target, call, 'callees' FROM ke e JOIN seeds s ON e.source = s.id),
+h2 AS (SELECT base, e.source AS id, 0.30 AS f, 'callers_2hop' AS reason FROM h1 JOIN ke e ON e.target = h1.id AND e.call WHERE h1.call AND way = 'callers'
+       UNION ALL SELECT base, e.target, 0.25, 'callees_2hop' FROM h1 JOIN ke e ON e.source = h1.id AND e.call WHERE h1.call AND way = 'callees'),
+u AS (SELECT base, id, CASE way WHEN 'callers' THEN 0.70 ELSE 0.65 END AS f, way AS reason FROM h1 WHERE call
+      UNION ALL SELECT base, id, CASE way WHEN 'callers' THEN 0.35 ELSE 0.30 END, 'import_neighbors' FROM h1 WHERE NOT call UNION ALL SELECT * FROM h2),
+v AS (SELECT u.id, reason, CASE WHEN reason = 'import_neighbors' THEN greatest(base * CASE WHEN overlap > 0 THEN f WHEN task > 0 THEN f * 0.75 ELSE least(f, 0.035) END, 0.35 * task) ELSE base * f END AS score
+      FROM u JOIN kn ON kn.id = u.id WHERE gate OR reason LIKE '%2hop')
+SELECT id, round(max(score), 6)::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM v GROUP BY id""")
 def two_hop(spark, d):
-    return select.expand_neighbors(_seeds(spark, d), _pair_edges(spark, d)).select("id", "score", F.array_join("reasons", ",").alias("reasons"))
+    pairs = _pair_edges(spark, d)
+    edges = pairs.withColumn("kind", F.when(F.length("source") % 2 == 0, "calls-symbol").otherwise("imports-symbol"))
+    ids = pairs.select(F.col("source").alias("id")).unionByName(pairs.select(F.col("target").alias("id"))).distinct()
+    n = F.length("id")
+    known = ids.select("id", (n % 3).alias("overlap"), F.when(n % 4 == 0, 0.0).otherwise(0.5).alias("task_score"), (n % 5 != 0).alias("gate"))
+    out = select.neighbors(_seeds(spark, d), edges, known)
+    return out.select("id", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("neighborhood", f"""WITH {_PAIR_SQL}, s AS (SELECT id FROM (SELECT concat('P', p_partkey) AS id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5)),
+@query("neighborhood", f"""WITH {_PAIR_SQL}, s AS (SELECT concat('P', p_partkey) AS id FROM part WHERE p_partkey % 20 = 0),
 a1 AS (SELECT DISTINCT s.id AS start, e.target AS id FROM s JOIN pe e ON e.source = s.id WHERE e.target <> s.id),
 a2 AS (SELECT a1.start, e.target AS id, min(a1.id) AS via FROM a1 JOIN pe e ON e.source = a1.id WHERE e.target <> a1.start AND NOT EXISTS (SELECT 1 FROM a1 b WHERE b.start = a1.start AND b.id = e.target) GROUP BY ALL),
 b1 AS (SELECT DISTINCT s.id AS start, e.source AS id FROM s JOIN pe e ON e.target = s.id WHERE e.source <> s.id),
@@ -159,8 +174,8 @@ b2 AS (SELECT b1.start, e.source AS id, min(b1.id) AS via FROM b1 JOIN pe e ON e
 SELECT start, id, 1 AS hop, 'callees' AS direction, NULL::VARCHAR AS via FROM a1 UNION ALL SELECT start, id, 2, 'callees', via FROM a2
 UNION ALL SELECT start, id, 1, 'callers', NULL FROM b1 UNION ALL SELECT start, id, 2, 'callers', via FROM b2""")
 def neighborhood(spark, d):
-    top = table(spark, d, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(5)
-    return graph.neighborhood(_pair_edges(spark, d), top.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id")))
+    starts = table(spark, d, "part").filter("p_partkey % 20 = 0")  # the stated query set
+    return graph.neighborhood(_pair_edges(spark, d), starts.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id")))
 
 
 _SEL_SQL = f"""{_PAIR_SQL}, kx AS (SELECT source, target, CASE WHEN length(source) % 2 = 0 THEN 'calls-symbol' ELSE 'imports-symbol' END AS kind FROM pe),
@@ -213,11 +228,11 @@ def frontier_top8(spark, d):
     return select.frontier(chosen, cut, _selection(spark, d)[1])
 
 
-@query("type_dependency", f"""WITH {SYMBOLS_SQL}, r AS (SELECT unnest(regexp_extract_all(signature, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM sym WHERE kind = 'func' AND size > 45)
+@query("type_dependency", f"""WITH {SYMBOLS_SQL}, r AS (SELECT unnest(regexp_extract_all(signature, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM sym WHERE kind = 'func')
 SELECT id, 0.85::DOUBLE AS score FROM sym WHERE kind <> 'func' AND name IN (SELECT name FROM r) AND id NOT IN (SELECT id FROM sym WHERE size <= 3)""")
 def type_dependency(spark, d):
     s = symbols(spark, d)
-    rows = s.filter("kind = 'func' and size > 45").withColumn("tier", F.lit("critical"))
+    rows = s.filter("kind = 'func'").withColumn("tier", F.lit("critical"))
     return select.type_dependencies(rows, s.filter("kind <> 'func'"), s.filter("size <= 3"))
 
 
@@ -301,7 +316,8 @@ s AS (SELECT qw.id AS query, wt.id AS doc, round(sum(qw.w * wt.w) / (any_value(q
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS place FROM s WHERE similarity > 0.01)
 SELECT query, place, doc, similarity FROM r WHERE place <= 10""")
 def tfidf_search(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.identifier_tokens("text").alias("tokens"))
+    # tokens once, for the frequencies and for the weights
+    docs = graph.cut(table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.identifier_tokens("text").alias("tokens")))
     from cairn.operators.score import idf
 
     words = idf(docs)
@@ -309,12 +325,12 @@ def tfidf_search(spark, d):
     return semantic.sparse_topk(semantic.tfidf(items, idf=words), semantic.tfidf(docs, idf=words)).select("query", "place", "doc", "similarity")
 
 
-@query("dense_topk", """WITH p AS (SELECT vec_id AS probe, embedding AS pe FROM embeddings ORDER BY vec_id LIMIT 20),
+@query("dense_topk", """WITH p AS (SELECT vec_id AS probe, embedding AS pe FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT probe, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], pe::DOUBLE[]), 6) AS similarity FROM p, embeddings WHERE vec_id <> probe),
 r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY similarity DESC, id) AS place FROM s) SELECT * FROM r WHERE place <= 10""")
 def dense_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return semantic.dense_topk(e.orderBy("id").limit(20), e)
+    return semantic.dense_topk(e.filter("id % 20 = 0"), e)
 
 
 @query("domain_detect", f"""WITH {_TFIDF_CTE},
@@ -325,7 +341,7 @@ SELECT id, arg_min(domain, struct_pack(a := -c, b := domain)) AS domain, max(c)
 def domain_detect(spark, d):
     from cairn.operators.score import idf
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), T.identifier_tokens("text").alias("tokens"))
+    docs = graph.cut(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), T.identifier_tokens("text").alias("tokens")))
     words = idf(docs)
     return semantic.detect_domain(semantic.tfidf(docs, idf=words), semantic.prototypes(docs, words))
 
@@ -472,17 +488,27 @@ def smart_start(spark, d):
     return rollup.probe(symbols(spark, d), tasks(spark).select("task_id", T.keywords("task").alias("kws")))
 
 
-_CYCLE_EDGES = "ce AS (SELECT DISTINCT concat('N', lpad((l_suppkey % 30)::VARCHAR, 2, '0')) AS source, concat('N', lpad((l_partkey % 30)::VARCHAR, 2, '0')) AS target FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)"
+# nations by trade over all order lines, and a ring through all regions that no pair shortens
+_CYCLE_EDGES = f"""{NATION_LINKS_SQL}, ce AS (SELECT DISTINCT concat('N', lpad(source::VARCHAR, 2, '0')) AS source, concat('N', lpad(target::VARCHAR, 2, '0')) AS target FROM links
+  UNION ALL SELECT concat('R', r_regionkey), concat('R', (r_regionkey + 1) % (SELECT count(*) FROM region)) FROM region)"""
 
 
 @query("cycles", f"""WITH {_CYCLE_EDGES}
 SELECT concat(source, ' -> ', target) AS cycle, 1 AS length FROM ce WHERE source = target
 UNION SELECT concat(a.source, ' -> ', a.target, ' -> ', a.source), 2 FROM ce a JOIN ce b ON b.source = a.target AND b.target = a.source WHERE a.source < a.target
-UNION SELECT concat(a.source, ' -> ', a.target, ' -> ', b.target, ' -> ', a.source), 3 FROM ce a JOIN ce b ON b.source = a.target JOIN ce c ON c.source = b.target AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target""")
+UNION SELECT c.cycle, 3 FROM (  -- of the cycles of three through an edge that no pair closes, the first way back
+  SELECT e.source, e.target, min([e.target, x.target, e.source]) AS way, NULL FROM ce e JOIN ce x ON x.source = e.target JOIN ce y ON y.source = x.target AND y.target = e.source
+  WHERE e.source <> e.target AND x.target NOT IN (e.source, e.target) AND NOT EXISTS (SELECT 1 FROM ce b WHERE b.source = e.target AND b.target = e.source) GROUP BY e.source, e.target) w,
+  LATERAL (SELECT CASE least(w.way[1], w.way[2], w.way[3]) WHEN w.way[1] THEN concat(w.way[1], ' -> ', w.way[2], ' -> ', w.way[3], ' -> ', w.way[1])
+    WHEN w.way[2] THEN concat(w.way[2], ' -> ', w.way[3], ' -> ', w.way[1], ' -> ', w.way[2]) ELSE concat(w.way[3], ' -> ', w.way[1], ' -> ', w.way[2], ' -> ', w.way[3]) END AS cycle) c
+UNION SELECT concat(string_agg(concat('R', r_regionkey), ' -> ' ORDER BY r_regionkey), ' -> R0'), count(*)::INTEGER FROM region""")
 def cycles(spark, d):
-    name = lambda c: F.concat(F.lit("N"), F.lpad((F.col(c) % 30).cast("string"), 2, "0"))
-    e = table(spark, d, "lineitem").filter("l_quantity = 50 and l_discount = 0.1").select(name("l_suppkey").alias("source"), name("l_partkey").alias("target")).distinct()
-    return graph.cycles(e, 3)
+    name = lambda c: F.concat(F.lit("N"), F.lpad(F.col(c).cast("string"), 2, "0")).alias(c)
+    e = nation_links(spark, d).select(name("source"), name("target")).distinct()
+    r = table(spark, d, "region")
+    ring = r.crossJoin(F.broadcast(r.agg(F.count("*").alias("n"))))  # one row
+    step = lambda k, c: F.concat(F.lit("R"), k.cast("string")).alias(c)
+    return graph.cycles(e.unionByName(ring.select(step(F.col("r_regionkey"), "source"), step((F.col("r_regionkey") + 1) % F.col("n"), "target"))))
 
 
 @query("reexport_closure", """WITH RECURSIVE di AS (SELECT concat('f', n_nationkey) AS file, n_name AS name, concat('s', n_nationkey) AS symbol FROM nation),
@@ -502,20 +528,26 @@ def reexport_closure(spark, d):
 
 @query("communities")
 def communities(spark, d):
-    """Suppliers and parts by shared order lines of large quantity."""
-    li = table(spark, d, "lineitem").filter("l_quantity >= 49")
+    """Suppliers and parts by shared order lines."""
+    li = table(spark, d, "lineitem")
     e = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
     n = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
-    return graph.communities(n, e, rounds=6)
+    return graph.communities(n, e)
 
 
-@query("alias_prefix_join", """WITH ns AS (SELECT * FROM (VALUES ('http', 'h'), ('https', 's'), ('https://m.', 'm'), ('https://blog.', 'b')) t(ns, base))
-SELECT page_id, arg_max(base, length(ns)) AS base FROM pages JOIN ns ON starts_with(url, ns) GROUP BY page_id""")
+@query("alias_prefix_join", r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?):', 1) AS scheme, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_replace(url, '^https?://[^/]+/?', '') AS rest FROM pages)
+SELECT page_id, 1 AS rank, concat('h/', host, '/', rest) AS base FROM u UNION ALL SELECT page_id, 2, concat(scheme, '//', host, '/', rest) FROM u""")
 def alias_prefix_join(spark, d):
-    """JN-07's longest prefix, here of URLs: the prefixes are stated and broadcast."""
-    ns = spark.createDataFrame([("http", "h"), ("https", "s"), ("https://m.", "m"), ("https://blog.", "b")], "ns string, base string")
-    hit = table(spark, d, "pages").select("page_id", "url").join(F.broadcast(ns), F.startswith("url", "ns"))
-    return hit.groupBy("page_id").agg(F.max_by("base", F.length("ns")).alias("base"))
+    """JN-07 on URLs as namespaces: every host and every scheme is a prefix, the longest one first."""
+    from cairn.sources.resolve import namespace_candidates
+
+    pages = table(spark, d, "pages").select("page_id", "url")
+    spelled = F.replace("url", F.lit("/"), F.lit("\\"))
+    host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
+    named = pages.select(F.replace(host, F.lit("/"), F.lit("\\")).alias("namespace"), F.concat(F.lit("h/"), F.regexp_replace(host, "^https?://", "")).alias("base")).distinct()
+    schemes = pages.select(F.regexp_extract("url", r"^(https?:)", 1).alias("namespace"), F.regexp_extract("url", r"^(https?):", 1).alias("base")).distinct()
+    out = namespace_candidates(pages.select(F.col("page_id").alias("file"), F.lit(0).alias("ord"), spelled.alias("source")), named.unionByName(schemes))
+    return out.select(F.col("file").alias("page_id"), "rank", "base")
 
 
 @query("suffix_match", f"""WITH {PAGE_PATHS_SQL}, b AS (SELECT path, string_split(regexp_replace(path, '\\.py$', ''), '/') AS segs FROM paths),
@@ -541,29 +573,50 @@ def import_resolve(spark, d):
     return resolve(records, s.select(F.col("file").alias("path")).distinct())
 
 
-@query("scan_repo")
+def _code(spark, d):
+    """A Python module for each part: it calls into the module of the next part (a ring), and its class calls its function."""
+    k = F.col("p_partkey").cast("string")
+    n = table(spark, d, "part").agg(F.count("*").alias("n"))  # one row
+    rows = table(spark, d, "part").select("p_partkey", "p_name").crossJoin(F.broadcast(n)).withColumn("next", ((F.col("p_partkey") + 1) % F.col("n")).cast("string"))
+    module = F.format_string('"""About the part %s."""\nfrom pkg.p%s import run%s\n\ndef run%s(x):\n    # TODO: use x\n    return run%s(x)\n\nclass Box%s:\n    def open%s(self):\n        return run%s(self)\n', F.col("p_name"), F.col("next"), F.col("next"), k, F.col("next"), k, k, k)
+    return rows.select(F.concat(F.lit("pkg/p"), k, F.lit(".py")).alias("path"), module.alias("content"))
+
+
+_CODE_SQL = "co AS (SELECT p_partkey AS k, p_name, (p_partkey + 1) % (SELECT count(*) FROM part) AS nx, concat('pkg/p', p_partkey, '.py') AS path FROM part)"
+
+
+@query("scan_repo", f"WITH {_CODE_SQL} SELECT path AS id, 'py' AS type, 10 AS lines, 3 AS symbols, concat('About the part ', p_name, '. // TODO: use x') AS summary, concat('pkg.p', nx) AS imports, 'module' AS role, 1.0::DOUBLE AS importance FROM co")
 def scan_repo(spark, d):
-    from cairn.engine import demo_engine
+    from cairn.engine import Engine
 
-    return demo_engine(spark).files.select("id", "type", "lines", "summary", "role", "importance")
+    return Engine(spark, _code(spark, d)).files.select("id", "type", "lines", "symbols", "summary", F.array_join("imports", ",").alias("imports"), "role", "importance")
 
 
-@query("extract_symbols")
+@query("extract_symbols", f"""WITH {_CODE_SQL}, s AS (
+  SELECT path, concat('run', k) AS name, 'func' AS kind, 4 AS line, 6 AS end_line, concat('def run', k, '(x):') AS signature, concat('run', nx) AS calls FROM co
+  UNION ALL SELECT path, concat('Box', k), 'class', 8, 10, concat('class Box', k, ':'), '' FROM co
+  UNION ALL SELECT path, concat('open', k), 'func', 9, 10, concat('def open', k, '(self):'), concat('run', k) FROM co)
+SELECT concat(path, '::', name) AS id, kind, line, end_line, signature, true AS exported, calls FROM s""")
 def extract_symbols(spark, d):
-    from cairn.engine import demo_engine
+    from cairn.sources.extract import parse_files, symbol_rows
 
-    return demo_engine(spark).symbols.select("id", "kind", "start_line", "end_line", "exported", "rank")
+    return symbol_rows(parse_files(_code(spark, d))).select("id", "kind", "line", "end_line", "signature", "exported", F.array_join("calls", ",").alias("calls"))
 
 
-@query("call_edges")
+@query("call_edges", f"""WITH {_CODE_SQL}
+SELECT concat(path, '::run', k) AS source, concat('pkg/p', nx, '.py::run', nx) AS target, 'calls-symbol' AS kind FROM co WHERE nx <> k
+UNION ALL SELECT concat(path, '::open', k), concat(path, '::run', k), 'calls-symbol-local' FROM co
+UNION ALL SELECT concat(path, '::', x, k), concat('pkg/p', nx, '.py::run', nx), 'imports-symbol' FROM co, (VALUES ('run'), ('Box'), ('open')) t(x) WHERE nx <> k""")
 def call_edges(spark, d):
-    from cairn.engine import demo_engine
+    from cairn.engine import Engine
 
-    return demo_engine(spark).symbol_edges.select("source", "target", "kind", "local")
+    return Engine(spark, _code(spark, d)).symbol_edges.select("source", "target", "kind")
 
 
-@query("watch_delta", """SELECT event_type, count(*) AS events, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type""")
+@query("watch_delta", """WITH x AS (SELECT user_id, arg_max(event_type, event_id) AS hash FROM events GROUP BY user_id)
+SELECT user_id::VARCHAR AS key, hash FROM x WHERE hash <> 'error'""")
 def watch_delta(spark, d):
-    from cairn.streaming.watch import watch_table
+    """The events as a stream of file states: a user is a file, an error deletes it."""
+    from cairn.streaming.watch import watch_states
 
-    return watch_table(spark, f"{d}/events.parquet")
+    return watch_states(spark, f"{d}/events.parquet")

@@ -217,34 +217,60 @@ def test_cap(spark, d):
 
 _FOC = f"list_filter(kws, lambda w: NOT list_contains({sql_list(T.ENTITY_WORDS)}, w))"
 _TIER_SQL = f"""WITH {TASKS_SQL}, {SYMBOLS_SQL},
-x AS (SELECT t.task_id, s.*, {kw('task')} AS kws, t.task_id = 2 AS tests, list_distinct({tok('name')}) AS tn, list_distinct({tok('file')}) AS tf, list_distinct({tok('signature')}) AS ts FROM tasks t, sym s),
-y AS (SELECT *, {overlap(_FOC, 'list_concat(tn, ts)')} AS fns, {overlap(_FOC, 'tf')} AS ff, {overlap('kws', 'tn')} AS kn, {overlap('kws', 'list_concat(tn, tf, ts)')} AS ka, {overlap(_FOC, 'list_concat(tn, tf, ts)')} AS fa, len({_FOC}) AS nf, kind IN ('class', 'interface') AS m FROM x)
+p AS (SELECT * REPLACE (CASE no % 7 WHEN 0 THEN replace(file, 'src/', 'src/Models/') WHEN 1 THEN replace(file, 'src/', 'spec/') WHEN 2 THEN replace(file, 'src/', 'models/') ELSE file END AS file) FROM sym),
+x AS (SELECT t.task_id, s.*, {kw('task')} AS kws, t.task_id = 2 AS tests, list_distinct({tok('name')}) AS tn, list_distinct({tok('file')}) AS tf, list_distinct({tok('signature')}) AS ts FROM tasks t, p s),
+y AS (SELECT *, {overlap(_FOC, 'list_concat(tn, ts)')} AS fns, {overlap(_FOC, 'tf')} AS ff, {overlap('kws', 'tn')} AS kn, {overlap('kws', 'list_concat(tn, tf, ts)')} AS ka, {overlap(_FOC, 'list_concat(tn, tf, ts)')} AS fa, len({_FOC}) AS nf, kind IN ('class', 'interface') OR contains(lower(file), '/models/') AS m, contains(lower(file), 'test') OR contains(lower(file), 'spec') AS t FROM x)
 SELECT task_id, no,
-  CASE WHEN kind = 'func' AND fns > 0 THEN 'critical' WHEN kind = 'func' AND ff > 0 AND exported THEN 'critical' WHEN m AND kn > 0 AND exported THEN 'critical'
-       WHEN m AND fns > 0 THEN 'critical' WHEN kind = 'func' AND ka > 0 AND inbound_calls + outbound_calls > 0 THEN 'workflow' WHEN m AND ka > 0 THEN 'workflow' ELSE 'support' END AS tier,
-  CASE WHEN nf = 0 OR fa > 0 THEN 1.0 WHEN m THEN 0.25 WHEN ka > 0 THEN 0.58 WHEN regexp_matches(name, '^[A-Z]') AND kn = 0 THEN 0.70 ELSE 1.0 END::DOUBLE AS factor
+  CASE WHEN t AND tests THEN 'workflow' WHEN t THEN 'support' WHEN kind = 'func' AND fns > 0 THEN 'critical' WHEN kind = 'func' AND NOT m AND ff > 0 AND exported THEN 'critical' WHEN m AND kn > 0 AND exported THEN 'critical'
+       WHEN m AND fns > 0 THEN 'critical' WHEN kind = 'func' AND NOT m AND ka > 0 AND inbound_calls + outbound_calls > 0 THEN 'workflow' WHEN m AND ka > 0 THEN 'workflow' ELSE 'support' END AS tier,
+  CASE WHEN t AND NOT tests THEN 0.55 WHEN nf = 0 OR fa > 0 THEN 1.0 WHEN m THEN 0.25 WHEN ka > 0 THEN 0.58 WHEN regexp_matches(name, '^[A-Z]') AND kn = 0 THEN 0.70 ELSE 1.0 END::DOUBLE AS factor
 FROM y"""
 
 
 @query("context_tier", _TIER_SQL)
 def context_tier(spark, d):
-    rows = symbols(spark, d).crossJoin(F.broadcast(tasks(spark).select("task_id", T.keywords("task").alias("kws"), T.intents("task").alias("ints"))))
-    return rows.select("task_id", "no", C.context_tier(F.col("kws"), F.col("ints")).alias("tier"), C.support_factor(F.col("kws"), F.col("ints")).alias("factor"))
+    no, file = F.col("no") % 7, F.col("file")
+    under = lambda folder: F.replace(file, F.lit("src/"), F.lit(folder))
+    placed = symbols(spark, d).withColumn("file", F.when(no == 0, under("src/Models/")).when(no == 1, under("spec/")).when(no == 2, under("models/")).otherwise(file))
+    # tokens once a symbol, before the tasks (a stated handful) multiply the rows
+    rows = score.symbol_tokens(placed).crossJoin(F.broadcast(tasks(spark).select("task_id", T.keywords("task").alias("kws"), T.intents("task").alias("ints"))))
+    return rows.select("task_id", "no", C.context_tier(F.col("kws"), F.col("ints"), ready=True).alias("tier"), C.support_factor(F.col("kws"), F.col("ints"), ready=True).alias("factor"))
 
 
 _DECL = " OR ".join(f"starts_with(trim(signature), '{p}')" for p in C.DECLARATIONS)
 _NOISE_SQL = f"""WITH {SYMBOLS_SQL}
 SELECT no, name IN ({', '.join("'" + n + "'" for n in C.BUILTIN_NAMES)}) OR (kind = 'func' AND NOT ({_DECL}) AND NOT exported AND (start_line = end_line OR ends_with(trim(signature), ')') OR NOT (contains(signature, '{{') OR contains(signature, '=>') OR ends_with(trim(signature), ':')))) AS noise,
        kind = 'interface' AND named_imports >= 25 AND inbound_calls = 0 AS generic,
-       regexp_matches(concat('/', file), '/({C.NON_CORE})/') AS non_core,
-       CASE WHEN end_line - start_line > 100 THEN 0.7 WHEN end_line - start_line > 50 THEN 0.85 ELSE 1.0 END::DOUBLE AS size_factor,
-       CASE role WHEN 'hub' THEN 1.3 WHEN 'api_surface' THEN 1.25 WHEN 'entry_point' THEN 1.2 WHEN 'leaf' THEN 0.85 ELSE 1.0 END::DOUBLE AS role_factor
+       no % 3 = 0 AS non_core,
+       CASE WHEN end_line - start_line >= 100 THEN 0.7 WHEN end_line - start_line >= 50 THEN 0.85 ELSE 1.0 END::DOUBLE AS size_factor,
+       CASE role WHEN 'entry_point' THEN 1.3 WHEN 'hub' THEN 1.25 WHEN 'api_surface' THEN 1.2 WHEN 'leaf' THEN 0.85 ELSE 1.0 END::DOUBLE AS role_factor
 FROM sym"""
 
 
 @query("noise_filter", _NOISE_SQL)
 def noise_filter(spark, d):
-    return symbols(spark, d).select("no", C.is_noise().alias("noise"), C.is_generic_type().alias("generic"), C.is_non_core(F.col("file")).alias("non_core"), C.size_penalty(F.col("end_line") - F.col("start_line")).alias("size_factor"), C.role_boost(F.col("role")).alias("role_factor"))
+    path = F.concat(F.when(F.col("no") % 3 == 0, F.when(F.col("no") % 2 == 0, "Docs/").otherwise("lib/Samples/")).otherwise("document/"), F.col("file"))
+    return symbols(spark, d).select("no", C.is_noise().alias("noise"), C.is_generic_type().alias("generic"), C.is_non_core(path).alias("non_core"), C.size_penalty(C.line_count(F.col("start_line"), F.col("end_line"))).alias("size_factor"), C.role_boost(F.col("role")).alias("role_factor"))
+
+
+_FINAL_SQL = f"""WITH {SCORE_CTE},
+y AS (SELECT sc.*, s.rank, s.name, s.start_line, s.end_line, s.role, s.named_imports, s.inbound_calls, {overlap("list_filter(kws, lambda w: NOT list_contains(" + sql_list(T.ENTITY_WORDS) + ", w))", 'list_concat(tn, sc.tf, ts)')} AS fa,
+             {overlap('kws', 'list_concat(tn, sc.tf, ts)')} AS ka, len(list_filter(kws, lambda w: NOT list_contains({sql_list(T.ENTITY_WORDS)}, w))) AS foc, max(task_score) OVER (PARTITION BY task_id) AS most, sc.kind IN ('class', 'interface') AS m, sc.task_id = 2 AS typed
+      FROM sc JOIN sym s ON s.no = sc.no)
+SELECT task_id, no, round((0.55 * task_score / CASE WHEN most = 0 THEN 1 ELSE most END + 0.25 * least(inbound_calls, 8) / 8 + 0.2 * rank)
+  * CASE WHEN kind = 'interface' AND named_imports >= 25 AND inbound_calls = 0 AND n4 = 0 AND NOT typed THEN 0.45 ELSE 1 END
+  * CASE WHEN foc = 0 OR fa > 0 THEN 1 WHEN m THEN 0.25 WHEN ka > 0 THEN 0.58 WHEN regexp_matches(name, '^[A-Z]') AND n1 = 0 THEN 0.7 ELSE 1 END
+  * CASE WHEN end_line - start_line + 1 > 100 THEN 0.7 WHEN end_line - start_line + 1 > 50 THEN 0.85 ELSE 1 END
+  * CASE role WHEN 'entry_point' THEN 1.3 WHEN 'hub' THEN 1.25 WHEN 'api_surface' THEN 1.2 WHEN 'leaf' THEN 0.85 ELSE 1 END * (1 + 0.4 * (no % 4) / 4.0), 5)::DOUBLE AS final FROM y"""
+
+
+@query("final_score", _FINAL_SQL)
+def final_score(spark, d):
+    rows = scored(spark, d).join(F.broadcast(tasks(spark).select("task_id", T.intents("task").alias("ints"))), "task_id")
+    most = rows.groupBy("task_id").agg(F.max("task_score").alias("most"))
+    rows = rows.join(F.broadcast(most), "task_id")  # one row a task
+    value = score.final_score(F.col("task_score"), F.col("most"), F.col("rank"), F.col("kws"), F.col("ints"), (F.col("no") % 4) / 4.0)
+    return rows.select("task_id", "no", F.round(value, 5).alias("final"))
 
 
 @query("baseline_ranking", f"""WITH {TASKS_SQL}, {SYMBOLS_SQL}, x AS (SELECT task_id, no, id, rank, {kw('task')} AS kws, {tok('name')} AS tn, {tok('file')} AS tf, {tok("concat_ws(' ', id, name, file, signature)")} AS ta FROM tasks, sym),
@@ -273,7 +299,13 @@ def snippet_mask(spark, d):
     return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.filter(active_mask(F.col("lines"), kws), lambda x: x)).cast("long").alias("n_active"))
 
 
-@query("snippet_slice")
+_SLICE_SQL = _SNIP_SQL.rsplit("SELECT doc_id, count(*)", 1)[0] + """, g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, active ORDER BY i) AS run FROM m),
+h AS (SELECT doc_id, active, run, any_value(n) AS n, count(*) AS k FROM g GROUP BY ALL),
+s AS (SELECT doc_id, any_value(n) AS n_lines, CASE WHEN any_value(n) <= 20 THEN any_value(n) ELSE sum(CASE WHEN active OR k <= 4 THEN k ELSE 1 END) END AS n_shown FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n_lines, 0)::INTEGER AS n_lines, coalesce(s.n_shown, 0)::INTEGER AS n_shown FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+
+@query("snippet_slice", _SLICE_SQL)
 def snippet_slice(spark, d):
     rows = table(spark, d, "documents").withColumn("lines", lines_of(F.col("text")))
     return rows.select("doc_id", F.size("lines").alias("n_lines"), F.size(slice_lines(F.col("lines"), F.array(F.lit("zzz")))).alias("n_shown"))
