@@ -6,21 +6,28 @@ length, link density and stop-word density (good, bad, near-good, short). Pass t
 short and near-good blocks the label of the nearest decided neighbours; where both sides differ
 a near-good block stays and a short one goes.
 
-An <article> is evidence, not a verdict: where articles hold at least as many code points as the good
-blocks outside them, a block in one that only its stop words make bad is near-good, a near-good one
-is good, the edge of an article counts as a good neighbour for blocks within and as a bad one for
+Class names and ids are one signal of place: a whole name says what a container is by its first or last part (``ad``, ``site-footer``),
+unless another part speaks of layout (``has-sidebar``, ``page-with-nav``), and no name counts on a container around the main article.
+
+An <article> is evidence, not a verdict: the one with most text outside bad containers is the main article where it holds
+at least as many code points as the good blocks outside it. A block in it that only its stop words make bad is near-good, a near-good one
+is good, its edge counts as a good neighbour for blocks within and as a bad one for
 those without, and containers set into it (adverts) say nothing about the blocks around them. Length,
 link density and neighbours decide there as elsewhere; other articles (teasers) have no such evidence.
 
 Defined cases: null html is the empty page with empty text; unclosed and stray tags end with
-their container; repeated rows are extracted each; an empty table gives no rows.
+their container, at a cost that grows with the page alone however deep they are; a very long page is read whole; repeated rows are
+extracted each; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,15 +57,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AUTO_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset label".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|reply|replies|respond|"
-    r"footer|topbar|toolbar|pagination|pager|subscribe|newsletter|signup|login|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+BAD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion teaser cookie cookies consent gdpr notice notification "
+    "alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social "
+    "comment comments commentlist disqus reply replies respond footer topbar toolbar pagination pager subscribe newsletter signup login copyright disclaimer".split()
 )
-#: Bad unless the name also says that it is part of an article.
-_DOUBTFUL_NAME = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead|foot|side|search|legal|follow|tags|toc|skip)(?:$|[\s_-])", re.I)
-_BODY_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|main|content)(?:$|[\s_-])", re.I)
+#: Bad unless another part of the name says that it is part of an article.
+DOUBTFUL_WORDS = frozenset("banner header masthead foot side search legal follow tags toc skip".split())
+BODY_WORDS = frozenset("article post story entry main content".split())
+#: Parts that make a name one of layout or subject.
+LAYOUT_WORDS = frozenset("has with without no not free page layout body wrapper grid columns col row container is theme news".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -66,25 +75,44 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _is_bad(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Does the tag, its role or its state make a container bad?"""
     if tag in BAD_TAGS or attrs.get("role", "").lower() in BAD_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if tag == "header":
-        return not in_article
-    name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    if not name.strip() or tag in ("html", "body"):
-        return False
-    return bool(_BAD_NAME.search(name)) or (bool(_DOUBTFUL_NAME.search(name)) and not _BODY_NAME.search(name))
+    return tag == "header" and not in_article
+
+
+def _bad_name(attrs: dict[str, str]) -> bool:
+    """Does a class name or the id, taken whole, make a container bad?"""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not parts or LAYOUT_WORDS & set(parts):
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends & BAD_WORDS or ends & DOUBTFUL_WORDS and not BODY_WORDS & set(parts):
+            return True
+    return False
+
 
+class Block(NamedTuple):
+    text: str
+    linked: int  # code points in links
+    article: int  # number of the outermost article, or 0
+    bad: bool  # in a bad container
+    heading: str  # the heading tag, or ''
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, str]]:
-    """(text, code points in links, number of the outermost article or 0, in a bad container, heading tag or '') of each block, in order."""
-    out: list[tuple[str, int, int, bool, str]] = []
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order; containers that are bad by name alone do not count around the main article."""
+    out: list[tuple[Block, tuple[int, ...]]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, article
-    n_bad = n_article = n_links = articles = 0
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, bad, article, named, block tags below
+    open_: dict[str, list[int]] = defaultdict(list)  # places of the open tags of each name
+    named: list[int] = []  # numbers of the open containers with a bad name
+    around: dict[int, tuple[int, ...]] = {}  # those around each article
+    n_bad = n_article = n_links = n_blocks = articles = names = 0
     heading = ""
 
     def flush() -> None:
@@ -92,16 +120,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, str]]:
         if text:
             whole = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             if whole:
-                out.append((whole, linked, articles if n_article else 0, n_bad > 0, heading))
+                out.append((Block(whole, linked, articles if n_article else 0, n_bad > 0, heading), tuple(named)))
             text.clear()
         linked = 0
 
     def pop() -> str:
-        nonlocal n_bad, n_article, n_links, heading
-        tag, bad, art = stack.pop()
+        nonlocal n_bad, n_article, n_links, n_blocks, heading
+        tag, bad, art, is_named, _ = stack.pop()
+        open_[tag].pop()
         n_bad -= bad
         n_article -= art
         n_links -= tag == "a"
+        n_blocks -= tag in BLOCK
+        if is_named:
+            named.pop()
         if tag == heading:
             heading = ""
         return tag
@@ -122,11 +154,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
+            if open_[tag]:
                 if tag in BLOCK or tag in BAD_TAGS:
                     flush()
                 # an inline end tag does not close the blocks around it
-                if tag not in BLOCK and any(t in BLOCK for t, _, _ in stack[len(stack) - 1 - [t for t, _, _ in reversed(stack)].index(tag) + 1 :]):
+                if tag not in BLOCK and n_blocks > stack[open_[tag][-1]][4]:
                     continue
                 while pop() != tag:
                     pass
@@ -135,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, str]]:
             continue
         if tag in RAW:
             if not m[0].endswith("/>"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                close = _closing(tag).search(page, at)
                 at = close.end() if close else end
             continue
         if tag in BLOCK or tag in BAD_TAGS:
@@ -143,23 +175,42 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, str]]:
         if tag in VOID or m[0].endswith("/>"):
             continue
         if tag in AUTO_CLOSE:
-            while stack and stack[-1][0] in AUTO_CLOSE[tag] or stack and stack[-1][0] not in BLOCK and any(t in AUTO_CLOSE[tag] for t, _, _ in stack[-4:]):
+            while stack and stack[-1][0] in AUTO_CLOSE[tag] or stack and stack[-1][0] not in BLOCK and any(x[0] in AUTO_CLOSE[tag] for x in stack[-4:]):
                 pop()
         attrs = _attributes(m[3])
         bad = _is_bad(tag, attrs, n_article > 0)
         art = tag == "article" or attrs.get("itemprop", "").lower() == "articlebody"
-        stack.append((tag, bad, art))
+        if art and not n_article:
+            articles += 1
+            around[articles] = tuple(named)
+        is_named = tag not in ("html", "body") and _bad_name(attrs)
+        if is_named:
+            names += 1
+            named.append(names)
+        stack.append((tag, bad, art, is_named, n_blocks))
+        open_[tag].append(len(stack) - 1)
+        n_blocks += tag in BLOCK
         n_bad += bad
-        articles += art and not n_article
         n_article += art
         n_links += tag == "a"
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = tag
     flush()
-    return out
+    sizes: dict[int, int] = defaultdict(int)
+    for b, inside in out:
+        if b.article and not b.bad and b.linked <= MAX_LINK_DENSITY * len(b.text) and len(inside) == len(around[b.article]):
+            sizes[b.article] += len(b.text)
+    main = max(sizes, key=lambda k: (sizes[k], -k), default=0)
+    spared = set(around.get(main, ()))
+    return [b._replace(bad=b.bad or any(x not in spared for x in inside), article=b.article if b.article == main else 0) for b, inside in out]
+
+
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
 
 
-def classify(block: tuple[str, int, int, bool, str]) -> str:
+def classify(block: Block) -> str:
     """First pass: good, near, short or bad."""
     text, linked, _, bad, _ = block
     if bad or linked > MAX_LINK_DENSITY * len(text):
@@ -203,7 +254,7 @@ def settle(kinds: list[str], headings: list[str], inside: list[int] | None = Non
     return out
 
 
-def with_evidence(found: list[tuple[str, int, int, bool, str]], kinds: list[str]) -> tuple[list[str], list[int]]:
+def with_evidence(found: list[Block], kinds: list[str]) -> tuple[list[str], list[int]]:
     """The labels of pass one with the evidence of articles, and the article with evidence of each block (or 0)."""
     outside, within = 0, 0
     for (text, linked, article, bad, _), kind in zip(found, kinds, strict=True):
