@@ -5,19 +5,24 @@ end). All n-grams that any language has seen stand in one sorted hash array per
 matrix with the finished interpolated log probability in every language; contexts stand in
 another with their back-off weights. A text is scored word by word: a word's log probability
 does not depend on its neighbours, so each distinct word of a batch is scored once. The
-language is that of the lowest cross-entropy per character. A text is rejected when that
-cross-entropy lies further above what its language's training texts show than their spread
-(which shrinks with length) explains.
+language is that of the lowest cross-entropy per character.
 
-Training sample: per language about ``PER_LANG`` texts, those with the smallest hash of their
-``doc_id``, counted in the executors; nothing of the bound touches prediction.
+Rejection: the excess of a text is how many spreads (which shrink with length) the cross-entropy of its words, each in
+its own best language, lies above the mean of its language. Mean, spread and the limit are calibrated on texts that took no part in the
+fit: the limit lies between the excess that ``KEEP`` of them stay under and the excess that the same texts reach when their
+own language is taken out of the models, at the geometric mean of both where they are apart, and never under ``LEAST_Z``.
 
-Defined cases: texts that are null or have no letter are ``und`` with score 0 and rejected;
-repeated rows are predicted alike; with no labelled rows all texts are ``und``.
+Training sample: per language about ``PER_LANG`` texts (a third of them for calibration), chosen by the hash of their
+``doc_id``, of the ``MOST_LANGS`` commonest languages, and of their words the ``MOST_WORDS`` commonest. The sample is written once. Nothing of the bounds touches prediction.
+
+Defined cases: texts that are null or have no letter (Unicode category L) are ``und`` with score 0 and rejected;
+repeated rows are predicted alike; with no labelled rows all texts are ``und``; a very long text is scored whole, in pieces of
+words; extra columns are kept by ``keep_known``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,19 +30,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import P, materialize
 
 ORDER = 4
-PER_LANG = 300
+PER_LANG = 450
+MOST_LANGS, MOST_WORDS = 500, 50_000
 UNKNOWN = "und"
 START, END = 2, 3
-REJECT_Z = 12.0
+KEEP = 0.999
+LEAST_Z = 6.0
 SLACK = 0.05  # share of the mean cross-entropy that counts as spread at any length
 MIX = np.uint64(0x9E3779B97F4A7C15)
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 DIGIT = re.compile(r"\d")
 
 
@@ -76,8 +84,16 @@ class Model:
     ctxs: list[np.ndarray]  # per order 2..ORDER: sorted hashes of contexts
     back: list[np.ndarray]
     floor: float
-    mean: np.ndarray | None = None  # cross-entropy of training texts per language
+    mean: np.ndarray | None = None  # cross-entropy of calibration texts per language
     spread: np.ndarray | None = None
+    limit: float = LEAST_Z
+    missed: float = 0.0  # share of the calibration texts that would pass if their language were unknown
+
+    def without(self, lang: int) -> Model:
+        """The models of the other languages."""
+        keep = [j for j in range(len(self.langs)) if j != lang]
+        part = lambda tables: [x[:, keep] for x in tables]
+        return Model([self.langs[j] for j in keep], self.grams, part(self.logp), self.ctxs, part(self.back), self.floor, self.mean[keep], self.spread[keep])
 
     def char_logp(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability in each language of the characters at ``at``."""
@@ -202,25 +218,46 @@ def batch_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return plain[:, :-2], plain[:, -2], plain[:, -1]
 
 
-def calibrate(model: Model, entropy: np.ndarray, chars: np.ndarray, lang: list[str]) -> None:
-    """Mean and per-character spread of the training texts' cross-entropy per language."""
+def excess(model: Model, logp: np.ndarray, chars: np.ndarray, envelope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best language of each text and its excess over that language's calibration texts, in spreads."""
+    n = np.maximum(chars, 1)
+    best = logp.argmax(axis=1)
+    allowed = np.sqrt(model.spread[best] ** 2 / n + (SLACK * model.mean[best]) ** 2)
+    return best, (-envelope / n - model.mean[best]) / allowed
+
+
+def calibrate(model: Model, texts: list[str], lang: list[str]) -> None:
+    """Mean, spread and limit from texts that the model was not fitted on."""
+    scores = [batch_scores(model, pa.array(texts[k : k + 512], pa.string())) for k in range(0, len(texts), 512)]
+    logp, chars, envelope = (np.concatenate(x) for x in zip(*scores, strict=True))
     own = np.array([model.langs.index(x) for x in lang])
     model.mean, model.spread = np.ones(len(model.langs)), np.ones(len(model.langs))
-    for j in np.unique(own):
-        h, n = entropy[own == j], chars[own == j]
+    seen = chars > 0
+    for j in np.unique(own[seen]):
+        mine = seen & (own == j)
+        h, n = -envelope[mine] / chars[mine], chars[mine]
         model.mean[j] = np.average(h, weights=n)
         model.spread[j] = np.sqrt(np.median((h - model.mean[j]) ** 2 * n) / 0.455)
+    inside = excess(model, logp[seen], chars[seen], envelope[seen])[1]
+    outside = [np.zeros(0)]
+    for j in np.unique(own[seen]) if len(model.langs) > 1 else []:
+        mine = [t for t, o, s in zip(texts, own, seen, strict=True) if o == j and s]
+        rest = model.without(int(j))
+        outside.append(excess(rest, *batch_scores(rest, pa.array(mine, pa.string())))[1])
+    low, high = float(np.quantile(inside, KEEP)) if len(inside) else 0.0, np.concatenate(outside)
+    far = float(np.quantile(high, 0.05)) if len(high) else low
+    model.limit = max(LEAST_Z, 1.5 * low, math.sqrt(low * far) if far > low > 0 else 0.0)
+    model.missed = float((high <= model.limit).mean()) if len(high) else 0.0
 
 
 def decide(model: Model, logp: np.ndarray, chars: np.ndarray, envelope: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score in 0..1 (posterior, tempered by the square root of the length) and rejection of each text."""
     n = np.maximum(chars, 1)
     h = -logp / n[:, None]
-    best = h.argmin(axis=1)
     gap = (h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None] * 2
     score = np.where(chars > 0, 1 / np.exp(-gap).sum(axis=1), 0.0)
-    allowed = np.sqrt(model.spread[best] ** 2 / n + (SLACK * model.mean[best]) ** 2)
-    rejected = (chars == 0) | ((-envelope / n - model.mean[best]) / allowed > REJECT_Z)
+    best, over = excess(model, logp, chars, envelope)
+    rejected = (chars == 0) | (over > model.limit)
     return [model.langs[i] if c else UNKNOWN for i, c in zip(best, chars, strict=True)], score, rejected
 
 
@@ -233,32 +270,30 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """About ``per_lang`` rows (twice that at most, in expectation never more) of each language, by hash of ``doc_id``."""
-    n = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not n:
-        return labelled.limit(0)
+    """``text, lang, fit`` of about ``per_lang`` rows of each language, by hash of ``doc_id``; ``fit`` is false for a third of them, for calibration."""
+    n = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGS).collect()
     share = F.lit(0.0)
-    for lang, rows in n.items():
+    for lang, rows in n:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / rows))).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(2**31)) < share * 2**31)
+    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id").cast("string")), F.lit(2**31)) / 2.0**31
+    return labelled.filter(place("sample") < share).select("text", "lang", (place("fold") >= 1 / 3).alias("fit"))
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Fit and calibrate on ``labelled(doc_id, text, lang)``."""
-    rows = sample(labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang"), per_lang)
-    words = rows.select("text", "lang").mapInArrow(_word_counts, "lang string, word string").groupBy("lang", "word").count().toPandas()
+    known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = materialize(sample(known, per_lang), "sample")
+    words = rows.filter("fit").select("text", "lang").mapInArrow(_word_counts, "lang string, word string").groupBy("lang", "word").count()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "word"))
+    words = words.withColumn("n", first).filter(F.col("n") <= MOST_WORDS).toPandas()  # bounded by MOST_LANGS and MOST_WORDS
     if not len(words):
         return None
     model = fit({lang: dict(zip(x["word"], x["count"].astype(int), strict=True)) for lang, x in words.groupby("lang")})
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, chars, envelope = batch_scores(model, b.column("text"))
-            yield pa.record_batch([b.column("lang"), pa.array(-envelope / np.maximum(chars, 1)), pa.array(chars)], ["lang", "h", "chars"])
-
-    seen = rows.select("text", "lang").mapInArrow(own, "lang string, h double, chars double").filter("chars > 0").toPandas()
-    seen = seen[seen["lang"].isin(model.langs)]
-    calibrate(model, seen["h"].to_numpy(), seen["chars"].to_numpy(), seen["lang"].tolist())
+    held = rows.filter("not fit").filter(F.col("lang").isin(model.langs)).select("text", "lang").collect()  # bounded by MOST_LANGS and per_lang
+    if held:
+        calibrate(model, [r.text for r in held], [r.lang for r in held])
+    else:
+        model.mean, model.spread, model.limit = np.zeros(len(model.langs)), np.ones(len(model.langs)), math.inf
     return model
 
 
