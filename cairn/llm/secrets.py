@@ -5,11 +5,12 @@ scan collects parts that mean little alone: identifiers (``user``, ``account``,
 assignments), endpoints (URLs and host names with a port) and weak secrets (long mixed tokens
 without a keyword). An interval join inside a scope (a paragraph, and at most ``REACH`` code
 points between two parts) links each part to the parts of complementary kinds near it; a weak
-candidate is reported only when an identifier or access key, a secret-like part and an endpoint
-or access key co-occur. The join is a sweep over the sorted spans of a document, so a document
+candidate is reported only when all three roles are filled by parts near it: who (an identifier or access key), what (a
+secret-like part) and where (an endpoint; an access key fills this role too, since its form names its provider). The join is a sweep over the sorted spans of a document, so a document
 with very many parts costs its number of parts, not of pairs.
 
-Defined cases: null text is the empty text; repeated rows are scanned each; an empty table gives no rows.
+Defined cases: null text is the empty text; repeated rows are scanned each; a very long text is scanned whole; extra columns are
+ignored, whatever their names; ``doc_id`` may be of any type; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,8 +125,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: counts of base spans, their digest, and all spans. No shuffle."""
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return slim.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    slim = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
+    return slim.mapInArrow(_scan, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
