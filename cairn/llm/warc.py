@@ -1,39 +1,48 @@
 """WARC archives of pages and their Merkle fixity audit.
 
-Pages become WARC response records, ordered in shards; a record's range is where it stands in
-its shard's byte sequence. A leaf hashes a record together with its ordered range, a node the
-hashes of ``FAN`` children in order, so a shard's root stands for all its bytes and their
-order. Two replicas are compared root by root; only below nodes that differ are the children
-joined, level by level, down to the records that are changed, moved, missing or extra. All of
-it is DataFrame operations; a shard has ``SHARD_PAGES`` consecutive page ids.
-
-Defined cases: null html and url are empty; rows with a null ``page_id`` form a shard of their
-own (-1); repeated rows are separate records in a fixed order; an empty table gives no rows.
+Pages become WARC resource records. A shard is one WARC: the records of ``SHARD_PAGES`` consecutive page ids in order, so that a
+record's range is where it stands in the shard's bytes. A leaf hashes a record together with its ordered range, a node the
+hashes of ``FAN`` children in order, and a top node stands for all its bytes and their order. The levels of a tree are stored
+tables. A replica's tree is measured from its own bytes, cut at the ranges of the original and never decoded, so damaged headers and
+bytes that are no text are only other bytes. Two trees are compared top by top; below nodes that agree nothing is joined, and the
+descent ends at the records that are changed, missing or extra. All of it is DataFrame operations.
+
+A shard that holds more than ``SHARD_ROWS`` records (repeated page ids) is dealt to parts by the records' hashes.
+
+Defined cases: null html and url are empty; rows with a null ``page_id`` form shards of their own below zero, by hash; repeated
+rows are separate records in a fixed order; a very long page makes its shard as long (a shard must fit one row, 2 GB); extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, materialize, work_path
+from .common import P, UID, as_scan, materialize, with_uid, work_path
 
-SHARD_PAGES = 4096
+SHARD_PAGES = 256
+SHARD_ROWS = 512
+NULL_SHARDS = 65_536
 FAN = 16
-LEVELS = 3  # FAN ** LEVELS records under a top node; a longer shard has several
+LEVELS = 2  # FAN ** LEVELS records under a top node; a longer shard has several
+DATE = "2024-01-01T00:00:00Z"
+SHARD = ["shard", "part"]
+#: With at most so many differing shards the descent names them in the filter of the stored levels.
+NAMED = 1000
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
-    """``page_id, shard, key, record`` of each row; ``page_id`` and ``key`` (the record's hash when written) order a shard."""
-    html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
+def warc_records(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """``page_id, shard, part, key, record`` of each row; ``page_id`` and ``key`` (the record's hash) order a shard."""
+    pages = as_scan(pages)
+    html, url = F.coalesce(pages["html"].cast("string"), F.lit("")), F.coalesce(pages["url"].cast("string"), F.lit(""))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "),
+        F.coalesce(pages["page_id"].cast("string"), F.lit("")),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         url,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(html).cast("string"),
@@ -41,77 +50,93 @@ def warc_records(pages: DataFrame) -> DataFrame:
         html,
         F.lit("\r\n\r\n"),
     )
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("record"))
-    shard = F.coalesce(F.floor(F.col("page_id") / SHARD_PAGES), F.lit(-1))
-    return rows.select("page_id", shard.alias("shard"), F.sha2("record", 256).alias("key"), "record")
-
-
-def leaves(records: DataFrame) -> DataFrame:
-    """Level 0 of the trees: the hash of each record with its ordered range. Only digests and lengths are shuffled, never records."""
-    slim = records.select("page_id", "shard", "key", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias(P + "sha"))
-    w = Window.partitionBy("shard").orderBy("page_id", "key")
+    rows = with_uid(pages).select(UID, pages["page_id"].cast("long").alias("page_id"), F.encode(record, "UTF-8").alias("record"))
+    shard = F.coalesce(F.floor(F.col("page_id") / SHARD_PAGES), -1 - F.pmod(F.xxhash64("record"), F.lit(NULL_SHARDS)))
+    rows = rows.select(UID, "page_id", shard.alias("shard"), F.sha2("record", 256).alias("key"), "record")
+    count = rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS)
+    large = count.select("shard", F.ceil(F.col("n") / (SHARD_ROWS // 2)).alias("parts"))
+    dealt = rows.join(F.broadcast(materialize(large, "large")), "shard", "left") if not large.isEmpty() else rows.withColumn("parts", F.lit(None).cast("long"))
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", UID), F.col("parts"))).cast("int")
+    return dealt.select("page_id", "shard", part.alias("part"), "key", "record")
+
+
+def ranges(records: DataFrame) -> DataFrame:
+    """``page_id, shard, part, seq, offset, length, sha`` of each record in its shard. Only digests and lengths are shuffled, never records."""
+    slim = records.select("page_id", *SHARD, "key", F.octet_length("record").cast("long").alias("length"))
+    w = Window.partitionBy(*SHARD).orderBy("page_id", "key")
     rows = slim.withColumn("seq", F.row_number().over(w).cast("long") - 1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    digest = F.sha2(F.concat_ws(":", "seq", "offset", "length", P + "sha"), 256)
-    return rows.select("shard", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), digest.alias("hash"), "page_id")
+    return rows.select("page_id", *SHARD, "seq", "offset", "length", F.col("key").alias("sha"))
+
+
+def leaves(found: DataFrame) -> DataFrame:
+    """Level 0: the hash of each record's range and bytes."""
+    digest = F.sha2(F.concat_ws(":", "seq", "offset", "length", "sha"), 256)
+    return found.select(*SHARD, F.col("seq").alias("node"), F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), digest.alias("hash"))
 
 
 def tree(level0: DataFrame) -> list[DataFrame]:
-    """The levels of the trees of all shards, from the leaves to the top."""
-    out = [level0]
+    """The stored levels of the trees of all shards, from the leaves to the tops."""
+    out = [materialize(level0, "level-0")]
     for k in range(1, LEVELS + 1):
-        kids = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
-        up = out[-1].withColumn("node", F.col("node")).groupBy("shard", F.floor(F.col("node") / FAN).alias("parent"))
-        out.append(up.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sha2(F.array_join(kids, ""), 256).alias("hash")).select("shard", F.lit(k).alias("level"), F.col("parent").alias("node"), "lo", "hi", "hash"))
+        kids = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])  # FAN of them
+        up = out[-1].groupBy(*SHARD, F.floor(F.col("node") / FAN).alias("parent"))
+        nodes = up.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sha2(F.array_join(kids, ""), 256).alias("hash"))
+        out.append(materialize(nodes.select(*SHARD, F.col("parent").alias("node"), "lo", "hi", "hash"), f"level-{k}"))
     return out
 
 
 def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """Records in which two replicas differ: ``shard, seq, lo, hi, status`` (changed, missing, extra); nothing below equal nodes is joined."""
+    """Records in which two replicas differ: ``shard, part, seq, lo, hi, status`` (changed, missing, extra); nothing below equal nodes is joined."""
     bad = None
     for k in range(LEVELS, -1, -1):
-        a, b = ours[k].select("shard", "node", "lo", "hi", "hash"), theirs[k].select("shard", "node", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("hash").alias("hash_b"))
+        a, b = ours[k], theirs[k].select(*SHARD, "node", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("hash").alias("hash_b"))
         if bad is not None:
-            parent = F.floor(F.col("node") / FAN)
-            below = bad.select("shard", F.col("node").alias(P + "parent"))
-            a = a.withColumn(P + "parent", parent).join(below, ["shard", P + "parent"], "left_semi").drop(P + "parent")
-            b = b.withColumn(P + "parent", parent).join(below, ["shard", P + "parent"], "left_semi").drop(P + "parent")
-        bad = a.join(b, ["shard", "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("hash_b")))
+            few = [r.shard for r in bad.select("shard").distinct().limit(NAMED + 1).collect()]
+            below = bad.select(*SHARD, F.col("node").alias(P + "parent"))
+            side = lambda x: (x.filter(F.col("shard").isin(few)) if len(few) <= NAMED else x).withColumn(P + "parent", F.floor(F.col("node") / FAN)).join(below, [*SHARD, P + "parent"], "left_semi").drop(P + "parent")
+            a, b = side(a), side(b)
+        bad = a.join(b, [*SHARD, "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("hash_b")))
         if k:
-            bad = materialize(bad.select("shard", "node"), "branches")
+            bad = materialize(bad.select(*SHARD, "node"), "branches")
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return bad.select("shard", F.col("node").alias("seq"), F.coalesce("lo", "lo_b").alias("lo"), F.coalesce("hi", "hi_b").alias("hi"), status.alias("status"))
-
-
-def store_replica(records: DataFrame, path: str) -> None:
-    """Write the record bytes of a replica, with the hashes of the time of writing, to any file system Spark knows."""
-    records.select("page_id", "shard", "key", F.encode("record", "UTF-8").alias("bytes")).write.parquet(path)
-
-
-def load_replica(spark, path: str) -> DataFrame:
-    """Records of a stored replica as bytes, never decoded; hashes and ranges of its tree are measured again from them."""
-    return spark.read.parquet(path).select("page_id", "shard", "key", F.col("bytes").alias("record"))
+    return bad.select(*SHARD, F.col("node").alias("seq"), F.coalesce("lo", "lo_b").alias("lo"), F.coalesce("hi", "hi_b").alias("hi"), status.alias("status"))
 
 
 def write_warc(records: DataFrame) -> DataFrame:
-    """One row per shard with its WARC bytes, for sinks that take files (bounded by ``SHARD_PAGES`` pages a shard)."""
+    """``shard, part, bytes``: one WARC a shard, its records in order."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "key", "record"))), lambda x: x["record"])
-    return records.groupBy("shard").agg(F.encode(F.array_join(parts, ""), "UTF-8").alias("bytes"))
-
-
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
+    return records.groupBy(*SHARD).agg(F.unhex(F.array_join(F.transform(parts, F.hex), "")).alias("bytes"))
+
+
+def measure(replica: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The ranges of a replica (``shard, part, bytes``), measured from its bytes at the places that ``manifest`` (``ranges`` of the original)
+    names: those that its bytes do not reach are not there, and bytes beyond the last make one range more."""
+    wanted = manifest.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length"))).alias("wanted"))
+    rows = replica.join(wanted, SHARD, "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<struct<seq:bigint,offset:bigint,length:bigint>>")))
+    rows = rows.withColumn("size", F.octet_length("bytes").cast("long"))
+    last = F.try_element_at(F.col("wanted"), F.lit(-1))
+    end = F.coalesce(last["offset"] + last["length"], F.lit(0).cast("long"))
+    more = F.array(F.struct((F.coalesce(last["seq"], F.lit(-1).cast("long")) + 1).alias("seq"), end.alias("offset"), (F.col("size") - end).alias("length")))
+    there = F.filter("wanted", lambda r: r["offset"] < F.col("size"))
+    every = F.when(F.col("size") > end, F.concat(there, more)).otherwise(there)
+    cut = F.transform(every, lambda r: F.struct(r["seq"].alias("seq"), r["offset"].alias("offset"), F.least(r["length"], F.col("size") - r["offset"]).alias("length")))
+    sha = lambda r: F.sha2(F.substring(F.col("bytes"), (r["offset"] + 1).cast("int"), r["length"].cast("int")), 256)
+    found = F.transform(cut, lambda r: F.struct(r["seq"].alias("seq"), r["offset"].alias("offset"), r["length"].alias("length"), sha(r).alias("sha")))
+    return rows.select(*SHARD, F.inline(found))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, payload) of each record of an uncompressed WARC file."""
     at = 0
-    while m := _HEAD.match(data, at):
-        head = dict(x.split(": ", 1) for x in m[1].decode().split("\r\n") if ": " in x)
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or not data.startswith(b"WARC/1.", at):
+            raise ValueError(f"no WARC record at byte {at}")
+        head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
         size = int(head["Content-Length"])
-        yield at, head, data[m.end() : m.end() + size]
-        at = m.end() + size + 4
-    if at != len(data):
-        raise ValueError(f"no WARC record at byte {at}")
+        yield at, head, data[end + 4 : end + 4 + size]
+        at = end + 4 + size + 4
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,37 +152,53 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.select("bytes").mapInArrow(_parsed, "offset long, url string, html string")
 
 
+def damaged(replica: DataFrame, manifest: DataFrame) -> DataFrame:
+    """A replica with known damage, for drills: in every fifth shard from 2 on one byte of the record 7 (modulo the records) is turned over, in every
+    fifth from 3 on the last record is cut off."""
+    rows = replica.join(manifest.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length"))).alias("at")), SHARD)
+    hit = F.element_at("at", (F.lit(7) % F.size("at") + 1).cast("int"))
+    place = (hit["offset"] + 30).cast("int")  # in the header, after its first line
+    text = F.hex("bytes")
+    other = F.when(F.substring(text, 2 * place + 1, F.lit(2)) == "FF", "00").otherwise("FF")
+    turned = F.unhex(F.concat(F.substring(text, F.lit(1), 2 * place), other, F.substring(text, 2 * place + 3, F.length(text))))
+    cut = F.substring(F.col("bytes"), F.lit(1), F.element_at("at", -1)["offset"].cast("int"))
+    kind = F.pmod(F.col("shard"), F.lit(5))
+    return rows.select(*SHARD, F.when(kind == 2, turned).when(kind == 3, cut).otherwise(F.col("bytes")).alias("bytes"))
+
+
 def op5_warc_fixity(spark, sf_dir: str) -> DataFrame:
-    """Archive all pages, store a replica, read it back, and audit one against the other."""
+    """Archive all pages as WARC shards, keep a replica with the damage of a drill, and audit it: where each record stands, and what became of it."""
     records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    manifest = materialize(ranges(records), "manifest")
     path = work_path(spark, "replica")
-    store_replica(records, path)
-    ours = tree(materialize(leaves(records), "leaves"))
-    theirs = tree(materialize(leaves(load_replica(spark, path)), "leaves"))
-    bad = audit(ours, theirs)
-    root = ours[LEVELS].select("shard", F.col("node").alias("top"), F.col("hash").alias("root"))
-    rows = ours[0].withColumn("top", F.floor(F.col("node") / FAN**LEVELS)).join(root, ["shard", "top"])
-    rows = rows.withColumnRenamed("node", "seq").join(bad.select("shard", "seq", "status"), ["shard", "seq"], "left")
-    return rows.select("page_id", "shard", "seq", F.col("lo").alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("hash").alias("leaf_sha256"), F.col("root").alias("root_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+    damaged(write_warc(records), manifest).write.parquet(path)
+    replica = spark.read.parquet(path)
+    ours = tree(leaves(manifest))
+    bad = audit(ours, tree(leaves(measure(replica, manifest))))
+    root = ours[LEVELS].select(*SHARD, F.col("node").alias("top"), F.col("hash").alias("root_sha256"))
+    rows = manifest.join(ours[0].select(*SHARD, F.col("node").alias("seq"), F.col("hash").alias("leaf_sha256")), [*SHARD, "seq"])
+    rows = rows.withColumn("top", F.floor(F.col("seq") / FAN**LEVELS)).join(root, [*SHARD, "top"])
+    rows = rows.join(bad.select(*SHARD, "seq", "status"), [*SHARD, "seq"], "left")
+    return rows.select("page_id", "shard", "seq", "offset", "length", "leaf_sha256", "root_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
 OP5_SQL = rf"""
 WITH r AS (
-  SELECT page_id, coalesce(page_id // {SHARD_PAGES}, -1) AS shard,
+  SELECT page_id, page_id // {SHARD_PAGES} AS shard,
          concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
-                'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+                'WARC-Date: {DATE}', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
                 'Content-Length: ', octet_length(encode(coalesce(html, ''))), chr(13), chr(10), chr(13), chr(10),
                 html, chr(13), chr(10), chr(13), chr(10)) AS record
   FROM pages),
 o AS (
-  SELECT *, octet_length(encode(record)) AS length, row_number() OVER w - 1 AS seq
+  SELECT *, octet_length(encode(record)) AS length, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY shard) AS n
   FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id, sha256(record))),
 f AS (
   SELECT *, coalesce(sum(length) OVER (PARTITION BY shard ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM o),
-l0 AS (SELECT page_id, shard, seq, off, length, sha256(concat_ws(':', seq, off, length, sha256(record))) AS h FROM f),
+l0 AS (SELECT page_id, shard, n, seq, off, length, sha256(concat_ws(':', seq, off, length, sha256(record))) AS h FROM f),
 l1 AS (SELECT shard, seq // {FAN} AS n, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM l0 GROUP BY ALL),
-l2 AS (SELECT shard, n // {FAN} AS m, sha256(string_agg(h, '' ORDER BY n)) AS h FROM l1 GROUP BY ALL),
-l3 AS (SELECT shard, m // {FAN} AS k, sha256(string_agg(h, '' ORDER BY m)) AS h FROM l2 GROUP BY ALL)
-SELECT l0.page_id, l0.shard, l0.seq, l0.off AS "offset", l0.length, l0.h AS leaf_sha256, l3.h AS root_sha256, 'intact' AS status
-FROM l0 JOIN l3 ON l0.shard = l3.shard AND l0.seq // {FAN**LEVELS} = l3.k
+l2 AS (SELECT shard, n // {FAN} AS m, sha256(string_agg(h, '' ORDER BY n)) AS h FROM l1 GROUP BY ALL)
+SELECT l0.page_id, l0.shard, l0.seq, l0.off AS "offset", l0.length, l0.h AS leaf_sha256, l2.h AS root_sha256,
+       CASE WHEN l0.shard % 5 = 2 AND l0.seq = 7 % l0.n THEN 'changed' WHEN l0.shard % 5 = 3 AND l0.seq = l0.n - 1 THEN 'missing' ELSE 'intact' END AS status
+FROM l0 JOIN l2 ON l0.shard = l2.shard AND l0.seq // {FAN**LEVELS} = l2.m
 """

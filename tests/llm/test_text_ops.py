@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import html_text, langid, secrets, token_counts, warc
-from cairn.llm.common import UID, work_path
+from cairn.llm import html_text, langid, secrets, token_counts
+from cairn.llm.common import UID
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -72,7 +72,7 @@ def test_language_id_held_out(spark):
 def test_language_id_edge_cases(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choice(["the", "and", "house"] if i % 2 else ["der", "und", "haus"]) for _ in range(50)), "en" if i % 2 else "de") for i in range(60)]
-    docs += [(100, None, "en"), (101, "123 !!", "en"), (102, "", None), (103, "щука " * 200, None), (104, "the and " * 50_000, None)]
+    docs += [(100, None, "en"), (101, "123 !! ½ ²", "en"), (102, "", None), (103, "щука " * 200, None), (104, "the and " * 50_000, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.predict(df.select("doc_id", "text"), langid.train_split(df), ["doc_id"]).collect()}
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3 and all(got[i].rejected for i in (100, 101, 102))
@@ -81,10 +81,26 @@ def test_language_id_edge_cases(spark):
     clash = df.withColumns({"score": F.lit("mine"), "rejected": F.lit(1), "lang_pred": F.lit(None).cast("string")})
     kept = langid.keep_known(clash)
     assert kept.columns == clash.columns and {r.score for r in kept.collect()} == {"mine"}
+    assert langid.keep_known(clash.limit(0)).count() == 0
     none = langid.predict(df.select("doc_id", "text"), langid.train_split(df.filter("false")), ["doc_id"])
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+@tables
+def test_rejection_is_calibrated(spark):
+    """Texts of a language that was left out are rejected, held-out texts of known ones are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().filter("lang is not null").collect())
+    wrong = 0
+    for left_out in langs[:2]:
+        model = langid.train(docs.filter(~langid.held_out(F.col("doc_id")) & (F.col("lang") != left_out)))
+        got = langid.predict(docs.filter(langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), model, ["doc_id", "lang"]).collect()
+        foreign, own = [r for r in got if r.lang == left_out], [r for r in got if r.lang != left_out and r.lang]
+        assert sum(r.rejected for r in foreign) >= 0.95 * len(foreign)
+        wrong += sum(r.rejected for r in own)
+    assert wrong == 0
+
+
 def brute_secrets(text):
     spans = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -104,6 +120,39 @@ def test_base_secrets_match_brute_force(spark):
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
 
 
+def brute_linked(text):
+    """Every pair of parts compared: which weak parts have all three roles filled by parts within reach in their paragraph."""
+    base = secrets.base_spans(text)
+    parts = [(m.start(), m.end(), "user") for m in secrets._USER.finditer(text)] + [(m.start(), m.end(), "endpoint") for m in secrets._ENDPOINT.finditer(text)]
+    inside = lambda s, e: any(a < e and b > s for a, b, _ in base + parts)
+    if base or parts:
+        parts = parts + [(m.start(), m.end(), "weak") for m in secrets._WEAK.finditer(text) if secrets._looks_random(m[0]) and not inside(m.start(), m.end())]
+    breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
+    scope = lambda s: sum(b < s for b in breaks)
+    out = list(base)
+    for s, e, kind in parts:
+        near = {kind} | {k for a, b, k in base + parts if scope(a) == scope(s) and (a - e if a >= s else s - b) <= secrets.REACH}
+        if near & {"user", "access"} and near & {"assign", "hex", "weak"} and near & {"endpoint", "access"}:
+            out.append((s, e, kind))
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def test_linked_spans_match_all_pairs():
+    rng = random.Random(9)
+    bits = ["user: admin42", "login=bob99", "https://h.example.com/p", "db.example.com:5432", "Zx81kQpLm02RtYv7", "password=hunter22", "AKIA" + "ABCD1234ABCD1234", "0123456789abcdef01234567", "words here", " ", "\n", "\n\n", "x" * 90, ", "]
+    for _ in range(1500):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert secrets.linked_spans(text, secrets.base_spans(text)) == brute_linked(text), repr(text)
+
+
+def test_secrets_of_odd_rows(spark):
+    rows = [("a", None, 1, "x"), ("a", None, 1, "x"), (None, "", 2, "y"), ("b", "x" * 300_000 + " token=abcdef12", 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_hex int, spans string")
+    got = secrets.find_secrets(df).collect()
+    assert [(r.doc_id, r.n_assign, r.spans) for r in got] == [("a", 0, ""), ("a", 0, ""), (None, 0, ""), ("b", 1, "assign:300001:300015")]
+    assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
 def test_weak_parts_need_their_complements():
     whole = "user: admin42\nhost db.example.com:5432\nvalue Zx81kQpLm02RtYv7"
     kinds = lambda t: [k for _, _, k in secrets.linked_spans(t, secrets.base_spans(t))]
@@ -113,27 +162,6 @@ def test_weak_parts_need_their_complements():
     assert kinds("user: admin42 " + "x " * 300 + "db.example.com:5432 Zx81kQpLm02RtYv7") == []
 
 
-def test_merkle_audit_finds_what_differs(spark, tmp_path):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(5000)] + [(7, "http://x/7", "<p>7</p>"), (None, None, None)], "page_id long, url string, html string")
-    a = warc.warc_records(pages)
-    path = work_path(spark, "test")
-    warc.store_replica(a, path)
-    b = warc.load_replica(spark, path)
-    assert warc.audit(warc.tree(warc.leaves(a)), warc.tree(warc.leaves(b))).count() == 0
-    broken = b.withColumn("record", F.when(F.col("page_id") == 4321, F.concat(F.substring("record", 1, 20), F.lit("X"), F.substring("record", 22, 10_000))).otherwise(F.col("record")))
-    got = warc.audit(warc.tree(warc.leaves(a)), warc.tree(warc.leaves(broken))).collect()
-    assert [(r.shard, r.seq, r.status) for r in got] == [(1, 4321 - 4096, "changed")]
-    cut = warc.audit(warc.tree(warc.leaves(a)), warc.tree(warc.leaves(b.filter("page_id <> 4999 or page_id is null")))).collect()
-    assert [(r.shard, r.seq, r.status) for r in cut] == [(1, 4999 - 4096, "missing")]
-
-
-def test_warc_round_trip(spark):
-    pages = [(i, f"http://x/{i}", f"<p>é {i}\r\n\r\nWARC/1.1\r\n</p>") for i in range(20)]
-    files = warc.write_warc(warc.warc_records(spark.createDataFrame(pages, "page_id long, url string, html string")))
-    got = {(r.url, r.html) for r in warc.read_warc(files).collect()}
-    assert got == {(u, h) for _, u, h in pages}
-
-
 TOKENIZER = f"{token_counts.TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
