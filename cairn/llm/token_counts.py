@@ -12,7 +12,8 @@ public byte-level vocabulary. A text is cut where a non-space is followed by a s
 of the vocabulary's split pattern crosses such a place, so each distinct piece is encoded once.
 
 Defined cases: null text counts as the empty text (a document with 0 tokens); null source and
-language are groups of their own; repeated rows are separate documents; an empty table gives no rows.
+language are groups of their own; repeated rows are separate documents; a very long text is counted whole; extra
+columns are kept by ``count_tokens`` and ignored by ``deltas``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,32 +48,37 @@ class Bpe:
         self.name = os.path.basename(path).split(".")[0]
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encoding, self._cache = None, {}
+        self._encoding, self._pieces = None, None
 
     def __getstate__(self):
-        return {"name": self.name, "ranks": self.ranks, "_encoding": None, "_cache": {}}
+        return {"name": self.name, "ranks": self.ranks, "_encoding": None, "_pieces": None}
 
     def count(self, text: str | None) -> int:
         if self._encoding is None:
             import tiktoken
 
             self._encoding = tiktoken.Encoding(self.name, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+            self._pieces = _Pieces(self._encoding.encode_ordinary)
         if not text:
             return 0
         if _ODD.search(text):
             return len(self._encoding.encode_ordinary(text))
-        cache, encode, total = self._cache, self._encoding.encode_ordinary, 0
-        for m in _PIECE.finditer(text):
-            piece = m[0]
-            n = cache.get(piece)
-            if n is None:
-                n = len(encode(piece))
-                if len(piece) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = n
-            total += n
-        return total
+        return sum(map(self._pieces.__getitem__, _PIECE.findall(text)))
+
+
+class _Pieces(dict):
+    """Tokens of each piece; a missing one is encoded once and kept while there is room."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encode(piece))
+        if len(piece) < 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = n
+        return n
 
 
 def _count(bpe: Bpe, names: list[str]):
@@ -148,19 +154,18 @@ def op7_token_counts(spark, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bp
     blank lines collapsed), delete the toxic ones, with a batch sent twice; the totals that remain."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    low = materialize(labels.filter("quality = 0").select("doc_id"), "low")
+    toxic = materialize(labels.filter("toxic = 1").select("doc_id"), "toxic")
     store = work_path(spark, "counts")
     for version in (None, Bpe(tokenizer)):
-        new_text = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
-        both = docs.select("doc_id", "source", "lang", F.explode(F.array(F.struct(F.lit(False).alias("new"), "text"), F.struct(F.lit(True).alias("new"), new_text.alias("text")))).alias("x")).select("doc_id", "source", "lang", "x.new", "x.text") if version is not None else docs.withColumn("new", F.explode(F.array(F.lit(False), F.lit(True))))
-        counted = materialize(count_tokens(both, version), "counted")
-        old, new = counted.filter("not new"), counted.filter("new")
         name = version.name if version is not None else WORDS
-        marked = labels.select("doc_id", "toxic", "quality")
+        revised = docs.join(low, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+        old = materialize(count_tokens(docs, version), "counted")
+        new = materialize(count_tokens(revised, version), "recounted")  # only what is revised is counted again
         commit(store, f"load-{name}", deltas(after=old))
-        low = marked.filter("quality = 0")
-        commit(store, f"revise-{name}", deltas(after=new.join(low, "doc_id", "left_semi"), before=old.join(low, "doc_id", "left_semi")))
-        state = old.join(low, "doc_id", "left_anti").unionByName(new.join(low, "doc_id", "left_semi"))
-        gone = deltas(before=state.join(marked.filter("toxic = 1"), "doc_id", "left_semi"))
+        commit(store, f"revise-{name}", deltas(after=new, before=old.join(low, "doc_id", "left_semi")))
+        state = old.join(low, "doc_id", "left_anti").unionByName(new)
+        gone = deltas(before=state.join(toxic, "doc_id", "left_semi"))
         for _ in range(2):  # the second commit of the same id changes nothing
             commit(store, f"delete-{name}", gone)
     return totals(spark, store)
