@@ -1,8 +1,8 @@
 """Near copies of the pipeline: SimHash over five-word shingles in the Gray index, every link verified at a similarity of 0.8.
 
 Sixty-four bits and a radius of three cannot hold a Jaccard similarity of 0.8: the bits of such a pair differ with a
-probability of ``DIFFER``. The stage therefore takes ``WORDS`` words of fingerprint and a radius that all but a few
-in a hundred of such pairs keep and that unrelated pairs do not reach. Buckets are tables of sampled bits: as many
+probability of ``DIFFER``. The stage therefore takes ``WORDS`` words of fingerprint and a radius that all but about one
+in a thousand of such pairs keep and that unrelated pairs do not reach. Buckets are tables of sampled bits: as many
 bits as keep a bucket at about ``BUCKET`` rows, and as many tables as ``TARGET`` recall needs at that number of bits (both
 grow with the number of texts). In each bucket the Gray-order index links what lies within the radius.
 
@@ -43,7 +43,7 @@ WORDS = 3
 #: Probability that a bit differs at a similarity of 0.8: the angle between two such sets (cosine 2s / (1 + s)) over pi.
 DIFFER = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 _SPREAD = math.sqrt(64 * WORDS * DIFFER * (1 - DIFFER))
-RADIUS = round(64 * WORDS * DIFFER + 2 * _SPREAD)
+RADIUS = round(64 * WORDS * DIFFER + 3 * _SPREAD)
 FAMILY_RADIUS = round(64 * WORDS * DIFFER + 5.2 * _SPREAD)
 TARGET = 0.95
 BUCKET = 512

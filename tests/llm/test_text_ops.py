@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import html_text, langid, secrets, token_counts
+from cairn.llm import decontam, html_text, langid, secrets, token_counts
 from cairn.llm.common import UID
 
 SF = "/root/testdata/sf0.001"
@@ -91,14 +91,15 @@ def test_rejection_is_calibrated(spark):
     """Texts of a language that was left out are rejected, held-out texts of known ones are not."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
     langs = sorted(r.lang for r in docs.select("lang").distinct().filter("lang is not null").collect())
-    wrong = 0
+    held = docs.filter(langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     for left_out in langs[:2]:
         model = langid.train(docs.filter(~langid.held_out(F.col("doc_id")) & (F.col("lang") != left_out)))
-        got = langid.predict(docs.filter(langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), model, ["doc_id", "lang"]).collect()
-        foreign, own = [r for r in got if r.lang == left_out], [r for r in got if r.lang != left_out and r.lang]
+        foreign = langid.predict(held.filter(F.col("lang") == left_out), model, ["doc_id"]).collect()
         assert sum(r.rejected for r in foreign) >= 0.95 * len(foreign)
-        wrong += sum(r.rejected for r in own)
-    assert wrong == 0
+    model = langid.train_split(docs)
+    assert not any(r.rejected for r in langid.predict(held, model, ["doc_id"]).collect())
+    odd = spark.createDataFrame([(1, "щука плавает в реке и поет"), (2, "日本語のテキスト"), (3, "xqzzk vrtpl wqxkj zzpt qqqq")], "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(odd, model, ["doc_id"]).collect())
 
 
 def brute_secrets(text):
@@ -224,6 +225,39 @@ def test_queries_match_their_sql(spark, name):
     assert said.startswith("ok"), said
 
 
+def kept_by_brute_force(rows):
+    """The smallest id of each group that chains of pairs at a similarity of 0.8 over five-word shingles make."""
+    sets = {}
+    for d, t in rows.items():
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+    root = {d: d for d in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if a < b and (sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d for d in rows if find(d) == d}
+
+
+def leaked(text, bench):
+    """Does any item occur with at most a fifth of its words edited (bit-parallel over the whole text)?"""
+    words_ = decontam.WORD.findall((text or "").lower())
+    for item in bench:
+        own = decontam.WORD.findall(item.lower())
+        if own and decontam.best_edit(own, words_)[0] <= int(decontam.MAX_EDITS * len(own)):
+            return True
+    return False
+
+
 @tables
 def test_pipeline_matches_brute_force_stage_by_stage(spark):
     import corpus_pipeline
@@ -233,7 +267,6 @@ def test_pipeline_matches_brute_force_stage_by_stage(spark):
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     from cairn.llm.common import materialize
-    from cairn.llm.simhash import fingerprint
 
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -249,23 +282,9 @@ def test_pipeline_matches_brute_force_stage_by_stage(spark):
                 groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), d))
             assert kept == {min(g)[1] for g in groups.values()}
         elif name == "near_dedup":
-            fps = {d: fingerprint(t) for d, t in rows.items()}
-            root = {d: d for d in rows}
-
-            def find(x, root=root):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for a in rows:
-                for b in rows:
-                    if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
-                        x, y = sorted((find(a), find(b)))
-                        root[y] = x
-            assert kept == {d for d in rows if find(d) == d}
+            assert kept == kept_by_brute_force(rows)
         else:
-            leaky = {d for d, t in rows.items() if any(b.lower() in t.lower() for b in bench)}
-            assert not kept & leaky and len(rows) - len(kept) <= len(leaky) + 2
+            assert kept == {d for d, t in rows.items() if not leaked(t, bench)}
         before = after
     final = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     sizes = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in before.collect()}
@@ -274,6 +293,23 @@ def test_pipeline_matches_brute_force_stage_by_stage(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
         assert r.mix_size == sizes[r.doc_id]
     assert max(got.values()) <= 2 and set(got) <= set(sizes)
-    total = sum(n * sizes[d] for d, n in got.items())
-    assert abs(total - 1.5 * sum(sizes.values())) < 0.05 * sum(sizes.values())
+    source = {r.doc_id: r.source for r in before.collect()}
+    by_source, taken = {}, {}
+    for d, x in source.items():
+        by_source[x] = by_source.get(x, 0) + sizes[d]
+        taken[x] = taken.get(x, 0) + got.get(d, 0) * sizes[d]
+    order = sorted((x for x in by_source if x is not None), key=lambda x: x.encode()) + [None] * (None in by_source)
+    weight = {x: (3, 1, 2)[i % 3] for i, x in enumerate(order)}
+    full = set()
+    while True:  # reshare what is above twice a source's words until none is
+        left = 1.5 * sum(by_source.values()) - sum(2 * by_source[x] for x in full)
+        unit = left / max(1, sum(w for x, w in weight.items() if x not in full))
+        over = {x for x in by_source if x not in full and unit * weight[x] > 2 * by_source[x]}
+        if not over:
+            break
+        full |= over
+    for x, words_ in by_source.items():
+        target = 2 * words_ if x in full else unit * weight[x]
+        own = [sizes[d] for d in source if source[d] == x]
+        assert abs(taken[x] - target) <= max(0.02 * target, max(own) / 2 + 1), x
     assert UID not in final.columns
