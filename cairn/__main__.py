@@ -1,4 +1,4 @@
-"""Command line: scan, context, expand, start, gate, watch, serve."""
+"""Command line: scan, context, layer, expand, start, report, gate (init, check, diff), watch, serve, language server."""
 
 from __future__ import annotations
 
@@ -8,96 +8,78 @@ import sys
 
 from cairn import ci
 from cairn.engine import Engine
+from cairn.functions.text import PROFILES
+from cairn.service import Service
 from cairn.session import local_session
 from cairn.sources import scan
 
-#: Service methods: name to (engine method, names of its arguments).
-METHODS = {
-    "overview": ("overview", ()),
-    "query": ("find_symbols", ("query",)),
-    "deps": ("file_deps", ("path",)),
-    "search": ("search_files", ("keyword",)),
-    "regex_query": ("regex_symbols", ("pattern",)),
-    "find_related": ("related", ("symbol",)),
-    "trace_callers": ("trace_callers", ("symbol",)),
-    "trace_callees": ("trace_callees", ("symbol",)),
-    "context_for_symbol": ("symbol_context", ("symbol",)),
-    "deep_dive": ("deep_dive", ("symbol",)),
-    "semantic_search": ("semantic_search", ("query",)),
-    "smart_start": ("smart_start", ("task",)),
-    "workspace_symbols": ("workspace_symbols", ("query",)),
-    "references": ("references", ("symbol",)),
-    "statistics": ("statistics", ()),
-}
-
-
-def answer(engine: Engine, request: dict) -> dict:
-    """API-27: one JSON-RPC request: tools/list, or tools/call with name and arguments; rows come back as JSON, 100 at most."""
-    base = {"jsonrpc": "2.0", "id": request.get("id")}
-    if request.get("method") == "tools/list":
-        return base | {"result": {"tools": [{"name": n, "arguments": list(a)} for n, (_, a) in METHODS.items()]}}
-    params = request.get("params") or {}
-    if request.get("method") != "tools/call" or params.get("name") not in METHODS | {"context": None}:
-        return base | {"error": {"code": -32601, "message": "no such method"}}
-    args = params.get("arguments") or {}
-    try:
-        if params["name"] == "context":
-            return base | {"result": engine.context(args["task"], int(args.get("budget", 4096)), args.get("form", "json"))}
-        method, names = METHODS[params["name"]]
-        rows = getattr(engine, method)(*[args[n] for n in names]).limit(100).toJSON().collect()
-    except Exception as e:
-        return base | {"error": {"code": -32000, "message": f"{type(e).__name__}: {e}"[:500]}}
-    return base | {"result": [json.loads(r) for r in rows]}
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="cairn", description=__doc__)
-    p.add_argument("command", choices=["scan", "context", "expand", "start", "init", "check", "watch", "serve"])
+    p.add_argument("command", choices=["scan", "context", "layer", "focus", "expand", "start", "advise", "view", "init", "check", "diff", "report", "watch", "serve", "lsp"])
     p.add_argument("root")
     p.add_argument("--task", default="")
     p.add_argument("--symbol", default="")
     p.add_argument("--budget", type=int, default=4096)
+    p.add_argument("--profile", default="custom", choices=[*PROFILES, "custom"])
+    p.add_argument("--tier", default="all", choices=["all", "critical", "workflow", "support"])
+    p.add_argument("--staged", nargs="*", default=[])
     p.add_argument("--form", default="compact", choices=["compact", "json", "xml", "markdown"])
     p.add_argument("--out", default="")
     p.add_argument("--baseline", default=".cairn-baseline")
     a = p.parse_args(argv)
     spark = local_session()
     engine = Engine.from_path(spark, a.root)
+    budget = PROFILES.get(a.profile, a.budget)
+    say = lambda text: scan.write_text(spark, text, a.out) if a.out else print(text)
     if a.command == "scan":
         if a.out:
             scan.write_graph(engine.tables(), a.out)
         print(engine.statistics().toJSON().first())
     elif a.command == "context":
-        text = engine.context(a.task, a.budget, a.form)
-        scan.write_text(text, a.out) if a.out else print(text)
+        say(engine.context(a.task, budget, a.form))
+    elif a.command == "layer":
+        say(json.dumps(engine.context_layer(a.task, a.tier, budget)))
+    elif a.command == "focus":
+        say(engine.focused_context(a.task, budget))
     elif a.command == "expand":
         print("\n".join(engine.symbol_context(a.symbol).toJSON().collect()))
     elif a.command == "start":
         print(engine.smart_start(a.task).toJSON().first())
+    elif a.command == "advise":
+        print("\n".join(r.id for r in engine.not_staged(a.task, a.staged, budget).collect()))
+    elif a.command == "view":
+        say(scan.render_html(engine.bundle()))
     elif a.command == "init":
         ci.take_snapshot(engine, a.baseline)
-    elif a.command == "check":
+    elif a.command in ("check", "diff", "report"):
         old = spark.read.parquet(a.baseline)
         ci.take_snapshot(engine, f"{a.baseline}-now")
         new = spark.read.parquet(f"{a.baseline}-now")
         changes = ci.compare_snapshots(old, new)
+        if a.command == "diff":
+            print("\n".join(changes.orderBy("kind", "key").limit(1000).toJSON().collect()))
+            return 0
         row = ci.verdict(old, new, changes).first()
-        text = ci.report(row, changes)
-        scan.write_text(text, a.out) if a.out else print(text)
-        return int(bool(row.failed))
+        say(ci.report(row, changes))
+        return int(bool(row.failed)) if a.command == "check" else 0
     elif a.command == "watch":
         from cairn.streaming.watch import file_stream, watch
 
+        held = [engine]
+
         def tell(batch, no: int) -> None:
             paths = [r.path for r in batch.select("path").limit(20).collect()]
-            fresh = Engine.from_path(spark, a.root)
-            print(json.dumps({"batch": no, "paths": paths, "statistics": json.loads(fresh.statistics().toJSON().first())}), flush=True)
+            held[0] = held[0].rescanned(a.root)  # files with the same digest are not parsed again
+            print(json.dumps({"batch": no, "paths": paths, "statistics": json.loads(held[0].statistics().toJSON().first())}), flush=True)
 
         watch(file_stream(spark, a.root), tell, f"{a.baseline}-watch").awaitTermination()
+    elif a.command == "lsp":
+        Service(engine, a.root).serve_language(sys.stdin.buffer, sys.stdout.buffer)
     else:
+        service = Service(engine, a.root)
         for line in sys.stdin:
             if line.strip():
-                print(json.dumps(answer(engine, json.loads(line))), flush=True)
+                print(json.dumps(service.answer(json.loads(line))), flush=True)
     return 0
 
 

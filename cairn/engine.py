@@ -6,6 +6,7 @@ per engine.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import cached_property
 
@@ -307,6 +308,92 @@ class Engine:
         out = pack.document(fit, F.col("block"), ["task_id"], [tier, *order], header=f"# task: {task}\n# budget: {budget}\n").first()
         return out.text if out else f"# task: {task}\n# budget: {budget}\n"
 
+    def not_staged(self, task: str, staged: list[str], budget: int = 4096) -> DataFrame:
+        """JN-31: chosen symbols whose files are not among those of a change."""
+        return self.select(task, budget).filter(~F.col("file").isin(staged) if staged else F.lit(True))
+
+    def context_layer(self, task: str, tier: str = "all", budget: int = 4096, code: bool = True) -> dict:
+        """FMT-07: the chosen symbols of one tier or of all as objects, with code while the budget lasts, then without it, and how many are left out."""
+        chosen = self.select(task, budget)
+        rows = chosen if tier == "all" else chosen.filter(F.col("tier") == tier)
+        text = self.source.select(F.col("path").alias("file"), snippet.lines_of(F.col("content")).alias("_all"))
+        body = snippet.contextual(snippet.body(F.col("_all"), F.col("start_line"), F.col("end_line")), F.col("signature"), F.col("tier"), F.col("kws"))
+        rows = rows.join(text, "file", "left").withColumn("code", F.coalesce(body, F.lit("")) if code else F.lit("")).drop("_all")
+        keep = ["id", "name", "kind", "file", "tier", "signature", "confidence", "summary"]
+        bare, whole = F.to_json(F.struct(*keep)), F.to_json(F.struct(*keep, "code"))
+        rows = rows.withColumns({"full": self.count_tokens(whole), "ref_cost": self.count_tokens(bare)})
+        # support rows may have code here too, so the fold sees one tier
+        fit = pack.three_way_fit(rows.withColumns({"own": F.col("tier"), "tier": F.lit("critical"), "cost": F.col("full")}), ["task_id"], [select.tier_number(F.col("own"), select.TIER_WEIGHT).desc(), F.col("score").desc(), F.col("id")], budget)
+        fit = graph.cut(fit.withColumn("tier", F.col("own")))
+        shown = fit.filter("form <> 'omitted'").orderBy(select.tier_number(F.col("tier"), select.TIER_WEIGHT).desc(), F.col("score").desc(), "id")
+        made = shown.select(*keep, F.when(F.col("form") == "full", F.col("code")).alias("code")).toJSON().collect()  # bounded by the budget
+        used = fit.agg(F.max("used").alias("u")).first().u
+        return {"task": task, "tier": tier, "symbols": [json.loads(r) for r in made], "omitted": fit.filter("form = 'omitted'").count(), "used": used or 0, "budget": budget}
+
+    def focused_context(self, task: str, budget: int = 4096) -> str:
+        """API-05 and FMT-08: the context of the symbols where there are any, else blocks of the files that match best, until the budget is used."""
+        if not self.symbols.isEmpty():
+            return self.context(task, budget, "json")
+        kws = list(self._task(task).first()["kws"]) or task.lower().split()[:5]
+        found = rollup.focused_files(self.files, kws)
+        listed = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+        head = F.concat(F.lit("### "), "id", F.lit(" [score:"), F.round("score", 1).cast("string"), F.lit(" | "), F.col("lines").cast("string"), F.lit("L]"))
+        block = F.concat_ws("\n", head, F.when(F.col("summary") != "", F.concat(F.lit("> "), "summary")), F.when(F.size("names") > 0, F.concat(F.lit("SYMBOLS: "), listed("names", 15))), F.when(F.size("imports") > 0, F.concat(F.lit("DEPENDS: "), listed("imports", 8))))
+        rows = found.withColumns({"one": F.lit(1), "block": block}).withColumn("cost", self.count_tokens(F.col("block")))
+        order = [F.col("score").desc(), F.col("id")]
+        fit = pack.prefix_fit(rows, ["one"], order, budget)
+        out = pack.document(fit, F.col("block"), ["one"], order, header=f"FOCUSED CONTEXT for: {task}\nKeywords: {', '.join(kws)}\n\n").first()
+        return out.text if out else f"no file matches: {task}"
+
+    # projects
+
+    def framework_overview(self) -> DataFrame:
+        return projects.framework_overview(self.source)
+
+    def framework_routes(self) -> DataFrame:
+        return projects.framework_routes(self.source)
+
+    def framework_schema(self) -> DataFrame:
+        return projects.framework_schema(self.source)
+
+    def recent_errors(self, path: str) -> DataFrame:
+        return projects.recent_errors(projects.read_log(self.spark, path))
+
+    def is_monorepo(self) -> bool:
+        """HLP-06."""
+        return not projects.workspaces(self.source).isEmpty()
+
+    def domain_by_examples(self, examples: DataFrame) -> DataFrame:
+        """AG-06 and AG-07: the domain whose examples (``domain, id, tokens``, any number of domains) the project's first symbols and imports are nearest to."""
+        words = score.idf(examples)
+        first = self.files.select(F.explode(F.concat(F.slice("names", 1, 50), F.slice("imports", 1, 30))).alias("t")).orderBy("t").limit(80)
+        vector = first.agg(F.array_join(F.collect_list("t"), " ").alias("t")).select(F.lit("project").alias("id"), T.vector_tokens("t").alias("tokens"))
+        return semantic.detect_domain(semantic.tfidf(vector, idf=words), semantic.prototypes(examples, words))
+
+    def rescanned(self, root: str | DataFrame) -> Engine:
+        """API-08, SRC-02 and ST-03: the engine of the tree as it is now (a folder, or its files); files whose digest has not changed are not parsed again."""
+        source = graph.cut(scan.scan_files(self.spark, root) if isinstance(root, str) else root)
+        fresh = Engine(self.spark, source, self.hot, self.synonyms, self.count_tokens)
+        same = source.select("path", "hash").join(self.source.select("path", "hash"), ["path", "hash"], "left_semi").select(F.col("path").alias("file"))
+        kept = self.parsed.join(same, "file", "left_semi")
+        code = source.filter(~scan.skipped(F.col("path"), F.octet_length("content")))
+        changed = code.join(same.withColumnRenamed("file", "path"), "path", "left_anti")
+        fresh.parsed = graph.cut(kept.unionByName(extract.parse_files(changed)))
+        return fresh
+
+    def save_semantic(self, path: str) -> None:
+        """SNK-08: the IDF and the weights of the symbols as tables."""
+        docs = graph.cut(self.symbols.select("id", T.vector_tokens(T.search_text("name", "kind", "file", "signature")).alias("tokens")))
+        words = score.idf(docs)
+        scan.write_graph({"idf": words, "weights": semantic.tfidf(docs, idf=words)}, path)
+
+    def bundle(self, most: int = 2000) -> dict:
+        """SNK-04 and SNK-10: the clipped files and edges that a page shows, the most important ones."""
+        files = pack.compact_graph(self.files.select("id", "lines", "importance", "role", F.col("names").alias("symbols"), "summary").orderBy(F.col("importance").desc(), "id").limit(most))
+        edges = self.file_edges.select("source", "target", "kind").orderBy("source", "target").limit(5 * most)
+        rows = lambda df: [json.loads(r) for r in df.toJSON().collect()]
+        return {"files": rows(files), "edges": rows(edges)}
+
     def tables(self) -> dict[str, DataFrame]:
         return {"files": self.files, "file_edges": self.file_edges, "symbols": self.symbols, "symbol_edges": self.symbol_edges}
 

@@ -127,11 +127,11 @@ def is_source_path(path: Column) -> Column:
     return extension(path).isin(*SOURCE_EXTENSIONS) & ~is_test_path(path)
 
 
-def is_false_pair(keyword: Column, tokens: Column) -> Column:
-    """FLT-10: does a name with these tokens look like the keyword by accident?"""
+def is_false_pair(keyword: Column, tokens: Column, pairs: tuple[tuple[str, str], ...] = FALSE_PAIRS) -> Column:
+    """FLT-10: does a name with these tokens look like the keyword by accident? UD-06: the pairs are a parameter."""
     out = F.lit(False)
-    for k in sorted({k for k, _ in FALSE_PAIRS}):
-        bad = strings([t for a, t in FALSE_PAIRS if a == k])
+    for k in sorted({k for k, _ in pairs}):
+        bad = strings([t for a, t in pairs if a == k])
         out = out | ((keyword == k) & F.arrays_overlap(tokens, bad))
     return out
 

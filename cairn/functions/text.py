@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # Words that never make a keyword.
 STOP_WORDS = tuple(
@@ -118,6 +123,35 @@ def estimate_tokens(text, model: str = "default") -> Column:
     return F.greatest(F.lit(1), F.floor(n / F.lit(k)).cast("int"))
 
 
+def token_counter(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
+    """UD-01 and PRJ-05: a function of a text column that counts the tokens of a public rank file (base64 token and rank a line) under its split pattern.
+
+    The file is read where this is called; workers get its contents and build the encoder once."""
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    held: dict = {}
+
+    @pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        if "encode" not in held:
+            import tiktoken
+
+            held["encode"] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return texts.map(lambda t: len(held["encode"](t or "")))
+
+    return lambda text: count(_c(text))
+
+
+# Words that never make a token of a benchmark task.
+TASK_STOP_WORDS = tuple("the a an is are to of in for on with at by from and or not fix add update change when empty wrong support".split())
+
+
+def benchmark_tokens(task) -> Column:
+    """PRJ-04: distinct tokens of a benchmark task in order, over two characters; ``:`` splits too."""
+    words = identifier_tokens(F.regexp_replace(F.coalesce(_c(task), F.lit("")), ":+", " "))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(strings(TASK_STOP_WORDS), w)))
+
+
 def budget(profile, tokens) -> Column:
     """PRJ-06: tokens of a profile; ``custom`` takes the argument; other names are errors."""
     p = _c(profile)

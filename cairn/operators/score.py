@@ -36,12 +36,12 @@ def task_idf(tokens: DataFrame, task_words: DataFrame) -> DataFrame:
     return found.groupBy("task_id").agg(sorted_.alias("x")).select("task_id", F.col("x.token").alias("kws"), F.col("x.idf").alias("idfs"))
 
 
-def task_score(kws: Column, idfs: Column) -> Column:
+def task_score(kws: Column, idfs: Column, pairs: tuple = C.FALSE_PAIRS) -> Column:
     """FN-04 over the columns of ``symbol_tokens``; keywords of falsely similar names count for nothing."""
-    pairs = F.arrays_zip(kws.alias("k"), idfs.alias("w"))
+    weighted = F.arrays_zip(kws.alias("k"), idfs.alias("w"))
     name, file, sig, every = F.col("t_name"), F.col("t_file"), F.col("t_sig"), F.col("t_all")
     lname, lfile = F.lower(C.s("name")), F.lower(C.s("file"))
-    total = lambda tokens: F.aggregate(F.filter(pairs, lambda p: F.array_contains(tokens, p["k"])), F.lit(0.0), lambda a, p: a + p["w"])
+    total = lambda tokens: F.aggregate(F.filter(weighted, lambda p: F.array_contains(tokens, p["k"])), F.lit(0.0), lambda a, p: a + p["w"])
     count = lambda tokens: F.size(F.array_intersect(kws, tokens))
     base = count(name) * 0.0
     base = base + F.when(count(name) > 0, count(name) * (5.0 + 0.5 * total(name))).otherwise(0.0)
@@ -62,17 +62,17 @@ def task_score(kws: Column, idfs: Column) -> Column:
         )
         in_file = F.when(F.contains(lfile, k), 0.45 * w * (1 + 0.3 * extra)).otherwise(0.0)
         long_hit = F.when(F.exists(name, lambda t: (t == k) & (F.length(t) > 4)) & (F.length(k) > 3), 0.5 * w).otherwise(0.0)
-        return F.when(C.is_false_pair(k, name), 0.0).otherwise(in_name + in_file + long_hit)
+        return F.when(C.is_false_pair(k, name, pairs), 0.0).otherwise(in_name + in_file + long_hit)
 
-    return base + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + per_keyword(p))
+    return base + F.aggregate(weighted, F.lit(0.0), lambda a, p: a + per_keyword(p))
 
 
-def score_tasks(symbols: DataFrame, tasks: DataFrame) -> DataFrame:
+def score_tasks(symbols: DataFrame, tasks: DataFrame, pairs: tuple = C.FALSE_PAIRS) -> DataFrame:
     """Every symbol against every task: ``task_score, overlap``. Tasks are few and stated by the caller; they are broadcast."""
     tokens = symbol_tokens(symbols)
     words = task_idf(idf(tokens, "t_all"), tasks)
     rows = tokens.crossJoin(F.broadcast(words))
-    return rows.withColumns({"task_score": task_score(F.col("kws"), F.col("idfs")), "overlap": F.size(F.array_intersect("kws", "t_all"))})
+    return rows.withColumns({"task_score": task_score(F.col("kws"), F.col("idfs"), pairs), "overlap": F.size(F.array_intersect("kws", "t_all"))})
 
 
 def final_score(task: Column, most: Column, graph: Column, kws: Column, intents: Column, hotspot: Column) -> Column:

@@ -9,7 +9,7 @@ from cairn.functions import text as T
 from cairn.operators import evals, pack, rollup, score
 from cairn.sources import projects, resolve
 
-from .inputs import PAGE_PATHS_SQL, SUPPLY_EDGES_SQL, SYMBOLS_SQL, page_paths, supply_edges, symbols, table
+from .inputs import PAGE_PATHS_SQL, SUPPLY_EDGES_SQL, SYMBOLS_SQL, ordered_distinct, page_paths, sql_list, supply_edges, symbols, table, tok
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -45,6 +45,12 @@ def symbol_kinds(spark, d):
     return symbols(spark, d).select("no", T.lsp_kind(F.upper("kind")).alias("code"))
 
 
+@query("benchmark_tokens", f"SELECT conv_id, turn, array_to_string({ordered_distinct('list_filter(' + tok("replace(coalesce(text, chr(32)), ':', ' ')") + ', lambda w: length(w) > 2 AND NOT list_contains(' + sql_list(T.TASK_STOP_WORDS) + ', w))')}, ' ') AS tokens FROM conversations")
+def benchmark_tokens(spark, d):
+    """PRJ-04."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.benchmark_tokens("text"), " ").alias("tokens"))
+
+
 _TIER = "CASE WHEN size > 35 THEN 'critical' WHEN size > 15 THEN 'workflow' ELSE 'support' END"
 
 

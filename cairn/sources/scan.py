@@ -130,10 +130,14 @@ def write_json_bundle(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def write_text(text: str, path: str) -> None:
-    """SNK-02, SNK-03, SNK-06, SNK-07: a report that the driver holds as one string."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """SNK-02, SNK-03, SNK-06, SNK-07: a report that the driver holds as one string, to any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def render_html(bundle: dict, template: str | None = None) -> str:
@@ -153,6 +157,6 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     alias = {"must": ("must_include", "must_include_ids", "expected_top_symbols"), "must_not": ("must_not_include", "must_not_include_ids", "forbidden_top_symbols"), "budget": ("budget", "max_tokens"), "case_id": ("id", "case_id")}
     for name, options in alias.items():
         have = [F.col(o) for o in options if o in rows.columns]
-        if have and name not in rows.columns:
+        if have:
             rows = rows.withColumn(name, F.coalesce(*have))
     return rows
