@@ -3,8 +3,8 @@
 Pages become WARC resource records. A shard is one WARC: the records of ``SHARD_PAGES`` consecutive page ids in order, so that a
 record's range is where it stands in the shard's bytes. A leaf hashes a record together with its ordered range, a node the
 hashes of ``FAN`` children in order, and a top node stands for all its bytes and their order. The levels of a tree are stored
-tables. A replica's tree is measured from its own bytes, cut at the ranges of the original and never decoded, so damaged headers and
-bytes that are no text are only other bytes. Two trees are compared top by top; below nodes that agree nothing is joined, and the
+tables. A replica is the shards' bytes beside the lengths of their records, as an index file has them; its tree is measured from the bytes, cut
+at those lengths and never decoded, so damaged headers and bytes that are no text are only other bytes. Two trees are compared top by top; below nodes that agree nothing is joined, and the
 descent ends at the records that are changed, missing or extra. All of it is DataFrame operations.
 
 A shard that holds more than ``SHARD_ROWS`` records (repeated page ids) is dealt to parts by the records' hashes.
@@ -50,7 +50,7 @@ def warc_records(pages: DataFrame, date: str = DATE) -> DataFrame:
         html,
         F.lit("\r\n\r\n"),
     )
-    rows = with_uid(pages).select(UID, pages["page_id"].cast("long").alias("page_id"), F.encode(record, "UTF-8").alias("record"))
+    rows = with_uid(pages).select(UID, pages["page_id"].cast("long").alias("page_id"), record.alias("record"))
     shard = F.coalesce(F.floor(F.col("page_id") / SHARD_PAGES), -1 - F.pmod(F.xxhash64("record"), F.lit(NULL_SHARDS)))
     rows = rows.select(UID, "page_id", shard.alias("shard"), F.sha2("record", 256).alias("key"), "record")
     count = rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS)
@@ -104,25 +104,27 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
 
 
 def write_warc(records: DataFrame) -> DataFrame:
-    """``shard, part, bytes``: one WARC a shard, its records in order."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "key", "record"))), lambda x: x["record"])
-    return records.groupBy(*SHARD).agg(F.unhex(F.array_join(F.transform(parts, F.hex), "")).alias("bytes"))
-
-
-def measure(replica: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The ranges of a replica (``shard, part, bytes``), measured from its bytes at the places that ``manifest`` (``ranges`` of the original)
-    names: those that its bytes do not reach are not there, and bytes beyond the last make one range more."""
-    wanted = manifest.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length"))).alias("wanted"))
-    rows = replica.join(wanted, SHARD, "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<struct<seq:bigint,offset:bigint,length:bigint>>")))
-    rows = rows.withColumn("size", F.octet_length("bytes").cast("long"))
-    last = F.try_element_at(F.col("wanted"), F.lit(-1))
-    end = F.coalesce(last["offset"] + last["length"], F.lit(0).cast("long"))
-    more = F.array(F.struct((F.coalesce(last["seq"], F.lit(-1).cast("long")) + 1).alias("seq"), end.alias("offset"), (F.col("size") - end).alias("length")))
-    there = F.filter("wanted", lambda r: r["offset"] < F.col("size"))
-    every = F.when(F.col("size") > end, F.concat(there, more)).otherwise(there)
-    cut = F.transform(every, lambda r: F.struct(r["seq"].alias("seq"), r["offset"].alias("offset"), F.least(r["length"], F.col("size") - r["offset"]).alias("length")))
-    sha = lambda r: F.sha2(F.substring(F.col("bytes"), (r["offset"] + 1).cast("int"), r["length"].cast("int")), 256)
-    found = F.transform(cut, lambda r: F.struct(r["seq"].alias("seq"), r["offset"].alias("offset"), r["length"].alias("length"), sha(r).alias("sha")))
+    """``shard, part, bytes, lengths``: one WARC a shard, its records in order, and how long each is."""
+    rows = records.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("page_id", "key", "record"))).alias("rows"))
+    whole = F.array_join(F.transform("rows", lambda x: x["record"]), "").cast("binary")
+    return rows.select(*SHARD, whole.alias("bytes"), F.transform("rows", lambda x: F.octet_length(x["record"]).cast("long")).alias("lengths"))
+
+
+def _sum(xs) -> F.Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def measure(replica: DataFrame) -> DataFrame:
+    """The ranges of a replica (``shard, part, bytes, lengths``), measured from its bytes: those that the bytes do not reach are not there, and
+    bytes beyond the last make one range more."""
+    rows = replica.withColumn("size", F.octet_length("bytes").cast("long")).withColumn("end", _sum(F.col("lengths")))
+    index = F.transform("lengths", lambda x, i: F.struct(i.cast("long").alias("seq"), _sum(F.slice("lengths", F.lit(1), i)).alias("offset"), x.alias("length")))
+    there = F.filter(index, lambda r: r["offset"] < F.col("size"))
+    more = F.array(F.struct(F.size("lengths").cast("long").alias("seq"), F.col("end").alias("offset"), (F.col("size") - F.col("end")).alias("length")))
+    every = F.when(F.col("size") > F.col("end"), F.concat(there, more)).otherwise(there)
+    length = lambda r: F.least(r["length"], F.col("size") - r["offset"])
+    sha = lambda r: F.sha2(F.substring(F.col("bytes"), (r["offset"] + 1).cast("int"), length(r).cast("int")), 256)
+    found = F.transform(every, lambda r: F.struct(r["seq"].alias("seq"), r["offset"].alias("offset"), length(r).alias("length"), sha(r).alias("sha")))
     return rows.select(*SHARD, F.inline(found))
 
 
@@ -152,18 +154,17 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.select("bytes").mapInArrow(_parsed, "offset long, url string, html string")
 
 
-def damaged(replica: DataFrame, manifest: DataFrame) -> DataFrame:
-    """A replica with known damage, for drills: in every fifth shard from 2 on one byte of the record 7 (modulo the records) is turned over, in every
-    fifth from 3 on the last record is cut off."""
-    rows = replica.join(manifest.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length"))).alias("at")), SHARD)
-    hit = F.element_at("at", (F.lit(7) % F.size("at") + 1).cast("int"))
-    place = (hit["offset"] + 30).cast("int")  # in the header, after its first line
-    text = F.hex("bytes")
-    other = F.when(F.substring(text, 2 * place + 1, F.lit(2)) == "FF", "00").otherwise("FF")
-    turned = F.unhex(F.concat(F.substring(text, F.lit(1), 2 * place), other, F.substring(text, 2 * place + 3, F.length(text))))
-    cut = F.substring(F.col("bytes"), F.lit(1), F.element_at("at", -1)["offset"].cast("int"))
-    kind = F.pmod(F.col("shard"), F.lit(5))
-    return rows.select(*SHARD, F.when(kind == 2, turned).when(kind == 3, cut).otherwise(F.col("bytes")).alias("bytes"))
+def damaged(replica: DataFrame) -> DataFrame:
+    """A replica with known damage, for drills: in every fourth shard one byte of the record 7 (modulo the records) is turned over, in every
+    second the last record is cut off."""
+    n = F.size("lengths")
+    place = (_sum(F.slice("lengths", F.lit(1), F.lit(7) % n)) + 30).cast("int")  # in the header, after its first line
+    part = lambda start, length: F.substring(F.col("bytes"), start, length)
+    other = F.when(F.hex(part(place + 1, F.lit(1))) == "FF", F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("FF")))
+    turned = F.concat(part(F.lit(1), place), other, part(place + 2, F.octet_length("bytes")))
+    rows = replica.withColumn("bytes", F.when(F.pmod("shard", F.lit(4)) == 0, turned).otherwise(F.col("bytes")))
+    cut = F.substring(F.col("bytes"), F.lit(1), _sum(F.slice("lengths", F.lit(1), n - 1)).cast("int"))
+    return rows.withColumn("bytes", F.when(F.pmod("shard", F.lit(2)) == 0, cut).otherwise(F.col("bytes")))
 
 
 def op5_warc_fixity(spark, sf_dir: str) -> DataFrame:
@@ -171,10 +172,10 @@ def op5_warc_fixity(spark, sf_dir: str) -> DataFrame:
     records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     manifest = materialize(ranges(records), "manifest")
     path = work_path(spark, "replica")
-    damaged(write_warc(records), manifest).write.parquet(path)
+    damaged(write_warc(records)).write.parquet(path)
     replica = spark.read.parquet(path)
     ours = tree(leaves(manifest))
-    bad = audit(ours, tree(leaves(measure(replica, manifest))))
+    bad = audit(ours, tree(leaves(measure(replica))))
     root = ours[LEVELS].select(*SHARD, F.col("node").alias("top"), F.col("hash").alias("root_sha256"))
     rows = manifest.join(ours[0].select(*SHARD, F.col("node").alias("seq"), F.col("hash").alias("leaf_sha256")), [*SHARD, "seq"])
     rows = rows.withColumn("top", F.floor(F.col("seq") / FAN**LEVELS)).join(root, [*SHARD, "top"])
@@ -199,6 +200,6 @@ l0 AS (SELECT page_id, shard, n, seq, off, length, sha256(concat_ws(':', seq, of
 l1 AS (SELECT shard, seq // {FAN} AS n, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM l0 GROUP BY ALL),
 l2 AS (SELECT shard, n // {FAN} AS m, sha256(string_agg(h, '' ORDER BY n)) AS h FROM l1 GROUP BY ALL)
 SELECT l0.page_id, l0.shard, l0.seq, l0.off AS "offset", l0.length, l0.h AS leaf_sha256, l2.h AS root_sha256,
-       CASE WHEN l0.shard % 5 = 2 AND l0.seq = 7 % l0.n THEN 'changed' WHEN l0.shard % 5 = 3 AND l0.seq = l0.n - 1 THEN 'missing' ELSE 'intact' END AS status
+       CASE WHEN l0.shard % 2 = 0 AND l0.seq = l0.n - 1 THEN 'missing' WHEN l0.shard % 4 = 0 AND l0.seq = 7 % l0.n THEN 'changed' ELSE 'intact' END AS status
 FROM l0 JOIN l2 ON l0.shard = l2.shard AND l0.seq // {FAN**LEVELS} = l2.m
 """

@@ -22,7 +22,7 @@ def pages(n):
 
 def found(manifest, replica):
     ours = warc.tree(warc.leaves(manifest))
-    bad = warc.audit(ours, warc.tree(warc.leaves(warc.measure(replica, manifest)))).collect()
+    bad = warc.audit(ours, warc.tree(warc.leaves(warc.measure(replica)))).collect()
     return sorted((r.shard, r.seq, r.status) for r in bad)
 
 
