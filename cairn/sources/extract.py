@@ -45,6 +45,7 @@ VARIABLE_WORDS = frozenset("const let var".split())
 #: Languages whose functions may be declared by a type alone, and those whose blocks are not in braces.
 BRACED = frozenset("js ts jsx tsx mjs cjs vue c cpp cc h hpp java go rs php cs swift kt scala".split())
 SCRIPTS = frozenset("js ts jsx tsx mjs cjs vue".split())
+# How comments begin that tell nothing about a file.
 SKIPPED_NOTES = ("copyright", "license", "eslint", "@ts-", "type:", "noqa", "pylint", "!/")
 
 
