@@ -5,7 +5,7 @@ record's range is where it stands in the shard's bytes. A leaf hashes a record t
 hashes of ``FAN`` children in order, and a top node stands for all its bytes and their order. The levels of a tree are stored
 tables. A replica is the shards' bytes beside the lengths of their records, as an index file has them; its tree is measured from the bytes, cut
 at those lengths and never decoded, so damaged headers and bytes that are no text are only other bytes. Two trees are compared top by top; below nodes that agree nothing is joined, and the
-descent ends at the records that are changed, missing or extra. All of it is DataFrame operations.
+descent ends at the records that are changed, missing or extra. Only the cutting of bytes runs in Python; all else are DataFrame operations.
 
 A shard that holds more than ``SHARD_ROWS`` records (repeated page ids) is dealt to parts by the records' hashes.
 
@@ -16,6 +16,7 @@ ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,25 +108,32 @@ def write_warc(records: DataFrame) -> DataFrame:
     """``shard, part, bytes, lengths``: one WARC a shard, its records in order, and how long each is."""
     rows = records.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("page_id", "key", "record"))).alias("rows"))
     whole = F.array_join(F.transform("rows", lambda x: x["record"]), "").cast("binary")
-    return rows.select(*SHARD, whole.alias("bytes"), F.transform("rows", lambda x: F.octet_length(x["record"]).cast("long")).alias("lengths"))
+    return rows.select(F.col("shard").cast("long").alias("shard"), "part", whole.alias("bytes"), F.transform("rows", lambda x: F.octet_length(x["record"]).cast("long")).alias("lengths"))
 
 
 def _sum(xs) -> F.Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for shard, part, data, lengths in zip(*(b.column(c) for c in (*SHARD, "bytes", "lengths")), strict=True):
+            whole = memoryview(data.as_buffer()) if data.is_valid else memoryview(b"")
+            at, rows = 0, []
+            for n in [*(lengths.as_py() or []), max(0, len(whole) - sum(lengths.as_py() or []))]:
+                if n and at < len(whole):
+                    piece = whole[at : at + n]
+                    rows.append((len(rows), at, len(piece), hashlib.sha256(piece).hexdigest()))
+                at += n
+            if rows:
+                seq, offset, length, sha = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array([shard.as_py()] * len(rows), pa.int64()), pa.array([part.as_py()] * len(rows), pa.int32()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(sha)], [*SHARD, "seq", "offset", "length", "sha"])
+
+
 def measure(replica: DataFrame) -> DataFrame:
     """The ranges of a replica (``shard, part, bytes, lengths``), measured from its bytes: those that the bytes do not reach are not there, and
-    bytes beyond the last make one range more."""
-    rows = replica.withColumn("size", F.octet_length("bytes").cast("long")).withColumn("end", _sum(F.col("lengths")))
-    index = F.transform("lengths", lambda x, i: F.struct(i.cast("long").alias("seq"), _sum(F.slice("lengths", F.lit(1), i)).alias("offset"), x.alias("length")))
-    there = F.filter(index, lambda r: r["offset"] < F.col("size"))
-    more = F.array(F.struct(F.size("lengths").cast("long").alias("seq"), F.col("end").alias("offset"), (F.col("size") - F.col("end")).alias("length")))
-    every = F.when(F.col("size") > F.col("end"), F.concat(there, more)).otherwise(there)
-    length = lambda r: F.least(r["length"], F.col("size") - r["offset"])
-    sha = lambda r: F.sha2(F.substring(F.col("bytes"), (r["offset"] + 1).cast("int"), length(r).cast("int")), 256)
-    found = F.transform(every, lambda r: F.struct(r["seq"].alias("seq"), r["offset"].alias("offset"), length(r).alias("length"), sha(r).alias("sha")))
-    return rows.select(*SHARD, F.inline(found))
+    bytes beyond the last make one range more. A shard's bytes are cut where they are; expressions would copy all of them for each record."""
+    return replica.select(*SHARD, "bytes", "lengths").mapInArrow(_measured, "shard long, part int, seq long, offset long, length long, sha string")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:

@@ -1,4 +1,13 @@
-"""The corpus pipeline: five filters over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five filters over ``documents``, each written as Parquet and read again as the next one's input.
+
+Each stage applies one operator of ``cairn.llm`` to all rows that its predecessor kept, and all but the last return the columns of
+``documents``. Rows are named by their file and their place in it, so a lost executor or another split of the files changes no decision.
+
+Defined cases, for every stage: a null ``text`` is a text without words (language ID rejects it with all that have no letter); null sources and
+ids are kept as they are and share the rules of their operators; repeated rows are separate rows until a dedup stage leaves one of them; ties go
+to the smallest ``doc_id``, then to the first row; very long texts are read whole; extra columns pass through, whatever their names (the mix
+names its own columns around them); empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +32,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash over five-word shingles in the Gray index, links verified at a similarity of 0.8 or more."""
     return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs with at most a fifth of its words edited."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
