@@ -7,7 +7,7 @@ another with their back-off weights. A text is scored word by word: a word's log
 does not depend on its neighbours, so each distinct word of a batch is scored once. The
 language is that of the lowest cross-entropy per character.
 
-Rejection: the excess of a text is how many spreads (which shrink with length) the cross-entropy of its words, each in
+Rejection: the excess of a text is how many spreads (which shrink with the length of its distinct words) the cross-entropy of its words, each in
 its own best language, lies above the mean of its language. Mean, spread and the limit are calibrated on texts that took no part in the
 fit: the limit lies between the excess that ``KEEP`` of them stay under and the excess that the same texts reach when their
 own language is taken out of the models, at the geometric mean of both where they are apart, and never under ``LEAST_Z``.
@@ -42,7 +42,7 @@ MOST_LANGS, MOST_WORDS = 500, 50_000
 UNKNOWN = "und"
 START, END = 2, 3
 KEEP = 0.999
-LEAST_Z = 6.0
+LEAST_Z = 8.0
 SLACK = 0.05  # share of the mean cross-entropy that counts as spread at any length
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = regex.compile(r"\p{L}+")
@@ -185,10 +185,10 @@ def fit(counts: dict[str, dict[str, int]]) -> Model:
     return model
 
 
-def batch_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text the summed log probabilities, the number of predicted characters (0: no letter), and the
-    summed log probability of each word in its own best language (high in a mixture of known languages).
-    Tokens with digits count only where a text has no other letters."""
+def batch_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the summed log probabilities, the number of predicted characters (0: no letter), the
+    summed log probability of each word in its own best language (high in a mixture of known languages), and the number of
+    characters of its distinct words (repeats are no further evidence). Tokens with digits count only where a text has no other letters."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     coded = pc.list_flatten(lists).dictionary_encode()
     names = coded.dictionary.to_pylist()
@@ -215,30 +215,35 @@ def batch_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
                 out[full, j] = np.add.reduceat((by_token[:, j] * which)[tokens], offsets[full])
     bare = plain[:, -2] == 0
     plain[bare] = other[bare]
-    return plain[:, :-2], plain[:, -2], plain[:, -1]
+    text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    pairs = np.unique(text_of * len(names) + tokens) if len(tokens) else np.zeros(0, np.int64)
+    of, token = pairs // max(1, len(names)), pairs % max(1, len(names))
+    used = np.where(mixed[token], bare[of], True)
+    distinct = np.bincount(of, by_token[token, -2] * used, len(texts)) if len(pairs) else np.zeros(len(texts))
+    return plain[:, :-2], plain[:, -2], plain[:, -1], distinct
 
 
-def excess(model: Model, logp: np.ndarray, chars: np.ndarray, envelope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def excess(model: Model, logp: np.ndarray, chars: np.ndarray, envelope: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best language of each text and its excess over that language's calibration texts, in spreads."""
     n = np.maximum(chars, 1)
     best = logp.argmax(axis=1)
-    allowed = np.sqrt(model.spread[best] ** 2 / n + (SLACK * model.mean[best]) ** 2)
+    allowed = np.sqrt(model.spread[best] ** 2 / np.maximum(distinct, 1) + (SLACK * model.mean[best]) ** 2)
     return best, (-envelope / n - model.mean[best]) / allowed
 
 
 def calibrate(model: Model, texts: list[str], lang: list[str]) -> None:
     """Mean, spread and limit from texts that the model was not fitted on."""
     scores = [batch_scores(model, pa.array(texts[k : k + 512], pa.string())) for k in range(0, len(texts), 512)]
-    logp, chars, envelope = (np.concatenate(x) for x in zip(*scores, strict=True))
+    logp, chars, envelope, distinct = (np.concatenate(x) for x in zip(*scores, strict=True))
     own = np.array([model.langs.index(x) for x in lang])
     model.mean, model.spread = np.ones(len(model.langs)), np.ones(len(model.langs))
     seen = chars > 0
     for j in np.unique(own[seen]):
         mine = seen & (own == j)
-        h, n = -envelope[mine] / chars[mine], chars[mine]
+        h, n = -envelope[mine] / chars[mine], distinct[mine]
         model.mean[j] = np.average(h, weights=n)
         model.spread[j] = np.sqrt(np.median((h - model.mean[j]) ** 2 * n) / 0.455)
-    inside = excess(model, logp[seen], chars[seen], envelope[seen])[1]
+    inside = excess(model, logp[seen], chars[seen], envelope[seen], distinct[seen])[1]
     outside = [np.zeros(0)]
     for j in np.unique(own[seen]) if len(model.langs) > 1 else []:
         mine = [t for t, o, s in zip(texts, own, seen, strict=True) if o == j and s]
@@ -250,13 +255,13 @@ def calibrate(model: Model, texts: list[str], lang: list[str]) -> None:
     model.missed = float((high <= model.limit).mean()) if len(high) else 0.0
 
 
-def decide(model: Model, logp: np.ndarray, chars: np.ndarray, envelope: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def decide(model: Model, logp: np.ndarray, chars: np.ndarray, envelope: np.ndarray, distinct: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score in 0..1 (posterior, tempered by the square root of the length) and rejection of each text."""
     n = np.maximum(chars, 1)
     h = -logp / n[:, None]
     gap = (h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None] * 2
     score = np.where(chars > 0, 1 / np.exp(-gap).sum(axis=1), 0.0)
-    best, over = excess(model, logp, chars, envelope)
+    best, over = excess(model, logp, chars, envelope, distinct)
     rejected = (chars == 0) | (over > model.limit)
     return [model.langs[i] if c else UNKNOWN for i, c in zip(best, chars, strict=True)], score, rejected
 
