@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import classify as C
 
-#: A graph up to this size is ranked in one task.
+#: A graph up to this size is ranked, or parted into communities, in one task.
 SMALL_NODES, SMALL_LINKS = 200_000, 1_000_000
 
 
@@ -273,11 +274,16 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def communities(nodes: DataFrame, edges: DataFrame, smallest: int = 3) -> DataFrame:
     """GR-03: ``community, id``. Nodes move to the label most of their neighbours have, on a strict gain, the smallest label on ties,
-    until none gains; parallel edges and directions count once. Of neighbours that would move at a time only the first by a hash moves, so each
+    until none gains; parallel edges and directions count once. A graph of a checked size settles in one task, node by node. In a larger one
+    all nodes move by rounds, but of neighbours that would move at a time only the first by a hash does, so each
     round adds edges within communities and the moves end. Groups under ``smallest`` are left out."""
     around = edges.filter("source <> target").select("source", "target")
     around = cut(around.unionByName(around.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
     label = cut(nodes.select("id").distinct().withColumn("label", F.col("id")))
+    if label.count() <= SMALL_NODES and around.count() <= SMALL_LINKS:
+        label = cut(_settle_in_one_task(label, around))
+        size = label.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
+        return label.join(size, "label").select(F.col("label").alias("community"), "id")
     step = 0
     while True:
         votes = around.join(label.select(F.col("id").alias("target"), "label"), "target").groupBy(F.col("source").alias("id"), "label").agg(F.count("*").alias("n"))
@@ -295,6 +301,34 @@ def communities(nodes: DataFrame, edges: DataFrame, smallest: int = 3) -> DataFr
     return label.join(size, "label").select(F.col("label").alias("community"), "id")
 
 
+def _settle_in_one_task(label: DataFrame, around: DataFrame) -> DataFrame:
+    """The same moves on a graph of a checked size, one node after the other in the order of their ids, until none gains."""
+    kind = label.schema["id"].dataType.simpleString()
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        ids = sorted(nodes.column("id").to_pylist())
+        own = {x: x for x in ids}
+        near: dict = {}
+        for a, b in zip(edges.column("source").to_pylist(), edges.column("target").to_pylist(), strict=True):
+            if a in own and b in own:
+                near.setdefault(a, []).append(b)
+        moved = True
+        while moved:
+            moved = False
+            for x in ids:
+                if x not in near:
+                    continue
+                votes = Counter(map(own.__getitem__, near[x]))
+                most = max(votes.values())
+                if most > votes.get(own[x], 0):
+                    own[x] = min(k for k, n in votes.items() if n == most)
+                    moved = True
+        return pa.table({"id": pa.array(ids, nodes.column("id").type), "label": pa.array([own[x] for x in ids], nodes.column("id").type)})
+
+    one = F.lit(1).alias("_one")
+    return label.select("id", one).groupBy("_one").cogroup(around.select("source", "target", one).groupBy("_one")).applyInArrow(run, f"id {kind}, label {kind}")
+
+
 def community_labels(members: DataFrame) -> DataFrame:
     """AG-16: ``community, label``: a parent folder has one vote a file, a telling base name two; the smallest on ties; doubles get a number."""
     parts = F.split(F.regexp_replace("id", "/+$", ""), "/")

@@ -261,7 +261,7 @@ SELECT task_id, no, round((0.55 * task_score / CASE WHEN most = 0 THEN 1 ELSE mo
   * CASE WHEN kind = 'interface' AND named_imports >= 25 AND inbound_calls = 0 AND n4 = 0 AND NOT typed THEN 0.45 ELSE 1 END
   * CASE WHEN foc = 0 OR fa > 0 THEN 1 WHEN m THEN 0.25 WHEN ka > 0 THEN 0.58 WHEN regexp_matches(name, '^[A-Z]') AND n1 = 0 THEN 0.7 ELSE 1 END
   * CASE WHEN end_line - start_line + 1 > 100 THEN 0.7 WHEN end_line - start_line + 1 > 50 THEN 0.85 ELSE 1 END
-  * CASE role WHEN 'entry_point' THEN 1.3 WHEN 'hub' THEN 1.25 WHEN 'api_surface' THEN 1.2 WHEN 'leaf' THEN 0.85 ELSE 1 END * (1 + 0.4 * (no % 4) / 4.0), 5)::DOUBLE AS final FROM y"""
+  * CASE role WHEN 'entry_point' THEN 1.3 WHEN 'hub' THEN 1.25 WHEN 'api_surface' THEN 1.2 WHEN 'leaf' THEN 0.85 ELSE 1 END * (1 + 0.4 * (no % 4) / 4.0) + 1e-9, 5)::DOUBLE AS final FROM y"""
 
 
 @query("final_score", _FINAL_SQL)
@@ -270,7 +270,7 @@ def final_score(spark, d):
     most = rows.groupBy("task_id").agg(F.max("task_score").alias("most"))
     rows = rows.join(F.broadcast(most), "task_id")  # one row a task
     value = score.final_score(F.col("task_score"), F.col("most"), F.col("rank"), F.col("kws"), F.col("ints"), (F.col("no") % 4) / 4.0)
-    return rows.select("task_id", "no", F.round(value, 5).alias("final"))
+    return rows.select("task_id", "no", F.round(value + 1e-9, 5).alias("final"))
 
 
 @query("baseline_ranking", f"""WITH {TASKS_SQL}, {SYMBOLS_SQL}, x AS (SELECT task_id, no, id, rank, {kw('task')} AS kws, {tok('name')} AS tn, {tok('file')} AS tf, {tok("concat_ws(' ', id, name, file, signature)")} AS ta FROM tasks, sym),

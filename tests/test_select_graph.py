@@ -136,7 +136,7 @@ def test_large_graphs_rank_alike(spark, monkeypatch):
     assert [{r.id: round(r["rank"], 8) for r in graph.pagerank(nodes, edges, seeds=s).collect()} for s in (None, seeds)] == small
 
 
-def test_communities_settle(spark):
+def test_communities_settle(spark, monkeypatch):
     rng = random.Random(7)
     edges = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(60)]
     nodes = frame(spark, [(f"n{i}",) for i in range(25)], "id string")
@@ -145,12 +145,14 @@ def test_communities_settle(spark):
         if a != b:
             around.setdefault(a, set()).add(b)
             around.setdefault(b, set()).add(a)
-    of = {r.id: r.community for r in graph.communities(nodes, frame(spark, edges * 2, "source string, target string"), smallest=1).collect()}
-    for n, near in around.items():  # no node gains by a move
-        votes = {}
-        for m in near:
-            votes[of[m]] = votes.get(of[m], 0) + 1
-        assert max(votes.values()) <= votes.get(of[n], 0)
+    for small in (graph.SMALL_NODES, 0):  # in one task, and by rounds
+        monkeypatch.setattr(graph, "SMALL_NODES", small)
+        of = {r.id: r.community for r in graph.communities(nodes, frame(spark, edges * 2, "source string, target string"), smallest=1).collect()}
+        for n, near in around.items():  # no node gains by a move
+            votes = {}
+            for m in near:
+                votes[of[m]] = votes.get(of[m], 0) + 1
+            assert max(votes.values()) <= votes.get(of[n], 0)
 
 
 def test_communities_partition_two_cliques(spark):
