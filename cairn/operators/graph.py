@@ -16,6 +16,7 @@ from cairn.functions import classify as C
 
 #: A graph up to this size is ranked, or parted into communities, in one task.
 SMALL_NODES, SMALL_LINKS = 200_000, 1_000_000
+FREE_ROUNDS = 40
 
 
 _made: list[tuple[SparkSession, str]] = []
@@ -275,8 +276,8 @@ def cycles(edges: DataFrame) -> DataFrame:
 def communities(nodes: DataFrame, edges: DataFrame, smallest: int = 3) -> DataFrame:
     """GR-03: ``community, id``. Nodes move to the label most of their neighbours have, on a strict gain, the smallest label on ties,
     until none gains; parallel edges and directions count once. A graph of a checked size settles in one task, node by node. In a larger one
-    all nodes move by rounds, but of neighbours that would move at a time only the first by a hash does, so each
-    round adds edges within communities and the moves end. Groups under ``smallest`` are left out."""
+    a half of the nodes by a new hash moves in each of the first ``FREE_ROUNDS`` rounds; after them, of neighbours that would move at a time only
+    the first by a hash does, so each round adds edges within communities and the moves end. Groups under ``smallest`` are left out."""
     around = edges.filter("source <> target").select("source", "target")
     around = cut(around.unionByName(around.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
     label = cut(nodes.select("id").distinct().withColumn("label", F.col("id")))
@@ -293,8 +294,11 @@ def communities(nodes: DataFrame, edges: DataFrame, smallest: int = 3) -> DataFr
         wants = cut(wants)
         if wants.isEmpty():
             break
-        near = around.join(wants.select(F.col("id").alias("target"), F.col("turn").alias("other")), "target").groupBy(F.col("source").alias("id")).agg(F.min("other").alias("other"))
-        moves = wants.join(near, "id", "left").filter(F.col("other").isNull() | (F.col("turn") < F.col("other"))).select("id", "to")
+        if step < FREE_ROUNDS:
+            moves = wants.filter(F.pmod(F.col("turn.h"), F.lit(2)) == 0).select("id", "to")
+        else:
+            near = around.join(wants.select(F.col("id").alias("target"), F.col("turn").alias("other")), "target").groupBy(F.col("source").alias("id")).agg(F.min("other").alias("other"))
+            moves = wants.join(near, "id", "left").filter(F.col("other").isNull() | (F.col("turn") < F.col("other"))).select("id", "to")
         label = cut(label.join(moves, "id", "left").select("id", F.coalesce("to", "label").alias("label")))
         step += 1
     size = label.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
