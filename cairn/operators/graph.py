@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,10 @@ from cairn.functions import classify as C
 
 #: A graph up to this size is ranked, or parted into communities, in one task.
 SMALL_NODES, SMALL_LINKS = 200_000, 1_000_000
-FREE_ROUNDS = 40
+#: Up to this many nodes every task holds the communities' labels (four bytes each, and twelve a node while links are numbered).
+HELD_NODES = 10_000_000
+#: Links that are sorted in one piece, and rows numbered at once; so many pairs of labels are parted one by one.
+BLOCK_LINKS, DEAL_ROWS, FEW_PAIRS = 1 << 19, 1 << 19, 10_000
 
 
 _made: list[tuple[SparkSession, str]] = []
@@ -276,33 +280,190 @@ def cycles(edges: DataFrame) -> DataFrame:
 def communities(nodes: DataFrame, edges: DataFrame, smallest: int = 3) -> DataFrame:
     """GR-03: ``community, id``. Nodes move to the label most of their neighbours have, on a strict gain, the smallest label on ties,
     until none gains; parallel edges and directions count once. A graph of a checked size settles in one task, node by node. In a larger one
-    a half of the nodes by a new hash moves in each of the first ``FREE_ROUNDS`` rounds; after them, of neighbours that would move at a time only
-    the first by a hash does, so each round adds edges within communities and the moves end. Groups under ``smallest`` are left out."""
-    around = edges.filter("source <> target").select("source", "target")
-    around = cut(around.unionByName(around.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    label = cut(nodes.select("id").distinct().withColumn("label", F.col("id")))
-    if label.count() <= SMALL_NODES and around.count() <= SMALL_LINKS:
-        label = cut(_settle_in_one_task(label, around))
-        size = label.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
-        return label.join(size, "label").select(F.col("label").alias("community"), "id")
+    nodes move by rounds, in each only from one half of the labels to the other: nobody leaves a label that is moved to, so each move keeps
+    its gain, the edges within communities grow and the rounds end. Up to ``HELD_NODES`` nodes the labels are an array that each task
+    gets, and links stay where they are; beyond, both are joined as tables. Groups under ``smallest`` are left out."""
+    known = cut(nodes.select("id").filter("id is not null").distinct())
+    count, most = known.count(), 2 * edges.count()
+    links = edges.filter("source <> target").select("source", "target")
+    small = count <= SMALL_NODES and most <= SMALL_LINKS
+    if not small and 0 < count <= HELD_NODES:
+        return _settle_in_blocks(known, links, most, smallest)
+    around = cut(links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
+    label = known.withColumn("label", F.col("id"))
+    label = cut(_settle_in_one_task(label, around)) if small else _settle_by_joins(label, around)
+    size = label.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
+    return label.join(size, "label").select(F.col("label").alias("community"), "id")
+
+
+def _settle_by_joins(label: DataFrame, around: DataFrame) -> DataFrame:
+    """The rounds as joins, for any number of nodes. The halves go by a new hash of the labels every other round, and change places between."""
     step = 0
     while True:
         votes = around.join(label.select(F.col("id").alias("target"), "label"), "target").groupBy(F.col("source").alias("id"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
         own = label.join(votes.withColumnRenamed("n", "own"), ["id", "label"], "left").join(best, "id")
-        wants = own.filter(-F.col("b.n") > F.coalesce("own", F.lit(0))).select("id", F.col("b.label").alias("to"), F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id").alias("turn"))
-        wants = cut(wants)
+        wants = cut(own.filter(-F.col("b.n") > F.coalesce("own", F.lit(0))).select("id", "label", F.col("b.label").alias("to")))
         if wants.isEmpty():
-            break
-        if step < FREE_ROUNDS:
-            moves = wants.filter(F.pmod(F.col("turn.h"), F.lit(2)) == 0).select("id", "to")
-        else:
-            near = around.join(wants.select(F.col("id").alias("target"), F.col("turn").alias("other")), "target").groupBy(F.col("source").alias("id")).agg(F.min("other").alias("other"))
-            moves = wants.join(near, "id", "left").filter(F.col("other").isNull() | (F.col("turn") < F.col("other"))).select("id", "to")
+            return label
+        half = lambda c: F.pmod(F.xxhash64(c, F.lit(step // 2)), F.lit(2))  # noqa: B023, E731
+        moves = wants.filter((half("label") == step % 2) & (half("to") == 1 - step % 2)).select("id", "to")
         label = cut(label.join(moves, "id", "left").select("id", F.coalesce("to", "label").alias("label")))
         step += 1
-    size = label.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
-    return label.join(size, "label").select(F.col("label").alias("community"), "id")
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """``id, no``: the ids numbered from 0 in their order."""
+    rows = cut(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    counts = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [0]
+    for k in range(max(counts)):
+        before.append(before[-1] + counts.get(k, 0))
+    start = F.array(*map(F.lit, before))[part.cast("int")]
+    return rows.select("id", (start + F.col("at").bitwiseAND(F.lit(2**33 - 1))).cast("int").alias("no"))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _wishes(nodes: np.ndarray, degree: np.ndarray, near: np.ndarray, label: np.ndarray, moved: np.ndarray, waits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of nodes with ``degree`` neighbours each, one after the other in ``near``: those that gain by a move, and the labels they move to.
+    Looked at are nodes that wait for a move or have moved, and those with a neighbour that has."""
+    look = waits[nodes] | moved[nodes] | np.logical_or.reduceat(moved[near], np.cumsum(degree) - degree)
+    if not look.all():
+        near, nodes, degree = near[np.repeat(look, degree)], nodes[look], degree[look]
+    if not len(nodes):
+        return nodes, nodes
+    votes = np.sort(np.repeat(np.arange(len(nodes)), degree) << 32 | label[near])
+    first = np.flatnonzero(np.concatenate([[True], votes[1:] != votes[:-1]]))
+    n, who, what = np.diff(np.append(first, len(votes))), votes[first] >> 32, votes[first] & 0xFFFFFFFF
+    own = np.zeros(len(nodes), np.int64)
+    same = what == label[nodes[who]]
+    own[who[same]] = n[same]
+    best = np.maximum.reduceat(n << 32 | (0xFFFFFFFF - what), np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])))
+    gains = (best >> 32) > own
+    return nodes[gains], (0xFFFFFFFF - (best[gains] & 0xFFFFFFFF)).astype(np.int32)
+
+
+def _across(old: np.ndarray, new: np.ndarray, step: int) -> np.ndarray:
+    """Which of the moves from ``old`` to ``new`` labels a round makes: those from one part of the labels to the other. Few pairs of labels
+    are parted by the heaviest first, so one moves at least; many by the best of some hashes."""
+    pairs, at, n = np.unique(old.astype(np.int64) << 32 | new, return_inverse=True, return_counts=True)
+    if len(pairs) <= FEW_PAIRS:
+        side: dict[int, int] = {}
+        taken = np.zeros(len(pairs), bool)
+        for i in np.argsort(-n, kind="stable").tolist():
+            a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
+            if side.get(a, 0) == 0 and side.get(b, 1) == 1:
+                side[a], side[b], taken[i] = 0, 1, True
+        return taken[at]
+    best = None
+    for salt in range(4 * step + 1, 4 * step + 5):
+        seed = np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+        z = [(x.astype(np.uint64) + seed) * np.uint64(0xBF58476D1CE4E5B9) for x in (old, new)]
+        a, b = (((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(63) == 1 for x in z)
+        for moves in (a & ~b, b & ~a):
+            if best is None or moves.sum() > best.sum():
+                best = moves
+    return best
+
+
+def _settle_in_blocks(ids: DataFrame, links: DataFrame, most: int, smallest: int) -> DataFrame:
+    """The rounds over arrays. Nodes are numbered in the order of their ids, and the links of a node are one row, sorted and once
+    each. A round is one job: tasks get the labels and give the moves that gain; of those the driver makes the ones ``_across``."""
+    spark = ids.sparkSession
+    share = spark.sparkContext.broadcast
+    named = cut(_numbered(ids))
+    salt = 0
+    while True:  # links name their ends by hashes that tell all nodes apart
+        key = lambda c: F.xxhash64(F.col(c).cast("string"), F.lit(salt))  # noqa: B023, E731
+        got = named.select(key("id").alias("h"), "no").toArrow()
+        hashes, numbers = got.column("h").to_numpy(), got.column("no").to_numpy()
+        if len(_distinct(hashes)) == len(hashes):
+            break
+        salt += 1
+    order = np.argsort(hashes)
+    count = len(order)
+    held = share((hashes[order], numbers[order]))
+    blocks = -(-most // BLOCK_LINKS)
+
+    def numbered(h: np.ndarray) -> np.ndarray:
+        hashes, numbers = held.value
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, numbers[at], -1).astype(np.int64)
+
+    def dealt(batches: list) -> pa.RecordBatch:
+        a, b = (numbered(np.concatenate([x.column(c).to_numpy() for x in batches])) for c in (0, 1))
+        known = (a >= 0) & (b >= 0)
+        a, b = a[known], b[known]
+        pairs = _distinct(np.concatenate([a << 32 | b, b << 32 | a]))
+        block = (pairs >> 32) % blocks
+        order = np.argsort(block, kind="stable")
+        here, first = np.unique(block[order], return_index=True)
+        pairs = np.split(pairs[order], first[1:]) if len(here) else []
+        return pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array([x.tobytes() for x in pairs], pa.binary())], ["block", "pairs"])
+
+    def deal(batches):
+        rest, n = [], 0
+        for batch in batches:
+            rest.append(batch)
+            n += batch.num_rows
+            if n >= DEAL_ROWS:
+                yield dealt(rest)
+                rest, n = [], 0
+        if n:
+            yield dealt(rest)
+
+    def build(block: pa.Table) -> pa.Table:
+        pairs = _distinct(np.frombuffer(b"".join(block.column("pairs").to_pylist()), np.int64))
+        nodes, first = np.unique(pairs >> 32, return_index=True)
+        ends, near = (np.append(first, len(pairs)) * 4).astype(np.int32), pairs.astype(np.int32)
+        rows = pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(ends), pa.py_buffer(near)])
+        return pa.table({"node": pa.array(nodes, pa.int32()), "near": rows})
+
+    hashed = links.select(key("source").alias("a"), key("target").alias("b")).mapInArrow(deal, "block long, pairs binary")
+    files = max(2 * spark.sparkContext.defaultParallelism, blocks // 8)
+    around = cut(hashed.repartition(files, "block").groupBy("block").applyInArrow(build, "node int, near binary"))
+    held.destroy()
+
+    label, moved, waits, step = np.arange(count, dtype=np.int32), np.zeros(count, bool), np.ones(count, bool), 0
+    while True:
+        state = share((label, moved, waits))
+
+        def wishes(batches, state=state):
+            for batch in batches:
+                nodes, near = batch.column("node").to_numpy(), batch.column("near")
+                degree = pc.binary_length(near).to_numpy() // 4
+                if len(nodes):  # the bytes of all rows lie side by side
+                    found = _wishes(nodes, degree, np.frombuffer(near.buffers()[2], np.int32, degree.sum()), *state.value)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], ["who", "to"])
+
+        got = around.mapInArrow(wishes, "who binary, to binary").toArrow()
+        state.destroy()
+        who, to = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32) for c in ("who", "to"))
+        if not len(who):
+            break
+        order = np.argsort(who)
+        who, to = who[order], to[order]
+        go = _across(label[who], to, step)
+        label, moved, waits = label.copy(), np.zeros(count, bool), np.zeros(count, bool)
+        label[who[go]], moved[who[go]], waits[who[~go]] = to[go], True, True
+        step += 1
+
+    final = share((label, np.bincount(label, minlength=count) >= smallest))
+
+    def named_by(batches):
+        label, large = final.value
+        for batch in batches:
+            mine = label[batch.column("no").to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(mine)], ["id", "no"]).filter(pa.array(large[mine]))
+
+    members = cut(named.mapInArrow(named_by, named.schema))
+    final.destroy()
+    return members.join(named.withColumnRenamed("id", "community"), "no").select("community", "id")
 
 
 def _settle_in_one_task(label: DataFrame, around: DataFrame) -> DataFrame:

@@ -164,6 +164,52 @@ def test_communities_partition_two_cliques(spark):
     assert sorted(map(sorted, got.values())) == [[f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]]
 
 
+def _gains(edges, of):
+    """Nodes that would gain by a move; edges with an end that is no node don't count."""
+    around = {}
+    for a, b in edges:
+        if a != b and a in of and b in of:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+    votes = {n: [of[m] for m in near] for n, near in around.items()}
+    return [n for n, v in votes.items() if max(map(v.count, v)) > v.count(of[n])]
+
+
+@pytest.mark.parametrize("held", [10_000_000, 0])  # labels as an array, and joined
+def test_communities_of_two_sides_settle_in_few_rounds(spark, monkeypatch, held):
+    """Two sides with no edges within a side swapped their labels for ever while half of the nodes moved at a time."""
+    rng = random.Random(8)
+    edges = [(f"s{i}", f"p{j}") for i in range(100) for j in range(600) if rng.random() < 0.5]
+    nodes = frame(spark, sorted({(x,) for e in edges for x in e}), "id string")
+    monkeypatch.setattr(graph, "SMALL_NODES", 0)
+    monkeypatch.setattr(graph, "HELD_NODES", held, raising=False)
+    made, cut = [], graph.cut
+
+    def counted(df):
+        made.append(1)
+        assert len(made) < 80  # two tables a round of joins
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    of = {r.id: r.community for r in graph.communities(nodes, frame(spark, edges, "source string, target string"), smallest=1).collect()}
+    assert set(of) == {n for (n,) in nodes.collect()} and _gains(edges, of) == []
+
+
+def test_communities_in_blocks_on_odd_graphs(spark, monkeypatch):
+    rng = random.Random(9)
+    for name, value in (("SMALL_NODES", 0), ("BLOCK_LINKS", 16), ("DEAL_ROWS", 8), ("FEW_PAIRS", 2)):
+        monkeypatch.setattr(graph, name, value)
+    schema = "source int, target int"
+    nodes = frame(spark, [(i,) for i in [*range(60), 3, None]], "id int")  # twice, null, with an end unknown, parallel, its own, to a hub
+    edges = [(rng.randrange(70), rng.randrange(70)) for _ in range(150)] + [(5, 5), (None, 3), (3, None)] + [(0, i) for i in range(60)] * 3
+    of = {r.id: r.community for r in graph.communities(nodes, frame(spark, edges, schema), smallest=1).collect()}
+    assert set(of) == set(range(60)) and _gains(edges, of) == []
+    apart = graph.communities(nodes, frame(spark, [(1, 1), (2, 99)], schema), smallest=1).collect()
+    assert sorted((r.community, r.id) for r in apart) == [(i, i) for i in range(60)]
+    assert graph.communities(nodes, frame(spark, [], schema)).count() == 0
+    assert graph.communities(nodes.filter("id < 0"), frame(spark, edges, schema), smallest=1).count() == 0
+
+
 def test_diff_and_affected(spark):
     old = frame(spark, [("a", "1"), ("b", "1"), ("c", None)], "key string, hash string")
     new = frame(spark, [("a", "2"), ("c", None), ("d", "1")], "key string, hash string")
